@@ -19,8 +19,12 @@ from pyspark.sql import functions as F
 from rippleframe.llm.common import shared_dir, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: The content of one digest is compared in so many tasks, for a text that very many rows have.
+#: Beyond the broadcast, the content of one digest is compared in so many tasks, for a text that very many rows have.
 SALTS = 16
+#: Digests of repeated texts that are broadcast at most (about 40 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 250_000
+#: Digests for each state store, and stores at least. A store costs some 4 MB of disk, however little it holds.
+STORE_ROWS, LEAST_STORES = 250_000, 12
 #: Input of one micro-batch of digests.
 BYTES_PER_TRIGGER = str(4 << 30)
 
@@ -52,16 +56,17 @@ def digest_state(digests: DataFrame) -> DataFrame:
     )
 
 
-def run_stream(spark: SparkSession, log: str, schema, checkpoint: str) -> DataFrame:
+def run_stream(spark: SparkSession, log: str, schema, checkpoint: str, stores: int = LEAST_STORES) -> DataFrame:
     """Feeds what is new in the log folder to the state, and returns the whole state as a table.
 
-    Called again with the same checkpoint it reads only files that have come since.
+    Called again with the same checkpoint it reads only files that have come since. stores: of a new checkpoint.
     """
     conf = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+        "spark.sql.streaming.internal.stateStore.partitions": str(stores),
     }
     with _settings(spark, conf):
         source = spark.readStream.schema(schema).option("maxBytesPerTrigger", BYTES_PER_TRIGGER).parquet(log)
@@ -101,11 +106,12 @@ def decisions(
         F.input_file_name().alias("locator"),
     )
     log = written(spark, log, f"{scratch}/log")
-    if log.isEmpty():
+    n_rows = log.count()
+    if not n_rows:
         return log.select(
             "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest"
         )
-    state = run_stream(spark, f"{scratch}/log", log.schema, f"{scratch}/state")
+    state = run_stream(spark, f"{scratch}/log", log.schema, f"{scratch}/state", max(LEAST_STORES, -(-n_rows // STORE_ROWS)))
     groups = written(
         spark,
         state.where("group_size > 1").select(
@@ -141,9 +147,12 @@ def decisions(
 
 def _differing(docs: DataFrame, body: Column, digest: Callable[[Column], Column], groups: DataFrame) -> DataFrame:
     """Digests with more than one text. Compares the full bytes of every row in a group of two or more."""
-    salted = groups.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     hits = docs.select(digest(body).alias("digest"), body.alias("bytes"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))
-    hits = hits.join(salted, ["digest", "salt"], "left_semi")
+    if groups.count() <= BROADCAST_ROWS:
+        hits = hits.join(F.broadcast(groups.select("digest")), "digest", "left_semi")
+    else:
+        salted = groups.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        hits = hits.join(salted, ["digest", "salt"], "left_semi")
     part = hits.groupBy("digest", "salt").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"))
     return part.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("digest")
 
