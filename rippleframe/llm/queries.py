@@ -4,9 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rippleframe.llm import exact_dedup
+from rippleframe.llm import bpe, exact_dedup, packing
 from rippleframe.llm.common import table
 
+#: Folder of public tokenizer files; the package public_tokenizers names it where it is installed.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def tokenizer_path(name: str) -> str:
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        return f"{TOKENIZERS}/{name}"
+    return public_tokenizers.path(name)
+
+
+def op3_bpe_round_trip(spark, sf_dir):
+    """Byte-level BPE encoding and decoding of all documents, as digests."""
+    found = bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op9_packing(spark, sf_dir):
+    """All documents packed into sequences of 2048 ids: one row per piece."""
+    found = packing.pack(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 
 def op10_exact_dedup(spark, sf_dir):
     """Exact deduplication of all documents: one row per document with the row that stays."""
@@ -23,5 +47,9 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM d
 """
 
-QUERIES = {"op10_exact_dedup": op10_exact_dedup}
+QUERIES = {
+    "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op9_packing": op9_packing,
+    "op10_exact_dedup": op10_exact_dedup,
+}
 ORACLES = {"op10_exact_dedup": OP10_SQL}
