@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rippleframe.llm import bpe, exact_dedup, packing
+from rippleframe.llm import bpe, exact_dedup, ordinal_quality, packing, quality_rules
 from rippleframe.llm.common import table
 
 #: Folder of public tokenizer files; the package public_tokenizers names it where it is installed.
@@ -25,6 +25,18 @@ def op3_bpe_round_trip(spark, sf_dir):
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op6_quality_rules(spark, sf_dir):
+    """Base counts and perplexity bands of all documents."""
+    return quality_rules.score(spark, table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op8_quality_classifier(spark, sf_dir):
+    """Expected grade and tail probability of all documents, from the ratings in labels."""
+    ratings = ordinal_quality.grades_of(table(spark, sf_dir, "labels"))
+    found = ordinal_quality.classify(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), ratings, ordinal_quality.N_GRADES)
+    return found.select("doc.doc_id", "expected_grade", "tail_probability", "kept")
+
+
 def op9_packing(spark, sf_dir):
     """All documents packed into sequences of 2048 ids: one row per piece."""
     found = packing.pack(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -49,6 +61,8 @@ FROM d
 
 QUERIES = {
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
