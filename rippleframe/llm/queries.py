@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import importlib.util
+
 from pyspark.sql import functions as F
 
-from rippleframe.llm import bpe, exact_dedup, ordinal_quality, packing, quality_rules
+from rippleframe.llm import bpe, exact_dedup, near_dedup, ordinal_quality, packing, quality_rules
 from rippleframe.llm.common import table
 
 #: Folder of public tokenizer files; the package public_tokenizers names it where it is installed.
@@ -19,6 +21,36 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_dedup(spark, sf_dir):
+    """Near-duplicate components of all documents, on shingles of four words and a similarity of 0.8."""
+    found = near_dedup.find(spark, table(spark, sf_dir, "documents"), size=4)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh
+  FROM w
+), e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT p.a, p.b FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b
+  WHERE 100 * n_both >= 80 * (len(x.sh) + len(y.sh) - n_both)
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
+FROM s JOIN c ON c.a = s.doc_id
+"""
+
+
 def op3_bpe_round_trip(spark, sf_dir):
     """Byte-level BPE encoding and decoding of all documents, as digests."""
     found = bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
@@ -59,11 +91,21 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM d
 """
 
+def pipeline(spark, sf_dir):
+    """The whole corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op6_quality_rules": op6_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLES = {"op10_exact_dedup": OP10_SQL}
+if importlib.util.find_spec("corpus_pipeline"):
+    QUERIES["pipeline"] = pipeline
+ORACLES = {"op1_minhash_dedup": OP1_SQL, "op10_exact_dedup": OP10_SQL}
