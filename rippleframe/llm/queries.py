@@ -6,7 +6,7 @@ import importlib.util
 
 from pyspark.sql import functions as F
 
-from rippleframe.llm import bpe, exact_dedup, near_dedup, ordinal_quality, packing, quality_rules
+from rippleframe.llm import bpe, exact_dedup, language_id, near_dedup, ordinal_quality, packing, quality_rules
 from rippleframe.llm.common import table
 
 #: Folder of public tokenizer files; the package public_tokenizers names it where it is installed.
@@ -51,6 +51,15 @@ FROM s JOIN c ON c.a = s.doc_id
 """
 
 
+def op2_language_id(spark, sf_dir):
+    """Language of every document, learned from the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs.where(language_id.learned_rows(docs)))
+    found = language_id.identify(spark, docs, model)
+    held_out = F.coalesce(F.crc32(F.col("id").cast("string")) % 3 == 1, F.lit(False))
+    return found.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_bpe_round_trip(spark, sf_dir):
     """Byte-level BPE encoding and decoding of all documents, as digests."""
     found = bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
@@ -101,6 +110,7 @@ def pipeline(spark, sf_dir):
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op2_language_id": op2_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_packing": op9_packing,
