@@ -11,11 +11,13 @@ given to the ranked documents of each class by rank intervals, in a distributed
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,10 @@ CAPACITY, GRAIN = 2048, 8
 #: Id that ends each document.
 END_ID = 1
 #: Chunks that a worker remembers; it starts anew beyond that.
-REMEMBERED = 500_000
+REMEMBERED = 900_000
+#: A full stop or comma between an ASCII letter and white space: a pre-token of its own, so it can stand alone.
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \t-\r]|\Z)")
+_MARK = regex.compile(r"\p{M}")
 #: Pieces in one task when they are ranked.
 RANKED_ROWS = 200_000
 
@@ -33,7 +38,11 @@ _loaded: dict = {}
 
 
 class WordIds:
-    """Packed ids of white-space-free chunks. The tokenizer drops white space, so a text's ids are its chunks' ids."""
+    """Packed ids of white-space-free chunks. The tokenizer drops white space, so a text's ids are its chunks' ids.
+
+    It also lower-cases, after composing characters; so ASCII letters can be lower-cased before unless a combining mark
+    follows somewhere, or a special token's string may be there.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,9 +53,16 @@ class WordIds:
         self.tokenizer.no_padding()
         self.seen: dict[bytes, bytes] = {}
 
+    @staticmethod
+    def chunks(text: str) -> list[bytes]:
+        data = text.encode()
+        if "<|" in text or not (text.isascii() or _MARK.search(text) is None):
+            return data.split()
+        return _STOP.sub(rb" \1", data.lower()).split()
+
     def packed(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        chunks = [x.encode().split() for x in texts]
+        chunks = [self.chunks(x) for x in texts]
         new = set().union(*chunks)
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
