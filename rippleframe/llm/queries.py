@@ -6,7 +6,7 @@ import importlib.util
 
 from pyspark.sql import functions as F
 
-from rippleframe.llm import bpe, exact_dedup, language_id, near_dedup, ordinal_quality, packing, quality_rules
+from rippleframe.llm import bpe, exact_dedup, language_id, license_scan, near_dedup, ordinal_quality, packing, quality_rules, quote_links, url_filter
 from rippleframe.llm.common import table
 
 #: Folder of public tokenizer files; the package public_tokenizers names it where it is installed.
@@ -66,6 +66,63 @@ def op3_bpe_round_trip(spark, sf_dir):
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op4_quote_links(spark, sf_dir):
+    """All messages without quotes, linked to what they quote, with their place in reply order."""
+    return quote_links.link(table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
+OP4_SQL = r"""
+WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS body FROM conversations),
+q AS (SELECT DISTINCT conv_id, turn, body FROM m WHERE regexp_matches(body, '(?m)^[ \t]*>') AND conv_id IS NOT NULL AND turn IS NOT NULL),
+s AS (SELECT conv_id, turn, body, string_split(body, chr(10)) AS ls FROM q),
+l AS (SELECT conv_id, turn, body, unnest(range(1, len(ls) + 1)) AS ln, unnest(ls) AS line FROM s),
+v AS (SELECT *, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+[ \t]?'), '[^>]', '', 'g')) AS level FROM l),
+n AS (SELECT *, coalesce(CAST(lag(level) OVER w <> level AS INT), 1) AS new FROM v WINDOW w AS (PARTITION BY conv_id, turn, body ORDER BY ln)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn, body ORDER BY ln) AS run FROM n),
+p AS (SELECT conv_id, turn, level, trim(regexp_replace(lower(string_agg(regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', ''), chr(10) ORDER BY ln)), '[ \t-\r]+', ' ', 'g')) AS body
+      FROM r WHERE level > 0 GROUP BY conv_id, turn, r.body, run, level),
+c AS (SELECT *, CASE WHEN regexp_matches(body, '(?m)^[ \t]*>') THEN trim(array_to_string(list_filter(string_split(body, chr(10)),
+        lambda x: NOT regexp_matches(x, '^(?:[ \t]*>)+[ \t]?') AND NOT regexp_matches(x, '(?i)^[ \t]*on [^\n]{1,200} wrote:[ \t\r]*$')), chr(10))) ELSE body END AS content FROM m),
+o AS (SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(x), '[ \t-\r]+', ' ', 'g')) AS body
+      FROM (SELECT conv_id, turn, unnest(list_append(string_split(content, chr(10)), content)) AS x FROM c WHERE conv_id IN (SELECT conv_id FROM q))),
+k AS (SELECT p.conv_id, p.turn, p.level, (SELECT max(o.turn) FROM o WHERE o.conv_id = p.conv_id AND o.body = p.body AND o.turn < p.turn) AS origin FROM p WHERE p.body <> ''),
+f AS (SELECT conv_id, turn, max(level) AS depth, count(*) AS n, count(origin) AS linked, arg_min(origin, (level, -origin)) FILTER (origin IS NOT NULL) AS reply_to FROM k GROUP BY 1, 2)
+SELECT c.conv_id, c.turn, role, content, CAST(coalesce(depth, 0) AS BIGINT) AS quote_depth, CAST(coalesce(n, 0) AS BIGINT) AS n_passages,
+       CAST(coalesce(linked, 0) AS BIGINT) AS n_linked, reply_to, coalesce(reply_to, c.turn) AS order_thread
+FROM c LEFT JOIN f ON f.conv_id = c.conv_id AND f.turn = c.turn
+"""
+
+
+def op5_license_scan(spark, sf_dir):
+    """Licence notices in all documents."""
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.array_join("licenses", ",").alias("licenses"), "n_passages", "best_license", F.round("best_dice", 9).alias("best_dice"))
+
+
+def _op5_sql() -> str:
+    """The same by brute force: every line against every template."""
+    rows = ", ".join("('{}', [{}])".format(k, ", ".join(f"'{b}'" for b in sorted(license_scan.bigrams_of(t)))) for k, t in sorted(license_scan.TEMPLATES.items()))
+    return f"""
+WITH t(name, own) AS (VALUES {rows}),
+l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+w AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+(?:\\.[0-9]+)*') AS ws
+      FROM l WHERE regexp_matches(line, '(?i)licen|permi|domain|redistribution')),
+b AS (SELECT doc_id, k, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS bs FROM w WHERE len(ws) > 1),
+d AS (SELECT doc_id, k, name, 2.0 * len(list_intersect(bs, own)) / (len(bs) + len(own)) AS dice FROM b, t),
+m AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY dice DESC, name) AS r FROM d WHERE dice >= {license_scan.AT}),
+g AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(*) AS n,
+             arg_min(name, (-dice, name)) AS best, max(dice) AS top FROM m WHERE r = 1 GROUP BY doc_id)
+SELECT doc_id, coalesce(licenses, '') AS licenses, CAST(coalesce(n, 0) AS BIGINT) AS n_passages, best AS best_license, CAST(round(top, 9) AS DOUBLE) AS best_dice
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+
+def op7_url_filter(spark, sf_dir):
+    """Rules and the language-model ratio over all page URLs."""
+    found = url_filter.judge(spark, table(spark, sf_dir, "pages"))
+    return found.withColumnRenamed("id", "page_id")
+
+
 def op6_quality_rules(spark, sf_dir):
     """Base counts and perplexity bands of all documents."""
     return quality_rules.score(spark, table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -111,6 +168,9 @@ QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op2_language_id": op2_language_id,
+    "op4_quote_links": op4_quote_links,
+    "op5_license_scan": op5_license_scan,
+    "op7_url_filter": op7_url_filter,
     "op6_quality_rules": op6_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_packing": op9_packing,
@@ -118,4 +178,4 @@ QUERIES = {
 }
 if importlib.util.find_spec("corpus_pipeline"):
     QUERIES["pipeline"] = pipeline
-ORACLES = {"op1_minhash_dedup": OP1_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLES = {"op1_minhash_dedup": OP1_SQL, "op4_quote_links": OP4_SQL, "op5_license_scan": _op5_sql(), "op10_exact_dedup": OP10_SQL}
