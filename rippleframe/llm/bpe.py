@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 import regex
@@ -25,8 +25,8 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: The byte-level pre-tokenizer's pattern (fixed by the format).
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Chunks that a worker remembers; it starts anew beyond that.
-REMEMBERED = 400_000
+#: Chunks, and pre-tokens, that a worker remembers; it starts anew beyond that.
+REMEMBERED = 600_000
 #: Chunks longer than this are not remembered.
 LONGEST_REMEMBERED = 64
 _NONE = 1 << 62
@@ -70,14 +70,14 @@ class SegmentTree:
 
 
 class Remembered(dict):
-    """Packed ids of the chunks that came lately."""
+    """Packed ids of the strings that came lately."""
 
-    def __init__(self, bpe: "Bpe"):
+    def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.bpe = bpe
+        self.make = make
 
     def __missing__(self, chunk: str) -> bytes:
-        found = self.bpe.chunk(chunk)
+        found = self.make(chunk)
         if len(chunk) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -105,7 +105,8 @@ class Bpe:
         self.bytes_of = {i: bytes(stands[c] for c in s) for s, i in vocab.items()}
         self.bytes_of.update({i: s.encode() for s, i in self.special.items()})
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.seen = Remembered(self)
+        self.pieces = Remembered(lambda piece: b"".join(i.to_bytes(4, "little") for i in self.word(piece.encode())))
+        self.seen = Remembered(self.chunk)
 
     def word(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -140,7 +141,7 @@ class Bpe:
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of one chunk as little-endian unsigned 32-bit integers."""
-        return b"".join(i.to_bytes(4, "little") for piece in PIECE.findall(chunk) for i in self.word(piece.encode()))
+        return b"".join(map(self.pieces.__getitem__, PIECE.findall(chunk)))
 
     def packed(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; a special token's string is that token."""
