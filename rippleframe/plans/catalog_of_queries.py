@@ -1,4 +1,406 @@
 """Registry of the engine's queries and of their DuckDB oracles."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from rippleframe.functions import exprs as X
+from rippleframe.operators import metrics, point_in_time, serialize, splits, tokens, verify
+from rippleframe.operators.catalog import FACTORS, MECHANISMS, STATES, catalogue
+from rippleframe.operators.expand import counterfactuals, with_families
+from rippleframe.operators.records import base_records
+from rippleframe.plans import oracle_parts as O
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.withColumns({n: F.round(n, 9) + F.lit(0.0) for n in names})
+
+
+def table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounds(names: list[str]) -> str:
+    return ", ".join(f"round({n}, 9) + 0.0 AS {n}" for n in names)
+
+
+@query(f"SELECT event_id, {O.unit_hash("'42:counterfactual:' || CAST(event_id AS VARCHAR)")} AS u FROM events WHERE {O.unit_hash("'42:counterfactual:' || CAST(event_id AS VARCHAR)")} < 0.25")
+def unit_hash_sample(spark, sf_dir):
+    u = X.unit_hash(42, F.concat(F.lit("counterfactual:"), F.col("event_id").cast("string")))
+    return table(spark, sf_dir, "events").select("event_id", u.alias("u")).where("u < 0.25")
+
+
+_RECORD = ["id", "mechanism", "subject_class", "subject", "direction", "magnitude", "entity_id", "horizon_days"]
+
+
+@query(O.with_parts(f"SELECT {', '.join(_RECORD)}, {rounds(FACTORS)} FROM rec", O.base()))
+def event_records(spark, sf_dir):
+    return rounded(base_records(spark, sf_dir).select(*_RECORD, *FACTORS), FACTORS)
+
+
+def _state_query(name: str):
+    def run(spark, sf_dir):
+        rows = base_records(spark, sf_dir).where(F.col("mechanism") == name)
+        return rounded(rows.select("id", *STATES), STATES)
+
+    return run
+
+
+for _m in MECHANISMS:
+    QUERIES[f"state_delta_{_m.name}"] = _state_query(_m.name)
+    ORACLES[f"state_delta_{_m.name}"] = O.with_parts(f"SELECT id, {rounds(STATES)} FROM rec WHERE mechanism = '{_m.name}'", O.base())
+
+
+@query(O.with_parts(f"SELECT id, {rounds(['economic_impact'])} FROM rec", O.base()))
+def economic_impact(spark, sf_dir):
+    return rounded(base_records(spark, sf_dir).select("id", "economic_impact"), ["economic_impact"])
+
+
+_VARIANT = ["id", "base_record_id", "group_id", "varied_field", "variant_index", "direction", "magnitude", "horizon_days"]
+
+
+@query(O.with_parts(f"SELECT {', '.join(_VARIANT)}, {rounds([*STATES, 'economic_impact'])} FROM var", O.base(), O.variants()))
+def counterfactual_expand(spark, sf_dir):
+    rows = counterfactuals(base_records(spark, sf_dir))
+    return rounded(rows.select(*_VARIANT, *STATES, "economic_impact"), [*STATES, "economic_impact"])
+
+
+@query(O.with_parts("SELECT mechanism, count(*) AS n_variants, count(DISTINCT group_id) AS n_groups, count(DISTINCT base_record_id) AS n_bases FROM var GROUP BY mechanism", O.base(), O.variants()))
+def counterfactual_group_counts(spark, sf_dir):
+    rows = counterfactuals(base_records(spark, sf_dir)).groupBy("mechanism", "base_record_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("varied_field").alias("g"))
+    return rows.groupBy("mechanism").agg(F.sum("n").alias("n_variants"), F.sum("g").alias("n_groups"), F.count(F.lit(1)).alias("n_bases"))
+
+
+@query(O.with_parts("SELECT mechanism, varied_field, variant_index, count(*) AS n, round(avg(economic_impact), 9) + 0.0 AS mean_impact FROM var GROUP BY ALL", O.base(), O.variants()))
+def counterfactual_response(spark, sf_dir):
+    rows = counterfactuals(base_records(spark, sf_dir)).groupBy("mechanism", "varied_field", "variant_index")
+    return rounded(rows.agg(F.count(F.lit(1)).alias("n"), F.avg("economic_impact").alias("mean_impact")), ["mean_impact"])
+
+
+@query(O.with_parts(
+    f"SELECT a.id, group_id, a.variant_index FROM (SELECT *, lag(economic_impact) OVER (PARTITION BY group_id ORDER BY variant_index) AS before FROM var WHERE varied_field = 'magnitude') a WHERE abs(economic_impact) < abs(before) - 1e-9",
+    O.base(), O.variants(),
+))
+def monotonic_violations(spark, sf_dir):
+    """Variants of a larger magnitude with a smaller impact. The window's key is one group of five rows."""
+    rows = counterfactuals(base_records(spark, sf_dir), ["magnitude"])
+    before = F.lag("economic_impact").over(Window.partitionBy("group_id").orderBy("variant_index"))
+    return rows.withColumn("before", before).where("abs(economic_impact) < abs(before) - 1e-9").select("id", "group_id", "variant_index")
+
+
+@query(O.with_parts("SELECT entity_id FROM ent WHERE r <= CASE WHEN n = 1 THEN CAST(floor(n * 0.1e0) AS BIGINT) ELSE greatest(1, least(CAST(floor(n * 0.1e0) AS BIGINT), n - 1)) END", O.base(), O.variants(), O.families()))
+def entity_ood_rank(spark, sf_dir):
+    return splits.held_out_entities(base_records(spark, sf_dir))
+
+
+@query(O.with_parts("SELECT family_key, entity_id, n_records, split FROM fam", O.base(), O.variants(), O.families()))
+def split_assignment(spark, sf_dir):
+    return splits.assigned(with_families(base_records(spark, sf_dir)))
+
+
+@query(O.with_parts(
+    "SELECT coalesce(split, 'total') AS split, count(DISTINCT family_key) AS n_families, count(*) AS n_records, round(avg(abs(economic_impact)), 9) AS mean_impact FROM (SELECT *, coalesce(base_record_id, id) AS k FROM all_rec) JOIN fam ON family_key = k GROUP BY ROLLUP (split)",
+    O.base(), O.variants(), O.families(),
+))
+def split_counts_rollup(spark, sf_dir):
+    """Flagship: events to labelled records, counterfactual families, leakage-free splits; sizes and mean impact.
+
+    Sums are taken per family before the rollup, so that the expanded records are shuffled as one row a family.
+    """
+    records = with_families(base_records(spark, sf_dir))
+    sums = records.groupBy(splits.family_key().alias("family_key")).agg(F.sum(F.abs(F.col("economic_impact"))).alias("total"))
+    rows = splits.assigned(records).join(sums, "family_key").rollup("split")
+    out = rows.agg(F.count(F.lit(1)).alias("n_families"), F.sum("n_records").alias("n_records"), F.round(F.sum("total") / F.sum("n_records"), 9).alias("mean_impact"))
+    return out.withColumn("split", F.coalesce("split", F.lit("total")))
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS key, CAST(NULL AS BIGINT) AS n_splits WHERE FALSE")
+def split_integrity_violations(spark, sf_dir):
+    return splits.violations(splits.split_records(with_families(base_records(spark, sf_dir))))
+
+
+@query(O.with_parts(
+    """SELECT kind, key, n_splits FROM (
+  SELECT 'family_leak' AS kind, k AS key, count(DISTINCT split) AS n_splits FROM t GROUP BY k HAVING count(DISTINCT split) > 1
+  UNION ALL SELECT 'entity_leak', entity_id, count(DISTINCT split) FROM t GROUP BY entity_id HAVING count(DISTINCT split) > 1 AND bool_or(split = 'test_entity_ood'))""",
+    O.base(), O.variants(), O.families(),
+    f"t AS (SELECT all_rec.*, coalesce(base_record_id, id) AS k, CASE WHEN {O.unit_hash("'7:tamper:' || id")} < 0.001e0 AND split IN ('train', 'test_entity_ood') THEN 'validation' ELSE split END AS split FROM all_rec JOIN fam ON family_key = coalesce(base_record_id, id))",
+))
+def split_tamper_violations(spark, sf_dir):
+    """The same checks over a dataset of which a few records have been moved to another split."""
+    rows = splits.split_records(with_families(base_records(spark, sf_dir)))
+    moved = (X.unit_hash(7, F.concat(F.lit("tamper:"), F.col("id"))) < 0.001) & F.col("split").isin("train", "test_entity_ood")
+    return splits.violations(rows.withColumn("split", F.when(moved, "validation").otherwise(F.col("split")))).where(F.col("kind").isin("family_leak", "entity_leak"))
+
+
+_TAMPER = "CAST(substr(id, 6, 6) AS BIGINT)"
+
+
+@query(O.with_parts(
+    """SELECT id, 'state_delta_mismatch' AS code, 'state_delta.operating_costs' AS path FROM rec WHERE CAST(substr(id, 6, 6) AS BIGINT) % 5 = 0 AND abs(operating_costs) > 1e-12
+UNION ALL SELECT id, 'economic_impact_mismatch', 'economic_impact' FROM rec WHERE CAST(substr(id, 6, 6) AS BIGINT) % 5 = 1
+UNION ALL SELECT id, 'invalid_horizon', 'horizon_days' FROM rec WHERE CAST(substr(id, 6, 6) AS BIGINT) % 5 = 2
+UNION ALL SELECT id, 'number_out_of_bounds', 'confidence' FROM rec WHERE CAST(substr(id, 6, 6) AS BIGINT) % 5 = 3""", O.base(),
+))
+def verify_issues(spark, sf_dir):
+    """Issues of a tampered copy of the base records: costs turned, impact moved, no horizon, confidence above 1."""
+    turn = F.pmod(F.substring("id", 6, 6).cast("long"), F.lit(5))
+    rows = base_records(spark, sf_dir).withColumns(
+        {
+            "operating_costs": F.when(turn == 0, -F.col("operating_costs")).otherwise(F.col("operating_costs")),
+            "economic_impact": F.when(turn == 1, F.when(F.col("economic_impact") > 0, F.col("economic_impact") - 0.5).otherwise(F.col("economic_impact") + 0.5)).otherwise(F.col("economic_impact")),
+            "horizon_days": F.when(turn == 2, 0).otherwise(F.col("horizon_days")),
+            "confidence": F.when(turn == 3, 1.5).otherwise(F.col("confidence")),
+            "turn": turn,
+        }
+    )
+    found = verify.verified(rows).select("id", "turn", F.explode("issues").alias("i")).select("id", "turn", "i.code", "i.path")
+    expected = F.when(F.col("turn") == 0, F.col("code") == "state_delta_mismatch").when(F.col("turn") == 1, F.col("code") == "economic_impact_mismatch").when(F.col("turn") == 2, F.col("code") == "invalid_horizon").otherwise(True)
+    return found.where(expected).select("id", "code", "path")
+
+
+@query(O.with_parts("SELECT id, 0 AS n_issues FROM rec WHERE FALSE", O.base()))
+def verify_sound_records(spark, sf_dir):
+    """Records and variants that break a rule: none."""
+    rows = verify.verified(with_families(base_records(spark, sf_dir)))
+    return rows.where(~F.col("valid")).select("id", F.size("issues").alias("n_issues"))
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    base = base_records(spark, sf_dir)
+    decided = splits.assigned(with_families(base)).select(F.col("family_key").alias("id"), "split")
+    return metrics.with_prediction(base.withColumn("base_record_id", F.lit(None).cast("string"))).join(decided, "id")
+
+
+_METRICS = ["mae", "sign_accuracy", "strong_mae"]
+
+
+@query(O.with_parts(f"SELECT {O.METRICS} FROM sco", O.base(), O.variants(), O.families(), O.scored()))
+def score_metrics(spark, sf_dir):
+    return rounded(_scored(spark, sf_dir).agg(*metrics.metrics()), _METRICS)
+
+
+_SLICES = {
+    "mechanism": "mechanism", "direction": "direction", "source": "source", "counterfactual": "'no'",
+    "horizon": "CASE WHEN horizon_days <= 30 THEN '<=30d' WHEN horizon_days <= 90 THEN '31-90d' ELSE '>90d' END",
+    "impact": "CASE WHEN abs(target) <= 0.05 THEN 'neutral' WHEN abs(target) < 0.5 THEN 'moderate' ELSE 'strong' END",
+}
+
+
+@query(O.with_parts(
+    " UNION ALL ".join(f"SELECT '{d}' AS dimension, {v} AS value, {O.METRICS}, count(*) < 20 AS small FROM sco GROUP BY {v}" for d, v in _SLICES.items()).replace("GROUP BY 'no'", ""),
+    O.base(), O.variants(), O.families(), O.scored(),
+))
+def score_slices(spark, sf_dir):
+    return rounded(metrics.sliced(_scored(spark, sf_dir)), _METRICS)
+
+
+_SELECTED = f"CASE split WHEN 'test_parameter_ood' THEN magnitude >= 0.98 WHEN 'test_combination_ood' THEN {O.combination()} WHEN 'test_hard_ood' THEN magnitude >= 0.98 AND {O.combination()} WHEN 'test_concept_ood' THEN {O.CONCEPT} ELSE TRUE END"
+
+
+@query(O.with_parts(
+    f"SELECT split, count(*) AS n, count(*) FILTER ({_SELECTED}) AS selected, count(*) - count(*) FILTER ({_SELECTED}) AS held_out_only FROM sco WHERE split LIKE '%_ood' GROUP BY split",
+    O.base(), O.variants(), O.families(), O.scored(),
+))
+def ood_metric_filter(spark, sf_dir):
+    return metrics.ood_filter(_scored(spark, sf_dir))
+
+
+@query(O.with_parts(f"SELECT coalesce(split, 'all') AS split, {O.METRICS} FROM sco WHERE split LIKE '%_ood' AND {_SELECTED} GROUP BY ROLLUP (split)", O.base(), O.variants(), O.families(), O.scored()))
+def ood_metrics_rollup(spark, sf_dir):
+    return rounded(metrics.ood_table(_scored(spark, sf_dir)), _METRICS)
+
+
+@query(O.with_parts(
+    " UNION ALL ".join(f"SELECT id AS record_id, 'fact:{k}' AS fact_id, '{f}' AS predicate, round({f}, 9) + 0.0 AS value FROM rec WHERE {f} IS NOT NULL" for k, f in enumerate(FACTORS)), O.base(),
+))
+def context_facts_unpivot(spark, sf_dir):
+    return rounded(serialize.unpivoted(base_records(spark, sf_dir)), ["value"])
+
+
+def _text_sql(mode: str) -> str:
+    facts = " || ".join(f"CASE WHEN {f} IS NULL THEN '' ELSE '[CONTEXT] subject=[CASE_ENTITY]; predicate={f}; value=' || CAST(round({f}, 2) AS VARCHAR) || '; unit=ratio; confidence=0.9' || chr(10) END" for f in sorted(FACTORS))
+    summary = "'[NO_SUMMARY]'" if mode == "none" else f"subject || ' ' || mechanism || ' ' || direction || ' ' || {O.general('magnitude')}"
+    return O.with_parts(
+        f"""SELECT id, '[CLS]' || chr(10) || '[EVENT] type=' || mechanism || '; summary=' || {summary} || '; subjects=' || subject_class || ':' || subject || '; direction=' || direction
+|| '; magnitude=' || {O.general('magnitude')} || '; unit=fraction; confidence=0.9' || chr(10) || '[CASE] type=company name=[CASE_ENTITY]' || chr(10) || '[HORIZON] ' || CAST(horizon_days AS VARCHAR) || 'd' || chr(10) || {facts} || '[SEP]' AS text FROM rec""",
+        O.base(),
+    )
+
+
+def _hundredths(spark, sf_dir) -> DataFrame:
+    """Base records with factors of two decimals, whose text is the same in both engines."""
+    return base_records(spark, sf_dir).withColumns({f: F.round(f, 2) for f in FACTORS})
+
+
+@query(_text_sql("full"))
+def serialize_records_full(spark, sf_dir):
+    return serialize.serialized(_hundredths(spark, sf_dir), "full")
+
+
+@query(_text_sql("none"))
+def serialize_records_none(spark, sf_dir):
+    return serialize.serialized(_hundredths(spark, sf_dir), "none")
+
+
+@query(O.with_parts(
+    "SELECT id || '::runtime-view-v1' AS id, 'According to the latest report, ' || phrase || ' linked to ' || subject || ' ' || CASE WHEN direction = 'increase' THEN 'increased' ELSE 'decreased' END || '; normalized shock magnitude ' || "
+    + O.general("magnitude") + " || '. The article also contained unrelated market commentary and quarterly background.' AS summary FROM rec JOIN ph USING (mechanism) WHERE "
+    + O.unit_hash("'runtime-view-v1' || chr(0) || '42' || chr(0) || id") + " < 0.2e0",
+    O.base(), "ph(mechanism, phrase) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in serialize.PHRASES.items()) + ")",
+))
+def runtime_views(spark, sf_dir):
+    return serialize.runtime_views(base_records(spark, sf_dir))
+
+
+_FACTS = """facts AS (SELECT event_id, user_id AS subject, event_type AS predicate, value, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS valid_to,
+  ts + to_hours(CAST(event_id % 48 AS INT)) AS observed_at FROM events)"""
+
+
+@query(f"WITH {_FACTS} SELECT subject, predicate, count(*) AS n, round(sum(value), 6) AS total FROM facts WHERE observed_at <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL")
+def pit_visible_facts(spark, sf_dir):
+    """What was known a day before the last event."""
+    cutoff = table(spark, sf_dir, "events").agg((F.max(F.col("ts").cast("timestamp")) - F.expr("INTERVAL 1 DAY")).alias("c")).first()["c"]
+    rows = point_in_time.visible(point_in_time.facts(spark, sf_dir), F.lit(cutoff))
+    return rows.groupBy("subject", "predicate").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query(f"""WITH {_FACTS}, e AS (SELECT event_id, user_id AS subject, 'purchase' AS predicate, ts AS at FROM events WHERE event_type = 'view'),
+j AS (SELECT e.event_id, f.event_id AS latest_event_id, f.value AS latest_value, row_number() OVER (PARTITION BY e.event_id ORDER BY f.observed_at DESC, f.event_id DESC) AS r
+  FROM e LEFT JOIN facts f ON f.subject = e.subject AND f.predicate = e.predicate AND f.observed_at <= e.at)
+SELECT event_id, latest_event_id, latest_value FROM j WHERE r = 1""")
+def asof_latest_fact(spark, sf_dir):
+    """For each view, the newest purchase of the same user that was known by then."""
+    facts = point_in_time.facts(spark, sf_dir)
+    views = table(spark, sf_dir, "events").where("event_type = 'view'")
+    views = views.select("event_id", F.col("user_id").alias("subject"), F.lit("purchase").alias("predicate"), F.col("ts").cast("timestamp").alias("at"))
+    found = point_in_time.latest_before(views, facts.where("predicate = 'purchase'"), ["subject", "predicate"], "at", "observed_at", ["event_id", "value"])
+    return found.select("event_id", "latest_event_id", "latest_value")
+
+
+@query(f"""WITH {_FACTS} SELECT o.event_id, count(f.event_id) AS n_valid, round(coalesce(sum(f.value), 0), 6) AS total FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error') o
+LEFT JOIN facts f ON f.subject = o.user_id AND f.valid_from <= o.ts AND (f.valid_to IS NULL OR o.ts <= f.valid_to) GROUP BY o.event_id""")
+def valid_at_event(spark, sf_dir):
+    """Facts of the user that were valid at each error: equality on the user first, then the closed interval."""
+    facts = point_in_time.facts(spark, sf_dir).select("subject", F.col("value").alias("v"), "valid_from", "valid_to")
+    errors = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", F.col("user_id").alias("u"), F.col("ts").cast("timestamp").alias("at"))
+    joined = errors.join(facts, (F.col("subject") == F.col("u")) & point_in_time.valid_at(F.col("at")), "left")
+    return joined.groupBy("event_id").agg(F.count("v").alias("n_valid"), F.round(F.coalesce(F.sum("v"), F.lit(0.0)), 6).alias("total"))
+
+
+@query("""SELECT event_id, user_id, (SELECT count(*) FROM events h WHERE h.user_id = e.user_id AND h.ts < e.ts) AS n_before,
+(SELECT max((h.ts, h.event_id)).event_id FROM (SELECT user_id, ts, event_id FROM events) h WHERE h.user_id = e.user_id AND h.ts < e.ts) AS previous FROM events e""".replace("max((h.ts, h.event_id)).event_id", "arg_max(h.event_id, (h.ts, h.event_id))"))
+def historical_events(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return point_in_time.history(rows, "user_id", "ts", "event_id").select("event_id", "user_id", "n_before", "previous")
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY lower(trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')))")
+def dedup_documents(spark, sf_dir):
+    """Distinct texts, whatever their case and white space. Grouped by a digest, so the shuffle carries no text."""
+    key = F.sha2(X.normalised_text(F.col("text")), 256)
+    return table(spark, sf_dir, "documents").groupBy(key.alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).drop("k")
+
+
+_WORDS = "wc AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]')) AS word FROM documents) GROUP BY word)"
+
+
+@query(f"WITH {_WORDS} SELECT word, n FROM wc")
+def pretoken_counts(spark, sf_dir):
+    return tokens.word_counts(table(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {_WORDS} SELECT DISTINCT unnest(string_split(word, '')) AS ch FROM wc")
+def char_vocab(spark, sf_dir):
+    return tokens.characters(tokens.word_counts(table(spark, sf_dir, "documents")))
+
+
+@query(f"""WITH {_WORDS}, s AS (SELECT list_append(string_split(word, ''), '</w>') AS s, n FROM wc), p AS (SELECT unnest(list_zip(s[1:len(s) - 1], s[2:])) AS p, n FROM s)
+SELECT p[1] AS "left", p[2] AS "right", CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY ALL""")
+def pair_counts(spark, sf_dir):
+    return tokens.pair_counts(tokens.word_counts(table(spark, sf_dir, "documents")))
+
+
+@query()
+def bpe_vocab(spark, sf_dir):
+    """Tokens and ids of a vocabulary of 600 learned from the benchmark's texts."""
+    bpe = tokens.train(table(spark, sf_dir, "benchmark"), 600)
+    return spark.createDataFrame(sorted((i, t) for t, i in bpe.vocab.items()), "token_id int, token string")
+
+
+@query()
+def bpe_encode_lengths(spark, sf_dir):
+    bpe = tokens.train(table(spark, sf_dir, "benchmark"), 600)
+    rows = tokens.encoded(table(spark, sf_dir, "benchmark"), bpe, id_column="item_id")
+    return rows.select("id", F.size("ids").cast("long").alias("n_tokens"), F.size(F.filter("ids", lambda x: x == 1)).cast("long").alias("n_unknown"))
+
+
+@query("SELECT conv_id, count(*) AS n_turns, sha256(string_agg(CAST(octet_length(encode(text)) AS VARCHAR) || ':' || text, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+def conversation_digest(spark, sf_dir):
+    """Order-sensitive digest of each conversation over length-prefixed turns."""
+    part = F.struct("turn", F.concat(F.octet_length("text").cast("string"), F.lit(":"), F.col("text")).alias("t"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.array_sort(F.collect_list(part)).alias("parts"))
+    return rows.select("conv_id", "n_turns", F.sha2(F.array_join(F.transform("parts", lambda p: p["t"]), ""), 256).alias("digest"))
+
+
+@query("SELECT i AS step, round(CASE WHEN i < 100 THEN (i + 1) / 100.0e0 ELSE 0.5e0 * (1 + cos(pi() * least(1.0e0, (i - 100) / 900.0e0))) END, 9) AS factor FROM range(0, 1000) r(i)")
+def lr_schedule(spark, sf_dir):
+    """Learning-rate factor by step: linear warm-up over 100 steps, then a cosine over 900."""
+    i = F.col("step")
+    cosine = 0.5 * (1 + F.cos(F.pi() * F.least(F.lit(1.0), (i - 100) / 900.0)))
+    return spark.range(0, 1000).withColumnRenamed("id", "step").select("step", F.round(F.when(i < 100, (i + 1) / 100.0).otherwise(cosine), 9).alias("factor"))
+
+
+_CHECKPOINTS = [(p, e) for p in ("mlm", "score") for e in range(1, 6)]
+
+
+@query("WITH c(phase, epoch) AS (VALUES " + ", ".join(f"('{p}', {e})" for p, e in _CHECKPOINTS) + ") SELECT phase, epoch, phase || '_epoch_' || lpad(CAST(epoch AS VARCHAR), 3, '0') || '.pt' AS name FROM (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY epoch DESC) AS r FROM c) WHERE r > 2")
+def checkpoint_retention(spark, sf_dir):
+    """Periodic checkpoints to remove when the newest two of each phase stay."""
+    rows = spark.createDataFrame(_CHECKPOINTS, "phase string, epoch int")
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("phase").orderBy(F.desc("epoch")))).where("r > 2")
+    return rows.select("phase", "epoch", F.concat("phase", F.lit("_epoch_"), F.lpad(F.col("epoch").cast("string"), 3, "0"), F.lit(".pt")).alias("name"))
+
+
+_OLD = [("seed", "42"), ("batch", "32"), ("lr", None), ("mode", "full")]
+_NEW = [("seed", "42"), ("batch", "64"), ("lr", None), ("patience", "3")]
+
+
+def _values(rows) -> str:
+    return "(VALUES " + ", ".join("('{}', {})".format(k, "NULL" if v is None else f"'{v}'") for k, v in rows) + ")"
+
+
+@query(f"SELECT key, a.v AS before, b.v AS after FROM {_values(_OLD)} a(key, v) FULL JOIN {_values(_NEW)} b(key, v) USING (key) WHERE a.v IS DISTINCT FROM b.v")
+def run_contract_diff(spark, sf_dir):
+    a, b = spark.createDataFrame(_OLD, "key string, before string"), spark.createDataFrame(_NEW, "key string, after string")
+    return a.join(b, "key", "full").where(~F.col("before").eqNullSafe(F.col("after"))).select("key", "before", "after")
+
+
+@query("SELECT unnest([]::VARCHAR[]) AS name, '' AS side WHERE FALSE")
+def registry_equality(spark, sf_dir):
+    """Names that only the catalogue or only the formulas have: none."""
+    a = catalogue(spark).select(F.col("mechanism").alias("name"))
+    b = spark.createDataFrame([(m.name,) for m in MECHANISMS], "name string")
+    return a.exceptAll(b).withColumn("side", F.lit("catalogue")).unionByName(b.exceptAll(a).withColumn("side", F.lit("formulas")))
+
+
+@query(O.with_parts("SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'error') AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)", O.catalogue()))
+def key_set_difference(spark, sf_dir):
+    """Set operations on keys: users with purchases and errors, but not customers in debt."""
+    e = table(spark, sf_dir, "events")
+    buyers, failed = e.where("event_type = 'purchase'").select("user_id"), e.where("event_type = 'error'").select("user_id")
+    return buyers.intersect(failed).subtract(table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("user_id")))
