@@ -37,16 +37,25 @@ def state_sql(state: str) -> str:
     return f"(greatest(-1.0e0, least(1.0e0, CASE {cases} ELSE 0.0e0 END)) + 0.0e0)"
 
 
+def effects_sql() -> str:
+    """A struct of all six effects before the clamp, by one CASE: a row evaluates its own mechanism's formulas only."""
+    cases = " ".join(
+        f"WHEN mechanism = '{m.name}' THEN named_struct({', '.join(f"'{s}', CAST({resolved(m.name, s) if s in m.effects else '0.0e0'} AS DOUBLE)" for s in STATES)})" for m in MECHANISMS
+    )
+    return f"CASE {cases} END"
+
+
+def clamped(effect: Column) -> Column:
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), effect)) + F.lit(0.0)
+
+
 def impact_sql() -> str:
     total = " + ".join(f"({w}e0 * {s})" for s, w in WEIGHTS.items())
     return f"(greatest(-1.0e0, least(1.0e0, {total})) + 0.0e0)"
 
 
-def state(name: str) -> Column:
-    return F.expr(state_sql(name))
-
-
-def labelled(rows: DataFrame, prefix: str = "") -> DataFrame:
+def labelled(rows: DataFrame) -> DataFrame:
     """Adds the six state fields and economic_impact to rows with mechanism, direction, magnitude, horizon_days and the
     factors as columns. A factor that a mechanism needs but that is null makes its effects null."""
-    return rows.withColumns({s: state(s) for s in STATES}).withColumn("economic_impact", F.expr(impact_sql()))
+    rows = rows.withColumn("_effects", F.expr(effects_sql())).withColumns({s: clamped(F.col("_effects")[s]) for s in STATES})
+    return rows.drop("_effects").withColumn("economic_impact", F.expr(impact_sql()))

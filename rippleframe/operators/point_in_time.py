@@ -44,6 +44,6 @@ def latest_before(events: DataFrame, states: DataFrame, keys: list[str], at: str
 
 def history(events: DataFrame, key: str, at: str, id_column: str) -> DataFrame:
     """How many events of the same key came strictly before, and the last of them, by one sorted pass."""
-    earlier = Window.partitionBy(key).orderBy(F.col(at).cast("timestamp").cast("double")).rangeBetween(Window.unboundedPreceding, -1e-6)
+    earlier = Window.partitionBy(key).orderBy(F.unix_micros(at)).rangeBetween(Window.unboundedPreceding, -1)
     newest = F.max(F.struct(at, id_column)).over(earlier)
     return events.select(key, id_column, at, F.count(F.lit(1)).over(earlier).alias("n_before"), newest[id_column].alias("previous"))

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rippleframe.operators.catalog import BY_NAME, DIRECTIONS, FACTORS, INDEPENDENT_SOURCES, MECHANISMS, STATES
-from rippleframe.operators.labels import impact_sql, state_sql
+from rippleframe.operators.labels import clamped, effects_sql, impact_sql
 
 TOLERANCE = 1e-12
+EXPECTED = "_expected_effects"
 
 
 def _true(c: Column) -> Column:
@@ -16,7 +17,7 @@ def _true(c: Column) -> Column:
 
 
 def rules() -> list[tuple[str, str, Column]]:
-    """(code, path, condition that breaks the rule)."""
+    """(code, path, condition that breaks the rule); the effects by formula are in the column EXPECTED."""
     d = F.when(F.col("direction") == "increase", 1.0).otherwise(-1.0)
     known = F.col("mechanism").isin(list(BY_NAME))
     out = [("mechanism_contract", "event.mechanism", ~_true(known)), ("mechanism_contract", "event.direction", ~_true(F.col("direction").isin(DIRECTIONS)))]
@@ -33,7 +34,7 @@ def rules() -> list[tuple[str, str, Column]]:
     for s in STATES:
         affected = F.col("mechanism").isin([m.name for m in MECHANISMS if s in m.effects])
         out.append(("undeclared_state_effect", f"state_delta.{s}", _true(~affected & (F.abs(F.col(s)) > TOLERANCE))))
-        out.append(("state_delta_mismatch", f"state_delta.{s}", _true(~own & (F.abs(F.col(s) - F.expr(state_sql(s))) > TOLERANCE))))
+        out.append(("state_delta_mismatch", f"state_delta.{s}", _true(~own & (F.abs(F.col(s) - clamped(F.col(EXPECTED)[s])) > TOLERANCE))))
         for sign in (1, -1):
             bound = F.col("mechanism").isin([m.name for m in MECHANISMS if m.signs.get(s) == sign])
             out.append(("state_sign_invariant", f"state_delta.{s}", _true(bound & (F.col(s) * d * sign < -TOLERANCE))))
@@ -51,7 +52,8 @@ def rules() -> list[tuple[str, str, Column]]:
 def verified(records: DataFrame) -> DataFrame:
     """Records with `issues`, an array of (code, path), and `valid`."""
     found = F.array(*[F.when(broken, F.struct(F.lit(code).alias("code"), F.lit(path).alias("path"))) for code, path, broken in rules()])
-    return records.withColumn("issues", F.filter(found, lambda x: x.isNotNull())).withColumn("valid", F.size("issues") == 0)
+    rows = records.withColumn(EXPECTED, F.expr(effects_sql())).withColumn("issues", F.filter(found, lambda x: x.isNotNull()))
+    return rows.drop(EXPECTED).withColumn("valid", F.size("issues") == 0)
 
 
 def require_valid(records: DataFrame) -> DataFrame:
