@@ -7,11 +7,10 @@ within CHUNKS x (ERRORS + 1) - 1 of each other have a chunk with at most ERRORS
 indexed once for every choice of ERRORS symbols that may differ: two classes meet in a bucket exactly if some chunk has
 at most ERRORS errors, and no pair within that distance is missed.
 
-Buckets are never expanded into all pairs. Within a bucket, every member is compared with the least member of the bucket;
-confirmed links join components, and in the next round buckets count components instead of classes. When a round finds no
-new link, what is left in a bucket are components that are near but not linked to its least one; then all pairs of
-different components in a bucket that pass the signature distance and the size ratio are compared, so no link is lost.
-Links are confirmed on full sets.
+Linked groups are never expanded into all pairs. Each bucket has a centre; a member is compared with the centre that it
+shares most buckets with, confirmed links join components, and in the next round another member is the centre and only
+those of other components are compared. After STAR_ROUNDS rounds, all pairs of different components in a bucket that pass
+the signature distance and the size ratio are compared, so no link between components is lost. Links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rippleframe.llm.common import by_slice, shared_dir, sliced, written
@@ -29,9 +28,11 @@ from rippleframe.llm.common import by_slice, shared_dir, sliced, written
 CHUNKS, WIDTH, ERRORS = 6, 7, 2
 SYMBOLS = CHUNKS * WIDTH
 #: Signatures that differ in more symbols are no candidates. At a similarity of 0.8 the mean is 8.4, the deviation 2.6.
-MOST_DISTANCE = 24
+MOST_DISTANCE = 20
+#: Distances are taken on 8 bits of a symbol, in lanes of 9 bits; 7 of them fit a long.
+LANE = 9
 #: Rounds in which buckets are compared with their least member, before all pairs of what is left.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 4
 _UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MULTIPLY = np.random.default_rng(20_240_501).integers(1, 2**63, size=(SYMBOLS, 2), dtype=np.uint64) | np.uint64(1)
 _MASKS = [np.array([k for k in range(WIDTH) if k not in gone]) for gone in combinations(range(WIDTH), ERRORS)]
@@ -81,39 +82,61 @@ def signature(own: np.ndarray) -> np.ndarray:
     return (mixed(out) >> np.uint64(32)).astype(np.uint32)
 
 
-def bucket_keys(sign: np.ndarray) -> np.ndarray:
-    """One key for each chunk and each choice of symbols that may differ."""
-    out = []
+def bucket_keys(signs: np.ndarray) -> np.ndarray:
+    """For each signature (row), one key for each chunk and each choice of symbols that may differ; key mod 8 is the chunk."""
+    out = np.empty((len(signs), CHUNKS * len(_MASKS)), dtype=np.uint64)
     for c in range(CHUNKS):
-        chunk = sign[c * WIDTH : (c + 1) * WIDTH].astype(np.uint64)
+        chunk = signs[:, c * WIDTH : (c + 1) * WIDTH].astype(np.uint64)
         for m, kept in enumerate(_MASKS):
-            key = np.uint64(c * len(_MASKS) + m + 1)
+            key = np.full(len(signs), c * len(_MASKS) + m + 1, dtype=np.uint64)
             for k in kept:
-                key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ chunk[k]
+                key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ chunk[:, k]
                 key ^= key >> np.uint64(29)
-            out.append(key)
-    return mixed(np.array(out, dtype=np.uint64))
+            out[:, c * len(_MASKS) + m] = (mixed(key) & np.uint64(2**64 - 8)) | np.uint64(c)
+    return out
+
+
+def lanes(sign: np.ndarray) -> list[int]:
+    """One long for each chunk: 8 bits of each symbol in a lane of LANE bits, for distances by bit operations."""
+    low = (sign & np.uint32(255)).astype(np.int64).reshape(CHUNKS, WIDTH)
+    return (low << (LANE * np.arange(WIDTH, dtype=np.int64))).sum(axis=1).tolist()
+
+
+def _errors(a: str, b: str, c: int) -> Column:
+    """Differing symbols of chunk c: a lane that is not 0 carries into its highest bit when 255 is added."""
+    x = F.col(a)[c].bitwiseXOR(F.col(b)[c])
+    return F.bit_count((x + F.lit(sum(255 << LANE * k for k in range(WIDTH)))).bitwiseAND(F.lit(sum(256 << LANE * k for k in range(WIDTH)))))
+
+
+def distance(a: str, b: str) -> Column:
+    """Differing symbols of two signatures; the few that agree in their lowest bits only count as equal."""
+    out = _errors(a, b, 0)
+    for c in range(1, CHUNKS):
+        out = out + _errors(a, b, c)
+    return out
 
 
 def sketches(docs: DataFrame, text: str, id_column: str, size: int) -> DataFrame:
-    """id, n, set_hash (two longs), sign: one row per document, row by row. The signature of an empty set is null."""
+    """id, n, low and high (hash of the set), sign, lanes: one row per document, row by row. The signature of an empty set is null."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, low, high, signs = [], [], [], []
+        n, low, high, signs, near = [], [], [], [], []
         with np.errstate(over="ignore"):
             for x in batch.column("body").to_pylist():
                 own = shingles(x, size)
                 n.append(len(own))
                 low.append(int(own.sum(dtype=np.uint64).view(np.int64)) if len(own) else 0)
                 high.append(int(np.bitwise_xor.reduce(mixed(own + np.uint64(1))).view(np.int64)) if len(own) else 0)
-                signs.append(signature(own).tobytes() if len(own) else None)
+                sign = signature(own) if len(own) else None
+                signs.append(None if sign is None else sign.tobytes())
+                near.append(None if sign is None else lanes(sign))
         return pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(signs, pa.binary())],
-            names=["id", "n", "low", "high", "sign"],
+            [batch.column("id"), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(signs, pa.binary()), pa.array(near, pa.list_(pa.int64()))],
+            names=["id", "n", "low", "high", "sign", "lanes"],
         )
 
     rows = docs.select(docs[id_column].cast("long").alias("id"), F.coalesce(docs[text], F.lit("")).alias("body"))
-    return rows.mapInArrow(by_slice(work), "id long, n long, low long, high long, sign binary")
+    return rows.mapInArrow(by_slice(work), "id long, n long, low long, high long, sign binary, lanes array<long>")
 
 
 def _indexed(classes: DataFrame) -> DataFrame:
@@ -121,10 +144,9 @@ def _indexed(classes: DataFrame) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         with np.errstate(over="ignore"):
-            keys = [bucket_keys(np.frombuffer(x, dtype=np.uint32)) for x in batch.column("sign").to_pylist()]
-        each = CHUNKS * len(_MASKS)
-        ids = np.repeat(batch.column("id").to_numpy(), each)
-        keys = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            signs = np.frombuffer(b"".join(batch.column("sign").to_pylist()), dtype=np.uint32).reshape(-1, SYMBOLS)
+            keys = bucket_keys(signs).reshape(-1).view(np.int64)
+        ids = np.repeat(batch.column("id").to_numpy(), CHUNKS * len(_MASKS))
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["key", "id"])
 
     return classes.select("id", "sign").mapInArrow(by_slice(work), "key long, id long")
@@ -210,49 +232,47 @@ def find(spark: SparkSession, docs: DataFrame, text: str = "text", id_column: st
     scratch = shared_dir(spark)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     sketch = written(spark, sketches(docs, text, id_column, size), f"{scratch}/sketch")
-    classes = sketch.where("n > 0 and id is not null").groupBy("n", "low", "high").agg(F.min("id").alias("id"), F.min("sign").alias("sign"))
+    classes = sketch.where("n > 0 and id is not null").groupBy("n", "low", "high").agg(F.min("id").alias("id"), F.min("sign").alias("sign"), F.min("lanes").alias("lanes"))
     classes = written(spark, classes, f"{scratch}/classes")
     buckets = written(spark, _shared_buckets(_indexed(classes), partitions), f"{scratch}/buckets")
-    described = classes.select("id", "n", "sign")
+    described = classes.select("id", "n", "lanes")
     tried: DataFrame | None = None
     links: DataFrame | None = None
     named: DataFrame | None = None
 
-    def passing(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes and signatures do not rule the similarity out."""
-        x = described.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sign").alias("s_a"))
-        y = described.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sign").alias("s_b"))
-        pairs = pairs.join(x, "a").join(y, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-
-        def near(batch: pa.RecordBatch) -> pa.RecordBatch:
-            if not batch.num_rows:
-                return batch.select(["a", "b"])
-            s, t = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint32).reshape(-1, SYMBOLS) for c in ("s_a", "s_b"))
-            return batch.select(["a", "b"]).filter(pa.array((s != t).sum(axis=1) <= MOST_DISTANCE))
-
-        return pairs.select("a", "b", "s_a", "s_b").mapInArrow(by_slice(near), "a long, b long")
+    def sized(n: str, m: str) -> Column:
+        return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
     for step in range(STAR_ROUNDS + 1):
-        owned = buckets
         if named is not None:
             owned = buckets.join(named, "id", "left").select("key", "id", F.coalesce("component", "id").alias("owner"))
         else:
             owned = buckets.select("key", "id", F.col("id").alias("owner"))
+        bounds = owned.groupBy("key").agg(F.max("owner").alias("top"), F.min("owner").alias("bottom")).where("top <> bottom").select("key")
+        x = described.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("lanes").alias("l_a"))
+        y = described.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("lanes").alias("l_b"))
         if step < STAR_ROUNDS:
-            # The centre is another member each time, so that a bucket of many components links up soon.
-            order = F.struct("owner", "id") if step == 0 else F.struct(F.xxhash64("owner", F.lit(step)), "owner", F.xxhash64("id", F.lit(step)), "id")
-            centre = owned.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "owner")).alias("c"), F.max("owner").alias("top"), F.min("owner").alias("bottom"))
+            # The centre is another member each time. Each member is compared with the one that it shares most buckets with.
+            order = F.struct("owner", "id") if step == 0 else F.struct(F.xxhash64("owner", F.lit(step)), F.xxhash64("id", F.lit(step)), "owner", "id")
+            centre = owned.groupBy("key").agg(F.min(order).alias("c"), F.max("owner").alias("top"), F.min("owner").alias("bottom"))
             centre = centre.where("top <> bottom").select("key", F.col("c.id").alias("centre"), F.col("c.owner").alias("mine"))
-            pairs = owned.join(centre, "key").where("owner <> mine").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+            shared = owned.join(centre, "key").where("owner <> mine").groupBy("id", "centre").agg(F.count(F.lit(1)).alias("m"))
+            nearest = shared.groupBy("id").agg(F.max(F.struct("m", "centre")).alias("best")).select("id", F.col("best.centre").alias("centre"))
+            pairs = nearest.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+            pairs = pairs.join(x, "a").join(y, "b").where(sized("n_a", "n_b") & (distance("l_a", "l_b") <= MOST_DISTANCE)).select("a", "b")
         else:
-            mixed_keys = owned.groupBy("key").agg(F.max("owner").alias("top"), F.min("owner").alias("bottom")).where("top <> bottom").select("key")
-            own = owned.join(mixed_keys, "key").join(described.select("id", "n"), "id")
-            x, y = own.select("key", F.col("id").alias("a"), F.col("owner").alias("o"), F.col("n").alias("p")), own.select("key", F.col("id").alias("b"), F.col("owner").alias("q"), F.col("n").alias("r"))
-            pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("o") != F.col("q")) & (100 * F.least("p", "r") >= percent * F.greatest("p", "r")))
-            pairs = pairs.select("a", "b").distinct()
+            own = owned.join(bounds, "key").join(described, "id")
+            x = own.select("key", F.col("id").alias("a"), F.col("owner").alias("o"), F.col("n").alias("n_a"), F.col("lanes").alias("l_a"))
+            y = own.select("key", F.col("id").alias("b"), F.col("owner").alias("q"), F.col("n").alias("n_b"), F.col("lanes").alias("l_b"))
+            # A pair comes out of the buckets of its first chunk with few errors only.
+            chunk, first = F.pmod("key", F.lit(8)), F.lit(CHUNKS)
+            for c in reversed(range(CHUNKS)):
+                first = F.when(_errors("l_a", "l_b", c) <= ERRORS, c).otherwise(first)
+            near = sized("n_a", "n_b") & (distance("l_a", "l_b") <= MOST_DISTANCE) & (first >= chunk)
+            pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("o") != F.col("q")) & near).select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(spark, passing(pairs), f"{scratch}/pairs-{step}")
+        pairs = written(spark, pairs, f"{scratch}/pairs-{step}")
         new = written(spark, confirmed(pairs, docs, text, id_column, size, percent), f"{scratch}/links-{step}")
         tried = pairs if tried is None else tried.unionByName(pairs)
         if new.isEmpty():
