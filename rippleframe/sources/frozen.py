@@ -7,16 +7,30 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from rippleframe.operators.catalog import FACTORS, SPLITS, STATES
 
 #: Fixed value of the data contract.
 SCHEMA_VERSION = "1.0"
-RECORD = StructType.fromDDL(
-    "id string, event struct<mechanism:string,subject_class:string,subject:string,direction:string,magnitude:double,summary:string,unit:string>, target struct<entity_id:string>, "
-    f"context struct<{','.join(f + ':double' for f in FACTORS)}>, horizon_days int, state_delta struct<{','.join(s + ':double' for s in STATES)}>, economic_impact double, confidence double, "
-    "metadata struct<source:string,generator_version:string,seed:bigint>"
+
+
+def _struct(kind, names) -> StructType:
+    return StructType([StructField(n, kind) for n in names])
+
+
+RECORD = StructType(
+    [
+        StructField("id", StringType()),
+        StructField("event", StructType([*_struct(StringType(), ["mechanism", "subject_class", "subject", "direction"]), StructField("magnitude", DoubleType()), *_struct(StringType(), ["summary", "unit"])])),
+        StructField("target", _struct(StringType(), ["entity_id"])),
+        StructField("context", _struct(DoubleType(), FACTORS)),
+        StructField("horizon_days", IntegerType()),
+        StructField("state_delta", _struct(DoubleType(), STATES)),
+        StructField("economic_impact", DoubleType()),
+        StructField("confidence", DoubleType()),
+        StructField("metadata", StructType([*_struct(StringType(), ["source", "generator_version"]), StructField("seed", LongType())])),
+    ]
 )
 OPTIONAL = {"event.summary", "event.unit", *[f"context.{f}" for f in FACTORS]}
 

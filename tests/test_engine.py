@@ -34,7 +34,7 @@ def test_query_equals_sql(spark, sf_dir, name):
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     got = QUERIES[name](spark, sf_dir).toArrow()
-    want = con.execute(ORACLES[name]).fetch_arrow_table()
+    want = con.execute(ORACLES[name]).to_arrow_table()
     columns = sorted(got.column_names)
     assert columns == sorted(want.column_names)
     rows = lambda t: sorted(tuple(repr(r[c] + 0.0 if isinstance(r[c], float) else r[c]) for c in columns) for r in t.to_pylist())
