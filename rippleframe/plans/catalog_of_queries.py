@@ -168,7 +168,7 @@ def verify_issues(spark, sf_dir):
             "turn": turn,
         }
     )
-    found = verify.verified(rows).select("id", "turn", F.explode("issues").alias("i")).select("id", "turn", "i.code", "i.path")
+    found = verify.verified(rows).select("id", "turn", F.explode_outer("issues").alias("i")).where("i is not null").select("id", "turn", "i.code", "i.path")
     expected = F.when(F.col("turn") == 0, F.col("code") == "state_delta_mismatch").when(F.col("turn") == 1, F.col("code") == "economic_impact_mismatch").when(F.col("turn") == 2, F.col("code") == "invalid_horizon").otherwise(True)
     return found.where(expected).select("id", "code", "path")
 
@@ -177,7 +177,8 @@ def verify_issues(spark, sf_dir):
 def verify_sound_records(spark, sf_dir):
     """Records and variants that break a rule: none."""
     rows = verify.verified(with_families(base_records(spark, sf_dir)))
-    return rows.where(~F.col("valid")).select("id", F.size("issues").alias("n_issues"))
+    # A generated column keeps the filter above it, so that the long list of rules is not copied into the scan's filter.
+    return rows.select("id", F.explode_outer(F.array(F.size("issues"))).alias("n_issues")).where("n_issues > 0")
 
 
 def _scored(spark, sf_dir) -> DataFrame:
