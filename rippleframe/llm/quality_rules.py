@@ -5,8 +5,13 @@ scripts of every kind, and its types saturate where those of words grow with the
 slice with vector operations, and Spark adds the counts over all documents. Lower orders count distinct left
 extensions, as Kneser-Ney asks. Discounts come from counts of counts, for each language and order. The model is
 stored as sorted arrays of hashes with logarithms of probabilities, of at most 2^MOST_BITS n-grams of the highest order, so
-what is broadcast has a fixed bound whatever the corpus is. A document's perplexity outside its language's lower or
-upper band, both set from the median and its spread over all documents, rejects it.
+what is broadcast has a fixed bound whatever the corpus is.
+
+Two measures of a document are held against bands of its language. Its perplexity must not lie above the upper one. Its
+perplexity by types, where each distinct n-gram of the highest order counts once as in Kneser-Ney's lower orders, must not
+lie below the lower one: contexts that little but the document itself has are nearly certain there, while a text that is
+copied often gains nothing. Medians and spreads have one vote for each distinct text that passes the base rules. Means over
+n bytes stray with 1 / sqrt(n), so spreads are of deviations times sqrt(n), and at least that of the longest tenth.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -27,12 +32,14 @@ ORDER = 5
 MOST_BITS = 20
 #: A worker spreads the highest order over 2^22 places, 6 bytes each; a place is checked by 16 further bits.
 PLACE_BITS = 22
-#: Bands: median - LOW x spread to median + HIGH x spread of log perplexity, spread being the median absolute deviation.
-LOW, HIGH = 40.0, 20.0
-#: The spread counts as this at least, where a language has a few like documents only.
-LEAST_SPREAD = 0.02
-#: A mean over few bytes strays: the bands widen by SLACK / sqrt(characters), four times 1.5 nats, a byte's deviation.
-SLACK = 6.0
+#: Bands: middle - LOW x spread of log perplexity by types, middle + HIGH x spread of log perplexity.
+LOW, HIGH = 18.0, 14.0
+#: A language with fewer distinct texts that pass the base rules has no bands.
+LEAST_VOTES = 30
+#: The spread counts as this at least, in nats.
+LEAST_SPREAD = 0.002
+#: Discount of a type.
+TYPE_DISCOUNT = 0.5
 #: Languages with more documents get models of their own; at most so many, by documents. All others share one.
 MOST_LANGUAGES = 64
 SYMBOLS = "#*$%&|<>"
@@ -162,13 +169,15 @@ class KneserNey:
     """Interpolated modified Kneser-Ney over sorted arrays of hashes, for one language or more.
 
     found: for each order, the sorted hashes of its n-grams and their log probabilities. weight: for each length of a
-    context, the sorted hashes of contexts and the logarithm of the weight that unseen continuations get.
+    context, the sorted hashes of contexts and the logarithm of the weight that unseen continuations get. types: log
+    probabilities of the highest order's n-grams where each counts once, in the order of found.
     """
 
     def __init__(self, order: int):
         self.order = order
         self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.weight: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.types = np.zeros(0, dtype=np.float32)
 
     @classmethod
     def fit(cls, top: dict[int, tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> "KneserNey":
@@ -176,6 +185,7 @@ class KneserNey:
         self = cls(order)
         found: dict[int, list] = {k: [] for k in range(1, order + 1)}
         weight: dict[int, list] = {k: [] for k in range(order)}
+        types: list[tuple[np.ndarray, np.ndarray]] = []
         for lang, (codes, counts) in top.items():
             ascending = np.argsort(codes)
             level = {order: (codes[ascending].astype(np.uint64), counts[ascending].astype(np.float64))}
@@ -198,6 +208,9 @@ class KneserNey:
                 lower = (own, p)
                 found[k].append((hashed(own, lang), np.log(p)))
                 weight[k - 1].append((hashed(base, lang), np.log(np.maximum(gamma, 1e-9))))
+            types.append((found[order][-1][0], np.log((1 - TYPE_DISCOUNT) / np.bincount(at)[at] + TYPE_DISCOUNT * below)))
+        if types:
+            self.types = np.concatenate([b for _, b in types])[np.argsort(np.concatenate([a for a, _ in types]))].astype(np.float32)
         for parts, out in ((found, self.found), (weight, self.weight)):
             for k, x in parts.items():
                 if x:
@@ -207,12 +220,12 @@ class KneserNey:
         return self
 
     def spread(self) -> tuple[np.ndarray, np.ndarray]:
-        """The highest order by place: check bits and log probabilities, NaN where there is none."""
+        """The highest order by place: check bits, and log probabilities by counts and by types, NaN where there is none."""
         if not hasattr(self, "_spread"):
-            checks, values = np.zeros(1 << PLACE_BITS, dtype=np.uint16), np.full(1 << PLACE_BITS, np.nan, dtype=np.float32)
+            checks, values = np.zeros(1 << PLACE_BITS, dtype=np.uint16), np.full((1 << PLACE_BITS, 2), np.nan, dtype=np.float32)
             if self.order in self.found:
                 keys, logs = self.found[self.order]
-                checks[place(keys)], values[place(keys)] = check(keys), logs
+                checks[place(keys)], values[place(keys)] = check(keys), np.stack([logs, self.types], axis=1)
             self._spread = checks, values
         return self._spread
 
@@ -229,12 +242,16 @@ class KneserNey:
 
     def log_probabilities(self, data: np.ndarray, lang: int) -> np.ndarray:
         """Of each byte after the first order - 1, given those before it."""
+        return self.both(data, lang)[:, 0]
+
+    def both(self, data: np.ndarray, lang: int) -> np.ndarray:
+        """The same by counts and by types, in two columns. They differ for n-grams of the highest order only."""
         codes = grams(data, self.order)
         keys, (checks, values) = hashed(codes, lang), self.spread()
         at = place(keys)
         out = values[at]
-        open_ = np.flatnonzero((checks[at] != check(keys)) | np.isnan(out))
-        carried = np.zeros(len(open_), dtype=np.float32)
+        open_ = np.flatnonzero((checks[at] != check(keys)) | np.isnan(out[:, 0]))
+        carried = np.zeros((len(open_), 2), dtype=np.float32)
         for k in range(self.order, -1, -1):  # backs off; the weight of an unknown context is 1
             if not len(open_):
                 break
@@ -242,18 +259,28 @@ class KneserNey:
                 out[open_] = carried - np.float32(np.log(256))
                 break
             own = codes[open_] & np.uint64((1 << 8 * k) - 1)
-            p = self._look(self.found, k, hashed(own, lang), np.nan)
+            where = hashed(own, lang)
+            p = self._look(self.found, k, where, np.nan)
             known = ~np.isnan(p)
-            out[open_[known]] = p[known] + carried[known]
+            out[open_[known]] = p[known, None] + carried[known]
+            if k == self.order and known.any():
+                out[open_[known], 1] = self.types[np.searchsorted(self.found[k][0], where[known])]
             open_, own = open_[~known], own[~known]
-            carried = carried[~known] + self._look(self.weight, k - 1, hashed(own >> np.uint64(8), lang), 0.0)
+            w = self._look(self.weight, k - 1, hashed(own >> np.uint64(8), lang), 0.0)
+            by_type = np.where(w == 0, w, np.float32(np.log(TYPE_DISCOUNT))) if k == self.order else w
+            carried = carried[~known] + np.stack([w, by_type], axis=1)
         return out
 
-    def log_perplexity(self, text: str, lang: int) -> float | None:
+    def log_perplexities(self, text: str, lang: int) -> tuple[float | None, float | None]:
+        """Log perplexity by counts and by types; none of a text shorter than the order."""
         data = folded(text)
         if len(data) < self.order:
-            return None
-        return float(-self.log_probabilities(data, lang).mean(dtype=np.float64))
+            return None, None
+        by_count, by_type = (-self.both(data, lang).mean(axis=0, dtype=np.float64)).tolist()
+        return by_count, by_type
+
+    def log_perplexity(self, text: str, lang: int) -> float | None:
+        return self.log_perplexities(text, lang)[0]
 
 
 def fit_model(spark: SparkSession, docs: DataFrame, scratch: str, order: int = ORDER, bits: int = MOST_BITS) -> KneserNey:
@@ -269,7 +296,7 @@ def fit_model(spark: SparkSession, docs: DataFrame, scratch: str, order: int = O
 
 
 
-_DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
+_DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double, type_log_perplexity double"
 
 
 def _prepared(docs: DataFrame, text: str, lang: str) -> tuple[DataFrame, list[str]]:
@@ -288,10 +315,10 @@ def _measured(rows: DataFrame, shared, carried: list[str]) -> DataFrame:
         counts, logs = [], []
         for x, k in zip(batch.column("body").to_pylist(), batch.column("lang").to_pylist(), strict=True):
             counts.append(base_counts(x))
-            logs.append(shared.value.log_perplexity(x, k))
+            logs.append(shared.value.log_perplexities(x, k))
         columns = [pa.array([c[k] for c in counts], pa.int64()) for k in range(5)]
         kept = [batch.column(c) for c in carried]
-        return pa.RecordBatch.from_arrays([*kept, *columns, pa.array(logs, pa.float64())], names=names)
+        return pa.RecordBatch.from_arrays([*kept, *columns, *(pa.array([x[k] for x in logs], pa.float64()) for k in range(2))], names=names)
 
     extra = StructType.fromDDL(_DDL)
     names = [*carried, *extra.names]
@@ -299,41 +326,56 @@ def _measured(rows: DataFrame, shared, carried: list[str]) -> DataFrame:
     return rows.mapInArrow(by_slice(work), schema)
 
 
-def _bands(scored: DataFrame) -> DataFrame:
-    """lang, low, high: of log perplexity, from all documents."""
-    middle = scored.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("middle"))
-    spread = (
-        scored.join(F.broadcast(middle), "lang")
-        .groupBy("lang")
-        .agg(F.first("middle").alias("middle"), F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("middle")), 0.5, 10_000).alias("spread"))
+def _base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _size() -> Column:
+    return F.greatest(F.col("word_chars") + F.col("n_words"), F.lit(1))
+
+
+def _bands(measured: DataFrame) -> DataFrame:
+    """For each lang and measure the middle, the spread (times sqrt(size)) and the least spread. measured has digest, a hash of the text."""
+    votes = measured.where(~_base_failed() & F.col("log_perplexity").isNotNull()).withColumn("size", _size())
+    votes = votes.select("lang", "digest", "size", "log_perplexity", "type_log_perplexity").dropDuplicates(["lang", "digest"])
+    half = lambda x: F.percentile_approx(x, 0.5, 10_000)
+    middle = votes.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("votes"), half("log_perplexity").alias("middle"), half("type_log_perplexity").alias("type_middle"), F.percentile_approx("size", 0.9, 10_000).alias("long")
+    )
+    off, type_off = F.abs(F.col("log_perplexity") - F.col("middle")), F.abs(F.col("type_log_perplexity") - F.col("type_middle"))
+    is_long = F.col("size") >= F.col("long")
+    least = lambda x: F.greatest(half(F.when(is_long, x)), F.lit(LEAST_SPREAD))
+    return (
+        votes.join(F.broadcast(middle.where(F.col("votes") >= LEAST_VOTES)), "lang")
+        .groupBy("lang", "middle", "type_middle")
+        .agg(half(off * F.sqrt("size")).alias("spread"), least(off).alias("least"), half(type_off * F.sqrt("size")).alias("type_spread"), least(type_off).alias("type_least"))
     )
-    width = F.greatest("spread", F.lit(LEAST_SPREAD))
-    return spread.select("lang", (F.col("middle") - LOW * width).alias("low"), (F.col("middle") + HIGH * width).alias("high"))
 
 
 def _judged(measured: DataFrame, bands: DataFrame) -> DataFrame:
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    slack = SLACK / F.sqrt(F.greatest(F.col("word_chars") + F.col("n_words"), F.lit(1)))
-    fits = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
+    width = lambda spread, least: F.greatest(F.col(spread) / F.sqrt(_size()), F.col(least))
     rows = measured.join(F.broadcast(bands), "lang", "left")
-    return rows.withColumns({"low": F.col("low") - slack, "high": F.col("high") + slack}).withColumn("base_failed", failed).withColumn("kept", ~failed & fits)
+    rows = rows.withColumn("low", F.col("type_middle") - LOW * width("type_spread", "type_least")).withColumn("high", F.col("middle") + HIGH * width("spread", "least"))
+    fits = F.coalesce((F.col("type_log_perplexity") >= F.col("low")) & (F.col("log_perplexity") <= F.col("high")), F.lit(True))
+    return rows.withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & fits)
 
 
 def score(spark: SparkSession, docs: DataFrame, text: str = "text", id_column: str = "doc_id", lang: str = "lang") -> DataFrame:
     """One row per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang,
-    log_perplexity, low, high.
+    log_perplexity, type_log_perplexity, low (of the latter), high (of the former).
 
     A null or empty text has no words, and fails the base rules. A null lang is a language of its own; so is whatever is
-    beyond the MOST_LANGUAGES most frequent. A text shorter than the model's order has no perplexity and no band. Null
+    beyond the MOST_LANGUAGES most frequent. A text shorter than the model's order has no perplexity; a language of
+    few texts has no bands. Null
     ids and repeated rows are judged row by row. Extra columns are not read. An empty table gives an empty result.
     """
     scratch = shared_dir(spark)
     rows, _ = _prepared(docs.select(*dict.fromkeys([id_column, text, lang])), text, lang)
     shared = spark.sparkContext.broadcast(fit_model(spark, rows, scratch))
-    rows = rows.select(F.col("doc")[id_column].alias("id"), "body", "lang")
-    measured = written(spark, _measured(rows, shared, ["id", "lang"]), f"{scratch}/measured")
+    rows = rows.select(F.col("doc")[id_column].alias("id"), "body", "lang", F.xxhash64("body").alias("digest"))
+    measured = written(spark, _measured(rows, shared, ["id", "lang", "digest"]), f"{scratch}/measured")
     return _judged(measured, _bands(measured)).select(
-        "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_perplexity", "low", "high"
+        "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_perplexity", "type_log_perplexity", "low", "high"
     )
 
 
@@ -345,5 +387,6 @@ def keep(spark: SparkSession, docs: DataFrame, text: str = "text", lang: str = "
     scratch = shared_dir(spark)
     rows, _ = _prepared(docs, text, lang)
     shared = spark.sparkContext.broadcast(fit_model(spark, rows, scratch))
-    bands = written(spark, _bands(written(spark, _measured(rows, shared, ["lang"]), f"{scratch}/measured")), f"{scratch}/bands")
+    measured = _measured(rows.withColumn("digest", F.xxhash64("body")), shared, ["lang", "digest"])
+    bands = written(spark, _bands(written(spark, measured, f"{scratch}/measured")), f"{scratch}/bands")
     return _judged(_measured(rows, shared, ["doc", "lang"]), bands).where("kept").select("doc.*")

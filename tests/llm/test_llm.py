@@ -177,6 +177,24 @@ def test_quality_rules(spark, docs, empty):
     assert quality_rules.keep(spark, docs).columns == docs.columns
 
 
+def test_perplexity_rejects_planted_junk(spark):
+    rng = random.Random(7)
+    stems = [rng.choice("bdklmnrst") + rng.choice("aeiou") + rng.choice("lnrst") for _ in range(40)]
+    prose = lambda: " ".join("".join(rng.choice(stems) for _ in range(rng.randint(1, 3))) for _ in range(200))
+    clean = [prose() for _ in range(150)]
+    own = clean[0].split()
+    near = [" ".join([*own[:k], "changed", *own[k + 1 :]]) for k in range(0, 200, 5)]  # copies lie low by counts
+    junk = [" ".join("".join(chr(rng.randint(33, 126)) for _ in range(8)) for _ in range(150)) for _ in range(3)]
+    junk.append(" ".join(w + rng.choice(["***", "&&&", "$$$", "###", "%%%"]) if rng.random() < 0.5 else w for w in prose().split()))
+    texts = [*clean, *clean[:1] * 60, *near, *junk]
+    rows = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.id: r for r in quality_rules.score(spark, rows).collect()}
+    assert not any(r.base_failed for r in got.values())
+    bad = set(range(len(texts) - len(junk), len(texts)))
+    assert {k for k, r in got.items() if not r.kept} == bad
+    assert {r.doc_id for r in quality_rules.keep(spark, rows).collect()} == set(got) - bad
+
+
 def test_base_counts_by_brute_force():
     rng = random.Random(4)
     for _ in range(100):
