@@ -4,8 +4,8 @@ The n-grams are of bytes of lower-cased text, whose white space is one blank and
 scripts of every kind, and its types saturate where those of words grow with the corpus. Tasks count n-grams of the highest order in a
 slice with vector operations, and Spark adds the counts over all documents. Lower orders count distinct left
 extensions, as Kneser-Ney asks. Discounts come from counts of counts, for each language and order. The model is
-stored as sorted arrays of hashes with logarithms of probabilities, of at most 2^MOST_BITS n-grams of the highest order, so
-what is broadcast has a fixed bound whatever the corpus is.
+stored as sorted arrays of hashes with logarithms of probabilities. It holds every n-gram with its whole count, so what is
+broadcast grows with the number of distinct n-grams.
 
 Two measures of a document are held against bands of its language. Its perplexity must not lie above the upper one. Its
 perplexity by types, where each distinct n-gram of the highest order counts once as in Kneser-Ney's lower orders, must not
@@ -28,10 +28,8 @@ from rippleframe.llm.common import by_slice, shared_dir, sliced, written
 
 #: Highest order of the byte n-grams, at most 7 to fit 8 bytes with the language.
 ORDER = 5
-#: At most 2^20 n-grams of the highest order come to the driver and are broadcast, 12 bytes each.
-MOST_BITS = 20
-#: A worker spreads the highest order over 2^22 places, 6 bytes each; a place is checked by 16 further bits.
-PLACE_BITS = 22
+#: A worker spreads the highest order over so many places for each n-gram at least, 14 bytes each; a place is checked by 32 further bits.
+PLACES = 4
 #: Bands: middle - LOW x spread of log perplexity by types, middle + HIGH x spread of log perplexity.
 LOW, HIGH = 18.0, 14.0
 #: A language with fewer distinct texts that pass the base rules has no bands.
@@ -77,12 +75,12 @@ def hashed(codes: np.ndarray, lang: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def place(keys: np.ndarray) -> np.ndarray:
-    return keys >> np.uint64(64 - PLACE_BITS)
+def place(keys: np.ndarray, bits: int) -> np.ndarray:
+    return keys >> np.uint64(64 - bits)
 
 
-def check(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - PLACE_BITS - 16)).astype(np.uint16)
+def check(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(32 - min(bits, 32))).astype(np.uint32)
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -219,14 +217,15 @@ class KneserNey:
                     out[k] = (keys[ascending], np.concatenate([b for _, b in x])[ascending].astype(np.float32))
         return self
 
-    def spread(self) -> tuple[np.ndarray, np.ndarray]:
-        """The highest order by place: check bits, and log probabilities by counts and by types, NaN where there is none."""
+    def spread(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """The highest order by place: bits of a place, check bits, and log probabilities by counts and by types, NaN where there is none."""
         if not hasattr(self, "_spread"):
-            checks, values = np.zeros(1 << PLACE_BITS, dtype=np.uint16), np.full((1 << PLACE_BITS, 2), np.nan, dtype=np.float32)
-            if self.order in self.found:
-                keys, logs = self.found[self.order]
-                checks[place(keys)], values[place(keys)] = check(keys), np.stack([logs, self.types], axis=1)
-            self._spread = checks, values
+            keys, logs = self.found.get(self.order, (np.zeros(0, np.uint64), np.zeros(0, np.float32)))
+            bits = max(16, (PLACES * len(keys)).bit_length())
+            checks, values = np.zeros(1 << bits, dtype=np.uint32), np.full((1 << bits, 2), np.nan, dtype=np.float32)
+            at = place(keys, bits)
+            checks[at], values[at, 0], values[at, 1] = check(keys, bits), logs, self.types
+            self._spread = bits, checks, values
         return self._spread
 
     def __getstate__(self):
@@ -247,10 +246,10 @@ class KneserNey:
     def both(self, data: np.ndarray, lang: int) -> np.ndarray:
         """The same by counts and by types, in two columns. They differ for n-grams of the highest order only."""
         codes = grams(data, self.order)
-        keys, (checks, values) = hashed(codes, lang), self.spread()
-        at = place(keys)
+        keys, (bits, checks, values) = hashed(codes, lang), self.spread()
+        at = place(keys, bits)
         out = values[at]
-        open_ = np.flatnonzero((checks[at] != check(keys)) | np.isnan(out[:, 0]))
+        open_ = np.flatnonzero((checks[at] != check(keys, bits)) | np.isnan(out[:, 0]))
         carried = np.zeros((len(open_), 2), dtype=np.float32)
         for k in range(self.order, -1, -1):  # backs off; the weight of an unknown context is 1
             if not len(open_):
@@ -283,17 +282,14 @@ class KneserNey:
         return self.log_perplexities(text, lang)[0]
 
 
-def fit_model(spark: SparkSession, docs: DataFrame, scratch: str, order: int = ORDER, bits: int = MOST_BITS) -> KneserNey:
-    """Counts all documents; what comes to the driver has at most 2^bits rows, n-grams of a slot being one beyond that."""
+def fit_model(spark: SparkSession, docs: DataFrame, scratch: str, order: int = ORDER) -> KneserNey:
+    """Counts all documents. All distinct n-grams come to the driver, language by language, 16 bytes each."""
     counted = written(spark, count_grams(docs, order), f"{scratch}/grams")
-    size = 1 << bits
-    if counted.count() > size:  # one n-gram, the most frequent, stands for a slot; its count is the slot's
-        slot = F.pmod(F.xxhash64("lang", "code"), F.lit(size))
-        counted = counted.groupBy(slot.alias("slot")).agg(F.max_by(F.struct("lang", "code"), "n").alias("k"), F.sum("n").alias("n")).select("k.*", "n")
-    got = counted.toArrow()
-    lang, code, n = (got.column(c).to_numpy() for c in ("lang", "code", "n"))
-    return KneserNey.fit({int(k): (code[lang == k].view(np.uint64), n[lang == k]) for k in np.unique(lang)}, order)
-
+    top = {}
+    for k in [r["lang"] for r in counted.select("lang").distinct().collect()]:
+        got = counted.where(F.col("lang") == k).select("code", "n").toArrow()
+        top[k] = (got.column("code").to_numpy().view(np.uint64), got.column("n").to_numpy())
+    return KneserNey.fit(top, order)
 
 
 _DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double, type_log_perplexity double"

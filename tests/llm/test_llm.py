@@ -195,6 +195,22 @@ def test_perplexity_rejects_planted_junk(spark):
     assert {r.doc_id for r in quality_rules.keep(spark, rows).collect()} == set(got) - bad
 
 
+def test_model_keeps_every_count(spark, tmp_path):
+    letters = np.random.default_rng(8).integers(ord("a"), ord("z") + 1, 1_300_000, dtype=np.uint8).tobytes().decode()
+    texts = [(letters[k : k + 10_000], 0) for k in range(0, len(letters), 10_000)] + [("rare words", 1)]
+    model = quality_rules.fit_model(spark, spark.createDataFrame(texts, "body string, lang int"), f"file://{tmp_path}/model")
+    want = {}
+    for text, k in texts:
+        want.setdefault(k, []).append(quality_rules.grams(quality_rules.folded(text), 5))
+    whole = quality_rules.KneserNey.fit({k: np.unique(np.concatenate(x), return_counts=True) for k, x in want.items()})
+    assert len(whole.found[5][0]) > 1 << 20
+    assert all(np.array_equal(a, b) for k in range(1, 6) for a, b in zip(model.found[k], whole.found[k], strict=True))
+    for text, k in (texts[0], texts[-1]):
+        own, (keys, logs) = quality_rules.folded(text), whole.found[5]
+        at = np.searchsorted(keys, quality_rules.hashed(quality_rules.grams(own, 5), k))
+        assert np.array_equal(model.log_probabilities(own, k), logs[at])
+
+
 def test_base_counts_by_brute_force():
     rng = random.Random(4)
     for _ in range(100):
