@@ -221,6 +221,21 @@ def components(spark: SparkSession, links: DataFrame, scratch: str, name: str) -
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
+def _sized(n: str, m: str, percent: int) -> Column:
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def _all_pairs(own: DataFrame, percent: int) -> DataFrame:
+    """a, b: near pairs of different owners in a bucket, each once; own has key, id, owner, n, lanes.
+
+    Every bucket gives its pairs. Lanes have 8 bits of a symbol and keys all 32, so lanes can't tell the buckets of a pair.
+    """
+    x = own.select("key", F.col("id").alias("a"), F.col("owner").alias("o"), F.col("n").alias("n_a"), F.col("lanes").alias("l_a"))
+    y = own.select("key", F.col("id").alias("b"), F.col("owner").alias("q"), F.col("n").alias("n_b"), F.col("lanes").alias("l_b"))
+    near = _sized("n_a", "n_b", percent) & (distance("l_a", "l_b") <= MOST_DISTANCE)
+    return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("o") != F.col("q")) & near).select("a", "b").distinct()
+
+
 def find(spark: SparkSession, docs: DataFrame, text: str = "text", id_column: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
@@ -240,9 +255,6 @@ def find(spark: SparkSession, docs: DataFrame, text: str = "text", id_column: st
     links: DataFrame | None = None
     named: DataFrame | None = None
 
-    def sized(n: str, m: str) -> Column:
-        return 100 * F.least(n, m) >= percent * F.greatest(n, m)
-
     for step in range(STAR_ROUNDS + 1):
         if named is not None:
             owned = buckets.join(named, "id", "left").select("key", "id", F.coalesce("component", "id").alias("owner"))
@@ -259,17 +271,9 @@ def find(spark: SparkSession, docs: DataFrame, text: str = "text", id_column: st
             shared = owned.join(centre, "key").where("owner <> mine").groupBy("id", "centre").agg(F.count(F.lit(1)).alias("m"))
             nearest = shared.groupBy("id").agg(F.max(F.struct("m", "centre")).alias("best")).select("id", F.col("best.centre").alias("centre"))
             pairs = nearest.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-            pairs = pairs.join(x, "a").join(y, "b").where(sized("n_a", "n_b") & (distance("l_a", "l_b") <= MOST_DISTANCE)).select("a", "b")
+            pairs = pairs.join(x, "a").join(y, "b").where(_sized("n_a", "n_b", percent) & (distance("l_a", "l_b") <= MOST_DISTANCE)).select("a", "b")
         else:
-            own = owned.join(bounds, "key").join(described, "id")
-            x = own.select("key", F.col("id").alias("a"), F.col("owner").alias("o"), F.col("n").alias("n_a"), F.col("lanes").alias("l_a"))
-            y = own.select("key", F.col("id").alias("b"), F.col("owner").alias("q"), F.col("n").alias("n_b"), F.col("lanes").alias("l_b"))
-            # A pair comes out of the buckets of its first chunk with few errors only.
-            chunk, first = F.pmod("key", F.lit(8)), F.lit(CHUNKS)
-            for c in reversed(range(CHUNKS)):
-                first = F.when(_errors("l_a", "l_b", c) <= ERRORS, c).otherwise(first)
-            near = sized("n_a", "n_b") & (distance("l_a", "l_b") <= MOST_DISTANCE) & (first >= chunk)
-            pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("o") != F.col("q")) & near).select("a", "b").distinct()
+            pairs = _all_pairs(owned.join(bounds, "key").join(described, "id"), percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(spark, pairs, f"{scratch}/pairs-{step}")

@@ -76,6 +76,19 @@ def test_buckets_meet_within_the_radius():
         assert (a == b).any()
 
 
+def test_pair_whose_lanes_hide_an_error(spark):
+    sign = np.random.default_rng(9).integers(0, 2**32, near_dedup.SYMBOLS, dtype=np.uint32)
+    other = sign.copy()
+    other[:3] ^= np.array([1, 1, 1 << 20], np.uint32)  # three errors in the first chunk, two of them in the lanes
+    for c in range(2, near_dedup.CHUNKS):
+        other[c * near_dedup.WIDTH : c * near_dedup.WIDTH + 3] ^= np.uint32(1)
+    rows = []
+    for k, x in enumerate((sign, other)):
+        rows += [(key, k, k, 100, near_dedup.lanes(x)) for key in near_dedup.bucket_keys(x[None]).view(np.int64)[0].tolist()]
+    own = spark.createDataFrame(rows, "key long, id long, owner long, n long, lanes array<long>")
+    assert [tuple(r) for r in near_dedup._all_pairs(own, 80).collect()] == [(0, 1)]
+
+
 def test_exact_dedup(spark, docs, empty):
     for digest in (exact_dedup.sha256, lambda x: F.substring(F.sha2(x, 256), 1, 1)):  # the second meets often
         got = exact_dedup.decisions(spark, docs, digest=digest).collect()
