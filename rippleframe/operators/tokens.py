@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,22 +41,43 @@ class Bpe:
         self.vocab, self.merges = vocab, merges
         self.rank = {m: i for i, m in enumerate(merges)}
         self.names = {i: t for t, i in vocab.items()}
+        self.seen: dict[str, list[int]] = {}
 
     @classmethod
     def train(cls, counts: list[tuple[str, int]], size: int) -> "Bpe":
         """Greedy merges of the most frequent pair, of ties the largest, until the size or no pair occurs twice.
 
-        Pairs know the words they occur in, so a merge touches those only.
+        All words are one array of symbols; a merge counts anew only the pairs beside the places it joins.
         """
-        forms = [[*w, END] for w, _ in counts]
-        weight = [n for _, n in counts]
-        vocab = {t: i for i, t in enumerate([*SPECIALS, *sorted({c for f in forms for c in f})])}
+        text = "".join(f"{w}\n" for w, _ in counts)  # no word holds white space
+        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        number = np.zeros(0x110000, dtype=np.int32)
+        number[points] = 1
+        letters = np.flatnonzero(number)
+        number[letters] = np.arange(len(letters), dtype=np.int32)
+        names = [END if c == 10 else chr(c) for c in letters.tolist()]
+        form = number[points]
+        word = np.repeat(np.arange(len(counts), dtype=np.int32), np.diff(np.flatnonzero(points == 10), prepend=-1))
+        weight = np.fromiter((n for _, n in counts), dtype=np.int64, count=len(counts))
+        del text, points
+        ids = {t: i for i, t in enumerate(names)}
+        vocab = {t: i for i, t in enumerate([*SPECIALS, *sorted(names)])}
         total: Counter = Counter()
-        where: dict[tuple[str, str], set[int]] = defaultdict(set)
-        for i, f in enumerate(forms):
-            for p in zip(f, f[1:], strict=False):
-                total[p] += weight[i]
-                where[p].add(i)
+
+        def count(at: np.ndarray, sign: int) -> None:
+            at = at[(at >= 0) & (at < len(form) - 1)]
+            at = at[word[at] == word[at + 1]]
+            keys, place = np.unique(form[at].astype(np.int64) << 32 | form[at + 1], return_inverse=True)
+            sums = np.zeros(len(keys), dtype=np.int64)
+            np.add.at(sums, place, weight[word[at]])
+            for key, n in zip(keys.tolist(), sums.tolist(), strict=True):
+                pair = names[key >> 32], names[key & 0xFFFFFFFF]
+                total[pair] += sign * n
+                if not total[pair]:
+                    del total[pair]
+
+        for start in range(0, len(form), 1 << 20):
+            count(np.arange(start, min(start + (1 << 20), len(form))), 1)
         merges = []
         while len(vocab) < size and total:
             best = max(total, key=lambda p: (total[p], p))
@@ -64,30 +86,24 @@ class Bpe:
             merges.append(best)
             joined = best[0] + best[1]
             vocab.setdefault(joined, len(vocab))
-            for i in list(where[best]):
-                f = forms[i]
-                for p in zip(f, f[1:], strict=False):
-                    total[p] -= weight[i]
-                    where[p].discard(i)
-                    if total[p] <= 0:
-                        del total[p]
-                forms[i] = f = cls._joined(f, best)
-                for p in zip(f, f[1:], strict=False):
-                    total[p] += weight[i]
-                    where[p].add(i)
+            if joined not in ids:
+                ids[joined] = len(names)
+                names.append(joined)
+            left, right = ids[best[0]], ids[best[1]]
+            at = np.flatnonzero(form[:-1] == left)
+            at = at[(form[at + 1] == right) & (word[at] == word[at + 1])]
+            if left == right:  # in a run every second place, from the left
+                first = np.concatenate([[True], np.diff(at) != 1])
+                at = at[(at - at[first][np.cumsum(first) - 1]) % 2 == 0]
+            count(np.unique(np.concatenate([at - 1, at, at + 1])), -1)
+            form[at] = ids[joined]
+            stay = np.ones(len(form), dtype=bool)
+            stay[at + 1] = False
+            form, word = form[stay], word[stay]
+            at = at - np.arange(len(at))
+            count(np.unique(np.concatenate([at - 1, at])), 1)
         return cls(vocab, merges)
 
-    @staticmethod
-    def _joined(form: list[str], pair: tuple[str, str]) -> list[str]:
-        out: list[str] = []
-        for s in form:
-            if out and (out[-1], s) == pair and out[-1] is not None:
-                out[-1] = out[-1] + s
-                out.append(None)  # a joined symbol takes no further part in this merge
-            else:
-                out.append(s)
-        return [s for s in out if s is not None]
-
     def word(self, word: str) -> list[int]:
         if word in self.vocab:
             return [self.vocab[word]]
@@ -105,8 +121,8 @@ class Bpe:
 
 def train(docs: DataFrame, size: int, text: str = "text") -> Bpe:
     """Words are counted by Spark; the merge loop runs on the driver over the distinct words."""
-    rows = word_counts(docs, text).orderBy("word").collect()
-    return Bpe.train([(r["word"], r["n"]) for r in rows], size)
+    rows = word_counts(docs, text).toArrow()
+    return Bpe.train(list(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist(), strict=True)), size)
 
 
 def encoded(docs: DataFrame, bpe: Bpe, text: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -115,13 +131,15 @@ def encoded(docs: DataFrame, bpe: Bpe, text: str = "text", id_column: str = "doc
 
     @F.pandas_udf("array<int>")
     def ids(column: pd.Series) -> pd.Series:
-        seen: dict[str, list[int]] = {}
+        bpe, seen = shared.value, shared.value.seen
 
         def one(ws) -> list[int]:
             out: list[int] = []
             for w in ws:
                 if w not in seen:
-                    seen[w] = shared.value.word(w)
+                    if len(seen) > 300_000:  # bounds the worker's memory
+                        seen.clear()
+                    seen[w] = bpe.word(w)
                 out.extend(seen[w])
             return out
 

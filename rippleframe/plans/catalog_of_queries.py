@@ -338,15 +338,15 @@ def pair_counts(spark, sf_dir):
 
 @query()
 def bpe_vocab(spark, sf_dir):
-    """Tokens and ids of a vocabulary of 600 learned from the benchmark's texts."""
-    bpe = tokens.train(table(spark, sf_dir, "benchmark"), 600)
+    """Tokens and ids of a vocabulary of 600 learned from all documents."""
+    bpe = tokens.train(table(spark, sf_dir, "documents"), 600)
     return spark.createDataFrame(sorted((i, t) for t, i in bpe.vocab.items()), "token_id int, token string")
 
 
 @query()
 def bpe_encode_lengths(spark, sf_dir):
-    bpe = tokens.train(table(spark, sf_dir, "benchmark"), 600)
-    rows = tokens.encoded(table(spark, sf_dir, "benchmark"), bpe, id_column="item_id")
+    bpe = tokens.train(table(spark, sf_dir, "documents"), 600)
+    rows = tokens.encoded(table(spark, sf_dir, "documents"), bpe)
     return rows.select("id", F.size("ids").cast("long").alias("n_tokens"), F.size(F.filter("ids", lambda x: x == 1)).cast("long").alias("n_unknown"))
 
 

@@ -107,3 +107,17 @@ def test_bpe_round_trip():
 
 def test_states_are_complete():
     assert len(STATES) == 6 and len(FACTORS) == 21 and sum(len(m.factors) for m in MECHANISMS) == 52
+
+
+def test_bpe_covers_all_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    counts = [(r["word"], r["n"]) for r in tokens.word_counts(docs).orderBy("word").collect()]
+    bpe = tokens.Bpe.train(counts, 600)
+    assert {r.token: r.token_id for r in QUERIES["bpe_vocab"](spark, sf_dir).collect()} == bpe.vocab
+    lengths = {w: len(bpe.word(w)) for w, _ in counts}
+    want = docs.select("doc_id", F.explode_outer(tokens.words(F.col("text"))).alias("w")).collect()
+    total = {}
+    for r in want:
+        total[r.doc_id] = total.get(r.doc_id, 0) + lengths.get(r.w, 0)
+    got = QUERIES["bpe_encode_lengths"](spark, sf_dir).collect()
+    assert {r.id: r.n_tokens for r in got} == total and len(got) == docs.count() and not any(r.n_unknown for r in got)
