@@ -65,28 +65,91 @@ def test_near_dedup(spark, docs, empty):
     assert near_dedup.keep_one(spark, docs, size=4).columns == docs.columns
 
 
+def test_near_dedup_of_a_repeated_id_with_two_texts(spark):
+    a, b = words(60, 21), words(60, 22)
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*b, "more"])), (9, " ".join([*a, "more"])), (3, " ".join(words(60, 23))), (8, "")]
+    got = near_dedup.find(spark, spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()
+    assert sorted((r.id, r.component_id) for r in got) == [(3, 3), (5, 5), (5, 5), (7, 5), (8, 8), (9, 5)]
+
+
+@pytest.mark.parametrize("split", [{}, {"sample": 1, "frequent_at": 4, "block": 3}])
+def test_near_dedup_of_a_hot_group(spark, split):
+    """Copies of one text with few or many edits, most pairs of which lie about the threshold, and a chain."""
+    rng, base = random.Random(5), words(90, 31)
+    texts = []
+    for k in range(160):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6])):
+            own[rng.randrange(len(own))] = f"w{rng.randrange(10**6)}"
+        texts.append(own)
+    chain = words(120, 32)
+    for k in range(12):
+        chain = [*chain[4:], *words(4, 40 + k)]
+        texts.append(list(chain))
+    texts.append(["x"] * 30_000 + [f"long{k}" for k in range(20_000)] + ["y" * 300_000])
+    texts.append([*texts[-1], "z"])
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = near_dedup.find(spark, spark.createDataFrame(rows, "doc_id long, text string"), size=4, **split).collect()
+    assert {r.id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 4)
+
+
+def test_near_dedup_loses_no_link_of_the_tables(spark):
+    """Components of all documents at sf0.1 against an exact join over the rarest shingles of each set."""
+    table = "/root/testdata/sf0.1/documents.parquet"
+    rows = [(r.doc_id, near_dedup.shingles(r.text or "", 4)) for r in spark.read.parquet(table).select("doc_id", "text").collect()]
+    keys, count = np.unique(np.concatenate([s for _, s in rows]), return_counts=True)
+    up = {i: i for i, _ in rows}
+
+    def top(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    seen, known = {}, dict(rows)
+    for i, s in rows:
+        if not len(s):
+            continue
+        rarest = s[np.argsort(count[np.searchsorted(keys, s)], kind="stable")]
+        tried = set()
+        for x in rarest[: len(s) - int(np.ceil(0.8 * len(s))) + 1].tolist():
+            for j in seen.setdefault(x, []):
+                if j in tried or top(i) == top(j):
+                    continue
+                tried.add(j)
+                o = known[j]
+                both = len(np.intersect1d(s, o, assume_unique=True))
+                if 100 * both >= 80 * (len(s) + len(o) - both):
+                    x1, y1 = sorted((top(i), top(j)))
+                    up[y1] = x1
+            seen[x].append(i)
+    got = near_dedup.find(spark, spark.read.parquet(table), size=4).collect()
+    wrong = [r.id for r in got if r.component_id != top(r.id)]
+    assert not wrong
+
+
 def test_buckets_meet_within_the_radius():
     rng = np.random.default_rng(1)
-    sign = rng.integers(0, 2**32, near_dedup.SYMBOLS, dtype=np.uint32)
+    sign = rng.integers(0, 2**near_dedup.BITS, near_dedup.SYMBOLS, dtype=np.uint16)
     for _ in range(30):
         other = sign.copy()
-        at = rng.choice(near_dedup.SYMBOLS, near_dedup.CHUNKS * (near_dedup.ERRORS + 1) - 1, replace=False)
-        other[at] ^= np.uint32(1)
+        at = rng.choice(near_dedup.SYMBOLS, near_dedup.RADIUS, replace=False)
+        other[at] ^= np.uint16(1)
         a, b = near_dedup.bucket_keys(np.stack([sign, other]))
-        assert (a == b).any()
-
-
-def test_pair_whose_lanes_hide_an_error(spark):
-    sign = np.random.default_rng(9).integers(0, 2**32, near_dedup.SYMBOLS, dtype=np.uint32)
-    other = sign.copy()
-    other[:3] ^= np.array([1, 1, 1 << 20], np.uint32)  # three errors in the first chunk, two of them in the lanes
-    for c in range(2, near_dedup.CHUNKS):
-        other[c * near_dedup.WIDTH : c * near_dedup.WIDTH + 3] ^= np.uint32(1)
-    rows = []
-    for k, x in enumerate((sign, other)):
-        rows += [(key, k, k, 100, near_dedup.lanes(x)) for key in near_dedup.bucket_keys(x[None]).view(np.int64)[0].tolist()]
-    own = spark.createDataFrame(rows, "key long, id long, owner long, n long, lanes array<long>")
-    assert [tuple(r) for r in near_dedup._all_pairs(own, 80).collect()] == [(0, 1)]
+        met = np.flatnonzero(a == b)
+        assert len(met) and met[0] == near_dedup.first_bucket((sign == other)[None])[0]
+
+
+def test_sketch_allows_what_is_near_enough():
+    rng = np.random.default_rng(3)
+    for n in (1, 3, 10, 60, 300, 3000, 40_000):
+        for _ in range(60):
+            union = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+            shared = int(np.ceil(0.8 * len(union)))
+            order = rng.permutation(len(union))
+            mine = rng.integers(0, 2, len(union)).astype(bool)
+            x, y = np.sort(union[order][(np.arange(len(union)) < shared) | mine]), np.sort(union[order][(np.arange(len(union)) < shared) | ~mine])
+            assert near_dedup.allowed(near_dedup.sketch_of(x)[None], near_dedup.sketch_of(y)[None], np.array([len(x)]), np.array([len(y)]), 80)[0]
 
 
 def test_exact_dedup(spark, docs, empty):
