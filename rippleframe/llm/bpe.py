@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippleframe.llm.common import by_slice
+from rippleframe.llm.common import by_slice, held
 
 #: Splits a text where no token of the pattern below can go across: a run without white space with the one blank before it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -160,14 +160,9 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
-_loaded: dict[str, Bpe] = {}
-
-
 def tokenizer(path: str) -> Bpe:
     """One encoder for each worker process and file."""
-    if path not in _loaded:
-        _loaded[path] = Bpe(path)
-    return _loaded[path]
+    return held(("bpe", path), lambda: Bpe(path))
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", id_column: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -202,4 +197,4 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", id_column: str =
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     rows = docs.select(docs[id_column].cast("long").alias("id"), F.coalesce(docs[text], F.lit("")).alias("body"))
-    return rows.mapInArrow(by_slice(work), ddl)
+    return rows.mapInArrow(by_slice(work, ("bpe", path)), ddl)

@@ -47,17 +47,31 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between batches and tasks, one thing at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, keeps: tuple | None = None) -> Iterator[pa.RecordBatch]:
+    """Small batches. Workers outlive stages, so whatever they hold but `keeps` goes first."""
+    if keeps not in _held:
+        _held.clear()
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
 
 
-def by_slice(work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function from one that maps a small batch."""
+def by_slice(work: Callable[[pa.RecordBatch], pa.RecordBatch], keeps: tuple | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function from one that maps a small batch; keeps: the key of what work() has from held()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batches):
+        for part in sliced(batches, keeps=keeps):
             yield work(part)
 
     return run

@@ -24,8 +24,8 @@ from rippleframe.llm.quality_rules import _FOLD, folded, grams, hashed
 BUCKET_BITS, ORDER = 16, 4
 #: Cost of a switch of language between two words, in nats.
 PENALTY = 12.0
-#: Languages learned at most, by labelled documents: bounds the model to 256 KB each.
-MOST_LANGUAGES = 64
+#: Scores of bytes by language that are held at a time; a long text is scored in parts of whole words.
+HELD_SCORES = 1 << 22
 #: A language uses a script that has at least this share of its letters.
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
@@ -76,9 +76,16 @@ class Languages:
         if len(data) < 3:
             return np.zeros((0, len(self.names))), np.zeros(0)
         padded = np.concatenate([data, np.full(ORDER - 1, 32, np.uint8)])
-        logs = self.logs[buckets(padded)]  # one row for each byte
+        found = buckets(padded)[: len(data) - 1]  # one for each byte
         starts = np.flatnonzero(data == 32)[:-1]
-        scores = np.add.reduceat(logs[: len(data) - 1], starts, axis=0).astype(np.float64)
+        scores = np.empty((len(starts), len(self.names)))
+        most = max(1, HELD_SCORES // len(self.names))
+        first = 0
+        while first < len(starts):
+            past = max(first + 1, int(np.searchsorted(starts, starts[first] + most)))
+            stop = starts[past] if past < len(starts) else len(found)
+            scores[first:past] = np.add.reduceat(self.logs[found[starts[first] : stop]], starts[first:past] - starts[first], axis=0)
+            first = past
         if text.isascii():
             script = np.where(_FOLD[data[:-1]] >= ord("a"), 1, 0)
             letters = np.add.reduceat(script, starts)
@@ -135,10 +142,10 @@ class Languages:
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Languages:
-    """Counts all rows with a text and a lang; at most MOST_LANGUAGES x 2^16 sums come to the driver."""
+    """Counts all rows with a text and a lang. Every lang is learned; at most 2^16 sums of each come to the driver, and the
+    model has 256 KB for each."""
     rows = docs.select(docs[text].alias("body"), docs[lang].cast("string").alias("lang")).where("body is not null and lang is not null")
-    common = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    names = sorted(r["lang"] for r in common.collect())
+    names = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     if not names:
         return Languages([], np.zeros((0, (1 << BUCKET_BITS) + len(SCRIPTS)), np.int64))
     number = {k: i for i, k in enumerate(names)}
@@ -159,7 +166,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Languages:
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(own[at])], names=["k", "at", "n"])
 
-    got = rows.where(F.col("lang").isin(names)).mapInArrow(work, "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.mapInArrow(work, "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(names), width), np.int64)
     counts[got.column("k").to_numpy(), got.column("at").to_numpy()] = got.column("n").to_numpy()
     return Languages(names, counts)

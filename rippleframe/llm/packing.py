@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rippleframe.llm.common import by_slice, shared_dir, written
+from rippleframe.llm.common import by_slice, held, shared_dir, written
 
 CAPACITY, GRAIN = 2048, 8
 #: Id that ends each document.
@@ -31,11 +31,11 @@ REMEMBERED = 900_000
 #: A full stop or comma between an ASCII letter and white space: a pre-token of its own, so it can stand alone.
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \t-\r]|\Z)")
 _MARK = regex.compile(r"\p{M}")
+#: Chunks of more bytes are not remembered.
+LONGEST_REMEMBERED = 64
 #: Pieces in one task when they are ranked.
 RANKED_ROWS = 200_000
 
-_loaded: dict = {}
-
 
 class WordIds:
     """Packed ids of white-space-free chunks. The tokenizer drops white space, so a text's ids are its chunks' ids.
@@ -72,13 +72,15 @@ class WordIds:
             found = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
             self.seen.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, found, strict=True))
         get = self.seen.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        out = [b"".join(map(get, c)) for c in chunks]
+        for c in new:
+            if len(c) > LONGEST_REMEMBERED:
+                del self.seen[c]
+        return out
 
 
 def word_ids(path: str) -> WordIds:
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
+    return held(("word_ids", path), lambda: WordIds(path))
 
 
 def cut(docs: DataFrame, path: str, text: str = "text", id_column: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
@@ -98,7 +100,7 @@ def cut(docs: DataFrame, path: str, text: str = "text", id_column: str = "doc_id
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], schema=schema)
 
     rows = docs.select(docs[id_column].cast("long").alias("id"), F.coalesce(docs[text], F.lit("")).alias("body"))
-    return rows.mapInArrow(by_slice(work), "id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows.mapInArrow(by_slice(work, ("word_ids", path)), "id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 @dataclass

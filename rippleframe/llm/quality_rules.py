@@ -38,8 +38,6 @@ LEAST_VOTES = 30
 LEAST_SPREAD = 0.002
 #: Discount of a type.
 TYPE_DISCOUNT = 0.5
-#: Languages with more documents get models of their own; at most so many, by documents. All others share one.
-MOST_LANGUAGES = 64
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\v\f\r"
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -134,10 +132,10 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 codes = grams(folded(text), order)
                 held.setdefault(lang, []).append(codes)
                 size += len(codes)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 fold()
                 size = 0
-            if sum(len(c) for c, _ in sums.values()) > 2_000_000:  # bounds the task's memory; Spark adds the rest
+            if sum(len(c) for c, _ in sums.values()) > 1_500_000:  # bounds the task's memory; Spark adds the rest
                 yield from rows(sums)
                 sums.clear()
         fold()
@@ -298,8 +296,7 @@ _DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repea
 def _prepared(docs: DataFrame, text: str, lang: str) -> tuple[DataFrame, list[str]]:
     """The documents with body, the number of the language, and all columns in the struct `doc`; the languages' names."""
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.coalesce(docs[text], F.lit("")).alias("body"), docs[lang].cast("string").alias("name"))
-    common = rows.where("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(MOST_LANGUAGES)
-    names = [r["name"] for r in common.collect()]
+    names = sorted(r["name"] for r in rows.where("name is not null").select("name").distinct().collect())
     numbered = F.create_map(*[x for k, v in enumerate(names) for x in (F.lit(v), F.lit(k))])[F.col("name")] if names else F.lit(None)
     return rows.select("doc", "body", F.coalesce(numbered, F.lit(len(names))).cast("int").alias("lang")), names
 
@@ -360,10 +357,8 @@ def score(spark: SparkSession, docs: DataFrame, text: str = "text", id_column: s
     """One row per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang,
     log_perplexity, type_log_perplexity, low (of the latter), high (of the former).
 
-    A null or empty text has no words, and fails the base rules. A null lang is a language of its own; so is whatever is
-    beyond the MOST_LANGUAGES most frequent. A text shorter than the model's order has no perplexity; a language of
-    few texts has no bands. Null
-    ids and repeated rows are judged row by row. Extra columns are not read. An empty table gives an empty result.
+    A null or empty text has no words, and fails the base rules. A null lang is a language of its own. A text shorter
+    than the model's order has no perplexity; a language of few texts has no bands. Null ids and repeated rows are judged row by row. Extra columns are not read. An empty table gives an empty result.
     """
     scratch = shared_dir(spark)
     rows, _ = _prepared(docs.select(*dict.fromkeys([id_column, text, lang])), text, lang)

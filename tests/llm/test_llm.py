@@ -65,6 +65,17 @@ def test_near_dedup(spark, docs, empty):
     assert near_dedup.keep_one(spark, docs, size=4).columns == docs.columns
 
 
+def test_many_languages_are_all_learned(spark):
+    names = sorted(a + b + c for a in "bdfgk" for b in "aeiou" for c in "lmnr")
+    rows = [(k, " ".join(f"{n}{n[::-1]}{x}{n}" for x in ("wort", "haus", "baum", "zeit")), n) for k, n in enumerate(names)]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.names == names and all(model.label(t)[0] == n for _, t, n in rows)
+    whole = model.words(rows[5][1])[0]
+    before, language_id.HELD_SCORES = language_id.HELD_SCORES, 90
+    assert np.array_equal(model.words(rows[5][1])[0], whole)  # word by word
+    language_id.HELD_SCORES = before
+
+
 def test_near_dedup_of_a_repeated_id_with_two_texts(spark):
     a, b = words(60, 21), words(60, 22)
     rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*b, "more"])), (9, " ".join([*a, "more"])), (3, " ".join(words(60, 23))), (8, "")]
