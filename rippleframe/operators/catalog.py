@@ -7,10 +7,29 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 # Fixed values of the data contract.
-FACTORS = """input_dependency output_dependency demand_exposure hedging pricing_power substitutability inventory_buffer
-supplier_diversification customer_concentration debt_ratio cash_buffer currency_revenue_exposure currency_cost_exposure
-regulatory_exposure tax_exposure subsidy_exposure competitive_pressure contract_revenue_share labor_intensity
-capacity_utilization fixed_cost_share""".split()
+FACTORS = [
+    "input_dependency",
+    "output_dependency",
+    "demand_exposure",
+    "hedging",
+    "pricing_power",
+    "substitutability",
+    "inventory_buffer",
+    "supplier_diversification",
+    "customer_concentration",
+    "debt_ratio",
+    "cash_buffer",
+    "currency_revenue_exposure",
+    "currency_cost_exposure",
+    "regulatory_exposure",
+    "tax_exposure",
+    "subsidy_exposure",
+    "competitive_pressure",
+    "contract_revenue_share",
+    "labor_intensity",
+    "capacity_utilization",
+    "fixed_cost_share",
+]
 STATES = ["revenue_expectation", "demand", "operating_costs", "margin_expectation", "supply_risk", "competitive_position"]
 WEIGHTS = dict(zip(STATES, [0.75, 0.50, -0.75, 1.00, -0.50, 0.25], strict=True))
 DIRECTIONS = ["increase", "decrease"]
@@ -35,52 +54,49 @@ CONCEPT_SUBJECTS = {
 }
 INDEPENDENT_SOURCES = ["teacher", "curated", "real"]
 POOLS = {
-    line.split(":")[0].strip(): line.split(":")[1].split()
-    for line in """
-production_input: oil gas copper steel lithium aluminum nickel rare_earth timber chemicals
-energy: oil gas coal diesel jet_fuel natural_gas
-agricultural_input: corn soybeans cotton sugar palm_oil
-materials: steel aluminum copper plastics glass cement paper packaging
-compute: gpu_compute server_capacity data_center_power
-logistics: shipping trucking rail air_cargo port_services warehousing
-financing: interest_rate credit_spreads corporate_bonds bank_loans commercial_paper
-debt: corporate_bonds bank_loans commercial_paper
-credit: credit_spreads bank_loans
-interest_rate: interest_rate central_bank_rate
-labor: skilled_workers engineers logistics_staff factory_workers software_developers
-workforce: skilled_workers factory_workers engineers
-occupation: engineers software_developers healthcare_staff
-compensation: wages benefits bonuses
-output: steel aluminum copper cement chemicals paper glass plastics textiles packaging
-product: electric_vehicles semiconductors solar_panels consumer_electronics batteries wind_turbines smartphones machinery
-service: cloud_services logistics_services consulting software_subscriptions maintenance
-commodity: oil gas copper steel lithium aluminum nickel corn soybeans
-market: ev_market semiconductor_market steel_market energy_market consumer_market
-customer_segment: automotive_oems industrial_customers retail_consumers enterprise_clients construction_sector
-market_supply: oil_supply copper_supply steel_supply lithium_supply semiconductor_supply
-currency: usd eur jpy gbp chf aud cad brl inr cny
-currency_pair: usd_eur usd_jpy usd_cny eur_gbp
-foreign_exchange: usd eur jpy cny
-competitor: low_cost_entrant foreign_competitor platform_competitor private_label substitute_product
-regulation: emissions_rule safety_standard data_privacy_law import_quota packaging_rule
-jurisdiction: eu us china germany california
-compliance_requirement: emissions_reporting product_certification data_residency import_licensing
-tax: corporate_tax vat carbon_tax import_tariff windfall_tax
-tax_regime: corporate_tax carbon_tax import_tariff
-subsidy: ev_subsidy solar_subsidy export_credit r_and_d_credit energy_subsidy
-government_program: ev_subsidy solar_subsidy export_credit r_and_d_credit
-company: smelter refinery fab assembly_plant warehouse data_center mine port fleet grid
-facility: smelter refinery fab assembly_plant warehouse data_center mine port
-production_line: assembly_line packaging_line chemical_line steel_line
-network: logistics_network retail_network power_grid telecom_network
-supplier: chip_supplier battery_supplier steel_supplier chemical_supplier logistics_provider component_supplier rare_earth_supplier packaging_supplier
-logistics_route: suez_route panama_route transpacific_route europe_rail_route
-customer: major_retailer oem_customer government_customer telecom_operator auto_manufacturer distributor ecommerce_platform
-distribution_channel: retail_channel ecommerce_channel wholesale_channel direct_sales
-contract: supply_contract offtake_agreement service_contract licensing_deal procurement_contract
-customer_contract: supply_contract service_contract licensing_deal
-supplier_contract: procurement_contract offtake_agreement supply_contract
-""".strip().splitlines()
+    "production_input": ["oil", "gas", "copper", "steel", "lithium", "aluminum", "nickel", "rare_earth", "timber", "chemicals"],
+    "energy": ["oil", "gas", "coal", "diesel", "jet_fuel", "natural_gas"],
+    "agricultural_input": ["corn", "soybeans", "cotton", "sugar", "palm_oil"],
+    "materials": ["steel", "aluminum", "copper", "plastics", "glass", "cement", "paper", "packaging"],
+    "compute": ["gpu_compute", "server_capacity", "data_center_power"],
+    "logistics": ["shipping", "trucking", "rail", "air_cargo", "port_services", "warehousing"],
+    "financing": ["interest_rate", "credit_spreads", "corporate_bonds", "bank_loans", "commercial_paper"],
+    "debt": ["corporate_bonds", "bank_loans", "commercial_paper"],
+    "credit": ["credit_spreads", "bank_loans"],
+    "interest_rate": ["interest_rate", "central_bank_rate"],
+    "labor": ["skilled_workers", "engineers", "logistics_staff", "factory_workers", "software_developers"],
+    "workforce": ["skilled_workers", "factory_workers", "engineers"],
+    "occupation": ["engineers", "software_developers", "healthcare_staff"],
+    "compensation": ["wages", "benefits", "bonuses"],
+    "output": ["steel", "aluminum", "copper", "cement", "chemicals", "paper", "glass", "plastics", "textiles", "packaging"],
+    "product": ["electric_vehicles", "semiconductors", "solar_panels", "consumer_electronics", "batteries", "wind_turbines", "smartphones", "machinery"],
+    "service": ["cloud_services", "logistics_services", "consulting", "software_subscriptions", "maintenance"],
+    "commodity": ["oil", "gas", "copper", "steel", "lithium", "aluminum", "nickel", "corn", "soybeans"],
+    "market": ["ev_market", "semiconductor_market", "steel_market", "energy_market", "consumer_market"],
+    "customer_segment": ["automotive_oems", "industrial_customers", "retail_consumers", "enterprise_clients", "construction_sector"],
+    "market_supply": ["oil_supply", "copper_supply", "steel_supply", "lithium_supply", "semiconductor_supply"],
+    "currency": ["usd", "eur", "jpy", "gbp", "chf", "aud", "cad", "brl", "inr", "cny"],
+    "currency_pair": ["usd_eur", "usd_jpy", "usd_cny", "eur_gbp"],
+    "foreign_exchange": ["usd", "eur", "jpy", "cny"],
+    "competitor": ["low_cost_entrant", "foreign_competitor", "platform_competitor", "private_label", "substitute_product"],
+    "regulation": ["emissions_rule", "safety_standard", "data_privacy_law", "import_quota", "packaging_rule"],
+    "jurisdiction": ["eu", "us", "china", "germany", "california"],
+    "compliance_requirement": ["emissions_reporting", "product_certification", "data_residency", "import_licensing"],
+    "tax": ["corporate_tax", "vat", "carbon_tax", "import_tariff", "windfall_tax"],
+    "tax_regime": ["corporate_tax", "carbon_tax", "import_tariff"],
+    "subsidy": ["ev_subsidy", "solar_subsidy", "export_credit", "r_and_d_credit", "energy_subsidy"],
+    "government_program": ["ev_subsidy", "solar_subsidy", "export_credit", "r_and_d_credit"],
+    "company": ["smelter", "refinery", "fab", "assembly_plant", "warehouse", "data_center", "mine", "port", "fleet", "grid"],
+    "facility": ["smelter", "refinery", "fab", "assembly_plant", "warehouse", "data_center", "mine", "port"],
+    "production_line": ["assembly_line", "packaging_line", "chemical_line", "steel_line"],
+    "network": ["logistics_network", "retail_network", "power_grid", "telecom_network"],
+    "supplier": ["chip_supplier", "battery_supplier", "steel_supplier", "chemical_supplier", "logistics_provider", "component_supplier", "rare_earth_supplier", "packaging_supplier"],
+    "logistics_route": ["suez_route", "panama_route", "transpacific_route", "europe_rail_route"],
+    "customer": ["major_retailer", "oem_customer", "government_customer", "telecom_operator", "auto_manufacturer", "distributor", "ecommerce_platform"],
+    "distribution_channel": ["retail_channel", "ecommerce_channel", "wholesale_channel", "direct_sales"],
+    "contract": ["supply_contract", "offtake_agreement", "service_contract", "licensing_deal", "procurement_contract"],
+    "customer_contract": ["supply_contract", "service_contract", "licensing_deal"],
+    "supplier_contract": ["procurement_contract", "offtake_agreement", "supply_contract"],
 }
 
 
@@ -88,103 +104,258 @@ supplier_contract: procurement_contract offtake_agreement supply_contract
 class Mechanism:
     """One transmission mechanism: what it needs, what it changes, by which formulas, and the signs that must hold.
 
-    shared: named intermediate expressions. effects: expressions of shared names, factors, d (direction), m (magnitude)
-    and the exposures inv, liq and res. signs: +1 or -1 of the effect times the direction. All are ANSI SQL.
+    terms: named intermediate expressions, each in those before it. effects: by state, in terms, factors, sign (of the
+    direction), magnitude and the exposures inventory_exposure, liquidity_exposure and residual_exposure. All are SQL.
+    signs: +1 or -1, that of the effect times the direction.
     """
 
     name: str
     classes: list[str]
     factors: list[str]
-    shared: dict[str, str]
+    terms: dict[str, str]
     effects: dict[str, str]
     signs: dict[str, int]
 
 
-def _mechanism(name: str, classes: str, factors: str, shared: dict[str, str], signs: str, **effects: str) -> Mechanism:
-    short = dict(zip(["rev", "dem", "cost", "mar", "sup", "com"], STATES, strict=True))
-    rules = {short[s[:-1]]: 1 if s[-1] == "+" else -1 for s in signs.split()}
-    return Mechanism(name, classes.split(), factors.split(), shared, {short[k]: v for k, v in effects.items()}, rules)
-
-
 #: In contract order.
 MECHANISMS = [
-    _mechanism(
-        "input_cost_change", "production_input energy agricultural_input materials compute logistics",
-        "input_dependency hedging pricing_power substitutability inventory_buffer",
-        {"c": "d * m * input_dependency * (1 - hedging) * (1 - substitutability) * inv", "u": "c * (1 - pricing_power)"},
-        "cost+ mar- sup+ com-", cost="c", mar="-u", sup="0.10 * c", com="-0.25 * u",
+    Mechanism(
+        name="input_cost_change",
+        classes=["production_input", "energy", "agricultural_input", "materials", "compute", "logistics"],
+        factors=["input_dependency", "hedging", "pricing_power", "substitutability", "inventory_buffer"],
+        terms={
+            "transmitted_cost": "sign * magnitude * input_dependency * (1 - hedging) * (1 - substitutability) * inventory_exposure",
+            "unpassed_cost": "transmitted_cost * (1 - pricing_power)",
+        },
+        effects={
+            "operating_costs": "transmitted_cost",
+            "margin_expectation": "-unpassed_cost",
+            "supply_risk": "0.10 * transmitted_cost",
+            "competitive_position": "-0.25 * unpassed_cost",
+        },
+        signs={"operating_costs": 1, "margin_expectation": -1, "supply_risk": 1, "competitive_position": -1},
     ),
-    _mechanism(
-        "output_price_change", "output product service commodity", "output_dependency demand_exposure pricing_power",
-        {"p": "d * m * output_dependency", "r": "p * (0.55 + 0.45 * pricing_power * d)", "q": "-d * m * demand_exposure * output_dependency * (1 - pricing_power) * 0.35"},
-        "rev+ dem-", rev="r", dem="q", mar="r + 0.20 * q", com="0.20 * (r + q)",
+    Mechanism(
+        name="output_price_change",
+        classes=["output", "product", "service", "commodity"],
+        factors=["output_dependency", "demand_exposure", "pricing_power"],
+        terms={
+            "price_move": "sign * magnitude * output_dependency",
+            "realised_revenue": "price_move * (0.55 + 0.45 * pricing_power * sign)",
+            "lost_demand": "-sign * magnitude * demand_exposure * output_dependency * (1 - pricing_power) * 0.35",
+        },
+        effects={
+            "revenue_expectation": "realised_revenue",
+            "demand": "lost_demand",
+            "margin_expectation": "realised_revenue + 0.20 * lost_demand",
+            "competitive_position": "0.20 * (realised_revenue + lost_demand)",
+        },
+        signs={"revenue_expectation": 1, "demand": -1},
     ),
-    _mechanism(
-        "demand_change", "product service market customer_segment", "demand_exposure pricing_power capacity_utilization",
-        {"q": "d * m * demand_exposure", "r": "q * (CASE WHEN q >= 0 THEN (0.55 + 0.45 * pricing_power) * (1 - 0.60 * capacity_utilization) ELSE 1 - 0.50 * pricing_power END)"},
-        "rev+ dem+ mar+", rev="r", dem="q", mar="r * (0.55 + 0.45 * pricing_power)",
+    Mechanism(
+        name="demand_change",
+        classes=["product", "service", "market", "customer_segment"],
+        factors=["demand_exposure", "pricing_power", "capacity_utilization"],
+        terms={
+            "demand_move": "sign * magnitude * demand_exposure",
+            "sold_demand": "demand_move * (CASE WHEN demand_move >= 0 THEN (0.55 + 0.45 * pricing_power) * (1 - 0.60 * capacity_utilization) ELSE 1 - 0.50 * pricing_power END)",
+        },
+        effects={
+            "revenue_expectation": "sold_demand",
+            "demand": "demand_move",
+            "margin_expectation": "sold_demand * (0.55 + 0.45 * pricing_power)",
+        },
+        signs={"revenue_expectation": 1, "demand": 1, "margin_expectation": 1},
     ),
-    _mechanism(
-        "supply_change", "production_input product commodity market_supply",
-        "input_dependency inventory_buffer supplier_diversification substitutability", {"a": "d * m * input_dependency * res"},
-        "rev+ cost- mar+ sup-", rev="0.35 * a", cost="-0.55 * a", mar="0.65 * a", sup="-a",
+    Mechanism(
+        name="supply_change",
+        classes=["production_input", "product", "commodity", "market_supply"],
+        factors=["input_dependency", "inventory_buffer", "supplier_diversification", "substitutability"],
+        terms={
+            "available_supply": "sign * magnitude * input_dependency * residual_exposure",
+        },
+        effects={
+            "revenue_expectation": "0.35 * available_supply",
+            "operating_costs": "-0.55 * available_supply",
+            "margin_expectation": "0.65 * available_supply",
+            "supply_risk": "-available_supply",
+        },
+        signs={"revenue_expectation": 1, "operating_costs": -1, "margin_expectation": 1, "supply_risk": -1},
     ),
-    _mechanism(
-        "capacity_change", "company facility production_line network", "capacity_utilization demand_exposure fixed_cost_share",
-        {"k": "d * m * demand_exposure * (0.25 + 0.75 * capacity_utilization)", "f": "d * m * fixed_cost_share * 0.25"},
-        "rev+ cost+ sup-", rev="0.80 * k", cost="f", mar="0.65 * k - 0.50 * f", sup="-0.50 * k",
+    Mechanism(
+        name="capacity_change",
+        classes=["company", "facility", "production_line", "network"],
+        factors=["capacity_utilization", "demand_exposure", "fixed_cost_share"],
+        terms={
+            "usable_capacity": "sign * magnitude * demand_exposure * (0.25 + 0.75 * capacity_utilization)",
+            "fixed_cost": "sign * magnitude * fixed_cost_share * 0.25",
+        },
+        effects={
+            "revenue_expectation": "0.80 * usable_capacity",
+            "operating_costs": "fixed_cost",
+            "margin_expectation": "0.65 * usable_capacity - 0.50 * fixed_cost",
+            "supply_risk": "-0.50 * usable_capacity",
+        },
+        signs={"revenue_expectation": 1, "operating_costs": 1, "supply_risk": -1},
     ),
-    _mechanism(
-        "supplier_disruption", "supplier facility logistics_route production_input",
-        "input_dependency inventory_buffer supplier_diversification substitutability", {"x": "d * m * input_dependency * res"},
-        "rev- cost+ mar- sup+", rev="-0.55 * x", cost="0.50 * x", mar="-0.70 * x", sup="x",
+    Mechanism(
+        name="supplier_disruption",
+        classes=["supplier", "facility", "logistics_route", "production_input"],
+        factors=["input_dependency", "inventory_buffer", "supplier_diversification", "substitutability"],
+        terms={
+            "exposed_supply": "sign * magnitude * input_dependency * residual_exposure",
+        },
+        effects={
+            "revenue_expectation": "-0.55 * exposed_supply",
+            "operating_costs": "0.50 * exposed_supply",
+            "margin_expectation": "-0.70 * exposed_supply",
+            "supply_risk": "exposed_supply",
+        },
+        signs={"revenue_expectation": -1, "operating_costs": 1, "margin_expectation": -1, "supply_risk": 1},
     ),
-    _mechanism(
-        "customer_dependency_change", "customer customer_segment distribution_channel", "customer_concentration demand_exposure pricing_power",
-        {"r": "d * m * customer_concentration"},
-        "rev+ dem+ mar+ com-", rev="r", dem="d * m * demand_exposure", mar="r * (0.55 + 0.45 * pricing_power * d)", com="-r * (1 - pricing_power) * 0.25",
+    Mechanism(
+        name="customer_dependency_change",
+        classes=["customer", "customer_segment", "distribution_channel"],
+        factors=["customer_concentration", "demand_exposure", "pricing_power"],
+        terms={
+            "customer_revenue": "sign * magnitude * customer_concentration",
+        },
+        effects={
+            "revenue_expectation": "customer_revenue",
+            "demand": "sign * magnitude * demand_exposure",
+            "margin_expectation": "customer_revenue * (0.55 + 0.45 * pricing_power * sign)",
+            "competitive_position": "-customer_revenue * (1 - pricing_power) * 0.25",
+        },
+        signs={"revenue_expectation": 1, "demand": 1, "margin_expectation": 1, "competitive_position": -1},
     ),
-    _mechanism(
-        "financing_cost_change", "financing debt credit interest_rate", "debt_ratio cash_buffer hedging fixed_cost_share",
-        {"g": "d * m * debt_ratio * (1 - hedging)", "p": "CASE WHEN g > 0 THEN g * liq ELSE g END"},
-        "rev- mar- com-", rev="-0.25 * p * fixed_cost_share", mar="-p", com="-p * (0.25 + 0.35 * fixed_cost_share)",
+    Mechanism(
+        name="financing_cost_change",
+        classes=["financing", "debt", "credit", "interest_rate"],
+        factors=["debt_ratio", "cash_buffer", "hedging", "fixed_cost_share"],
+        terms={
+            "gross_cost": "sign * magnitude * debt_ratio * (1 - hedging)",
+            "absorbed_cost": "CASE WHEN gross_cost > 0 THEN gross_cost * liquidity_exposure ELSE gross_cost END",
+        },
+        effects={
+            "revenue_expectation": "-0.25 * absorbed_cost * fixed_cost_share",
+            "margin_expectation": "-absorbed_cost",
+            "competitive_position": "-absorbed_cost * (0.25 + 0.35 * fixed_cost_share)",
+        },
+        signs={"revenue_expectation": -1, "margin_expectation": -1, "competitive_position": -1},
     ),
-    _mechanism(
-        "currency_change", "currency currency_pair foreign_exchange", "currency_revenue_exposure currency_cost_exposure hedging pricing_power",
-        {"s": "d * m * (1 - hedging)", "r": "s * currency_revenue_exposure", "c": "s * currency_cost_exposure", "n": "r - c * (1 - 0.65 * pricing_power * d)"},
-        "", rev="r", cost="c", mar="n", com="0.25 * n",
+    Mechanism(
+        name="currency_change",
+        classes=["currency", "currency_pair", "foreign_exchange"],
+        factors=["currency_revenue_exposure", "currency_cost_exposure", "hedging", "pricing_power"],
+        terms={
+            "open_exposure": "sign * magnitude * (1 - hedging)",
+            "revenue_move": "open_exposure * currency_revenue_exposure",
+            "cost_move": "open_exposure * currency_cost_exposure",
+            "net_move": "revenue_move - cost_move * (1 - 0.65 * pricing_power * sign)",
+        },
+        effects={
+            "revenue_expectation": "revenue_move",
+            "operating_costs": "cost_move",
+            "margin_expectation": "net_move",
+            "competitive_position": "0.25 * net_move",
+        },
+        signs={},
     ),
-    _mechanism(
-        "regulatory_cost_change", "regulation jurisdiction compliance_requirement", "regulatory_exposure pricing_power cash_buffer",
-        {"g": "d * m * regulatory_exposure", "p": "CASE WHEN g > 0 THEN g * liq ELSE g END", "u": "p * (1 - pricing_power)"},
-        "cost+ mar- com-", cost="p", mar="-u", com="-0.30 * u",
+    Mechanism(
+        name="regulatory_cost_change",
+        classes=["regulation", "jurisdiction", "compliance_requirement"],
+        factors=["regulatory_exposure", "pricing_power", "cash_buffer"],
+        terms={
+            "gross_cost": "sign * magnitude * regulatory_exposure",
+            "absorbed_cost": "CASE WHEN gross_cost > 0 THEN gross_cost * liquidity_exposure ELSE gross_cost END",
+            "unpassed_cost": "absorbed_cost * (1 - pricing_power)",
+        },
+        effects={
+            "operating_costs": "absorbed_cost",
+            "margin_expectation": "-unpassed_cost",
+            "competitive_position": "-0.30 * unpassed_cost",
+        },
+        signs={"operating_costs": 1, "margin_expectation": -1, "competitive_position": -1},
     ),
-    _mechanism(
-        "tax_change", "tax jurisdiction tax_regime", "tax_exposure pricing_power cash_buffer",
-        {"g": "d * m * tax_exposure", "p": "CASE WHEN g > 0 THEN g * liq ELSE g END"},
-        "mar- com-", mar="-p * (1 - 0.35 * pricing_power)", com="-0.25 * p * (1 - pricing_power)",
+    Mechanism(
+        name="tax_change",
+        classes=["tax", "jurisdiction", "tax_regime"],
+        factors=["tax_exposure", "pricing_power", "cash_buffer"],
+        terms={
+            "gross_tax": "sign * magnitude * tax_exposure",
+            "absorbed_tax": "CASE WHEN gross_tax > 0 THEN gross_tax * liquidity_exposure ELSE gross_tax END",
+        },
+        effects={
+            "margin_expectation": "-absorbed_tax * (1 - 0.35 * pricing_power)",
+            "competitive_position": "-0.25 * absorbed_tax * (1 - pricing_power)",
+        },
+        signs={"margin_expectation": -1, "competitive_position": -1},
     ),
-    _mechanism(
-        "subsidy_change", "subsidy government_program jurisdiction", "subsidy_exposure cash_buffer pricing_power",
-        {"g": "d * m * subsidy_exposure", "s": "CASE WHEN g < 0 THEN g * liq ELSE g END"},
-        "rev+ cost- mar+ com+", rev="0.35 * s", cost="-0.65 * s", mar="s", com="0.30 * s * (1 - 0.50 * pricing_power)",
+    Mechanism(
+        name="subsidy_change",
+        classes=["subsidy", "government_program", "jurisdiction"],
+        factors=["subsidy_exposure", "cash_buffer", "pricing_power"],
+        terms={
+            "gross_support": "sign * magnitude * subsidy_exposure",
+            "absorbed_support": "CASE WHEN gross_support < 0 THEN gross_support * liquidity_exposure ELSE gross_support END",
+        },
+        effects={
+            "revenue_expectation": "0.35 * absorbed_support",
+            "operating_costs": "-0.65 * absorbed_support",
+            "margin_expectation": "absorbed_support",
+            "competitive_position": "0.30 * absorbed_support * (1 - 0.50 * pricing_power)",
+        },
+        signs={"revenue_expectation": 1, "operating_costs": -1, "margin_expectation": 1, "competitive_position": 1},
     ),
-    _mechanism(
-        "competitive_pressure_change", "competitor market product service", "competitive_pressure demand_exposure pricing_power customer_concentration",
-        {"p": "d * m * competitive_pressure", "v": "(1 - 0.65 * pricing_power) * (0.60 + 0.40 * customer_concentration)", "e": "p * demand_exposure * v"},
-        "rev- dem- mar- com-", rev="-e", dem="-p * demand_exposure * (0.70 + 0.30 * customer_concentration)", mar="-e * (0.70 + 0.30 * (1 - pricing_power))", com="-p * (1 - 0.40 * pricing_power)",
+    Mechanism(
+        name="competitive_pressure_change",
+        classes=["competitor", "market", "product", "service"],
+        factors=["competitive_pressure", "demand_exposure", "pricing_power", "customer_concentration"],
+        terms={
+            "pressure": "sign * magnitude * competitive_pressure",
+            "vulnerability": "(1 - 0.65 * pricing_power) * (0.60 + 0.40 * customer_concentration)",
+            "eroded_revenue": "pressure * demand_exposure * vulnerability",
+        },
+        effects={
+            "revenue_expectation": "-eroded_revenue",
+            "demand": "-pressure * demand_exposure * (0.70 + 0.30 * customer_concentration)",
+            "margin_expectation": "-eroded_revenue * (0.70 + 0.30 * (1 - pricing_power))",
+            "competitive_position": "-pressure * (1 - 0.40 * pricing_power)",
+        },
+        signs={"revenue_expectation": -1, "demand": -1, "margin_expectation": -1, "competitive_position": -1},
     ),
-    _mechanism(
-        "contract_change", "contract customer_contract supplier_contract", "contract_revenue_share customer_concentration pricing_power",
-        {"e": "d * m * contract_revenue_share", "w": "0.50 + 0.50 * pricing_power * d"},
-        "rev+ dem+ mar+ com+", rev="e", dem="e * (0.50 + 0.50 * customer_concentration)", mar="e * w", com="0.25 * e * w",
+    Mechanism(
+        name="contract_change",
+        classes=["contract", "customer_contract", "supplier_contract"],
+        factors=["contract_revenue_share", "customer_concentration", "pricing_power"],
+        terms={
+            "contract_revenue": "sign * magnitude * contract_revenue_share",
+            "pass_through": "0.50 + 0.50 * pricing_power * sign",
+        },
+        effects={
+            "revenue_expectation": "contract_revenue",
+            "demand": "contract_revenue * (0.50 + 0.50 * customer_concentration)",
+            "margin_expectation": "contract_revenue * pass_through",
+            "competitive_position": "0.25 * contract_revenue * pass_through",
+        },
+        signs={"revenue_expectation": 1, "demand": 1, "margin_expectation": 1, "competitive_position": 1},
     ),
-    _mechanism(
-        "labor_cost_change", "labor workforce occupation compensation", "labor_intensity pricing_power fixed_cost_share",
-        {"p": "d * m * labor_intensity"},
-        "cost+ mar- sup+ com-", cost="p * (0.70 + 0.30 * fixed_cost_share)", mar="-p * (1 - 0.75 * pricing_power)", sup="0.20 * p * fixed_cost_share", com="-0.25 * p * (1 - pricing_power)",
+    Mechanism(
+        name="labor_cost_change",
+        classes=["labor", "workforce", "occupation", "compensation"],
+        factors=["labor_intensity", "pricing_power", "fixed_cost_share"],
+        terms={
+            "labor_cost": "sign * magnitude * labor_intensity",
+        },
+        effects={
+            "operating_costs": "labor_cost * (0.70 + 0.30 * fixed_cost_share)",
+            "margin_expectation": "-labor_cost * (1 - 0.75 * pricing_power)",
+            "supply_risk": "0.20 * labor_cost * fixed_cost_share",
+            "competitive_position": "-0.25 * labor_cost * (1 - pricing_power)",
+        },
+        signs={"operating_costs": 1, "margin_expectation": -1, "supply_risk": 1, "competitive_position": -1},
     ),
-]
+]
 BY_NAME = {m.name: m for m in MECHANISMS}
 
 

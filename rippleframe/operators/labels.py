@@ -1,4 +1,4 @@
-"""State labels and economic impact as Column expressions: one CASE for each state field, no user functions."""
+"""State labels and economic impact as Column expressions in layers: exposures, terms, effects; no user functions."""
 
 from __future__ import annotations
 
@@ -7,55 +7,68 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rippleframe.operators.catalog import BY_NAME, MECHANISMS, STATES, WEIGHTS
+from rippleframe.operators.catalog import MECHANISMS, STATES, WEIGHTS, Mechanism
 
+#: Terms are computed once, in columns of their own: the k-th term of every mechanism is in the k-th of them.
+TERMS = [f"_term{k}" for k in range(max(len(m.terms) for m in MECHANISMS))]
 EXPOSURES = {
-    "inv": "(1 - inventory_buffer * exp(-horizon_days / 90.0e0))",
-    "liq": "(1 - 0.65e0 * cash_buffer * exp(-horizon_days / 180.0e0))",
-    "res": "((1 - inventory_buffer * exp(-horizon_days / 90.0e0)) * (1 - supplier_diversification) * (1 - substitutability))",
+    "_sign": "CASE direction WHEN 'increase' THEN 1.0e0 WHEN 'decrease' THEN -1.0e0 END",
+    "_inventory": "1 - inventory_buffer * exp(-horizon_days / 90.0e0)",
+    "_liquidity": "1 - 0.65e0 * cash_buffer * exp(-horizon_days / 180.0e0)",
+    "_residual": "(1 - inventory_buffer * exp(-horizon_days / 90.0e0)) * (1 - supplier_diversification) * (1 - substitutability)",
 }
-BASE = {"d": "(CASE WHEN direction = 'increase' THEN 1.0e0 ELSE -1.0e0 END)", "m": "magnitude"}
+_NAMES = {"sign": "_sign", "inventory_exposure": "_inventory", "liquidity_exposure": "_liquidity", "residual_exposure": "_residual"}
 
 
-def resolved(name: str, state: str) -> str:
-    """The formula of a mechanism's effect in factors, magnitude, direction and horizon_days, as ANSI SQL."""
-    found = BY_NAME[name]
-    names = BASE | EXPOSURES
-    for key, text in found.shared.items():
-        names[key] = "(" + _filled(text, names) + ")"
-    return _filled(found.effects[state], names)
-
-
-def _filled(text: str, names: dict[str, str]) -> str:
+def _filled(text: str, m: Mechanism) -> str:
+    names = _NAMES | dict(zip(m.terms, TERMS, strict=False))
     text = re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", text)  # doubles, not decimals
-    return re.sub(r"(?<![\w.])([a-z]{1,3})(?![\w.(])", lambda x: names.get(x[1], x[1]), text)
+    return re.sub(r"\b[a-z_]+\b", lambda x: names.get(x[0], x[0]), text)
 
 
-def state_sql(state: str) -> str:
-    """CASE over the mechanisms that affect a state; clamped to [-1, 1]; 0 for all others."""
-    cases = " ".join(f"WHEN mechanism = '{m.name}' THEN {resolved(m.name, state)}" for m in MECHANISMS if state in m.effects)
-    return f"(greatest(-1.0e0, least(1.0e0, CASE {cases} ELSE 0.0e0 END)) + 0.0e0)"
+def _by_mechanism(made: dict[str, str], other: str) -> Column:
+    cases = " ".join(f"WHEN '{name}' THEN CAST({text} AS DOUBLE)" for name, text in made.items())
+    return F.expr(f"CASE mechanism {cases} ELSE {other} END") if made else F.expr(other)
 
 
-def effects_sql() -> str:
-    """A struct of all six effects before the clamp, by one CASE: a row evaluates its own mechanism's formulas only."""
-    cases = " ".join(
-        f"WHEN mechanism = '{m.name}' THEN named_struct({', '.join(f"'{s}', CAST({resolved(m.name, s) if s in m.effects else '0.0e0'} AS DOUBLE)" for s in STATES)})" for m in MECHANISMS
-    )
-    return f"CASE {cases} END"
+def bounded(x: Column) -> Column:
+    """In [-1, 1]. Unknown and non-finite values are null, not a bound."""
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    return F.when(finite, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)) + F.lit(0.0))
 
 
-def clamped(effect: Column) -> Column:
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), effect)) + F.lit(0.0)
+def impact(states: dict[str, Column] | None = None) -> Column:
+    """The weighted sum of six states, bounded; null if one is unknown."""
+    total = F.lit(0.0)
+    for s, w in WEIGHTS.items():
+        total = total + F.lit(w) * (F.col(s) if states is None else states[s])
+    return bounded(total)
 
 
-def impact_sql() -> str:
-    total = " + ".join(f"({w}e0 * {s})" for s, w in WEIGHTS.items())
-    return f"(greatest(-1.0e0, least(1.0e0, {total})) + 0.0e0)"
+def with_effects(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Adds the bounded effect on each state, named by `names`, to rows with mechanism, direction, magnitude, horizon_days
+    and the factors. It is 0 for a state that the mechanism does not affect. All are null if the mechanism or direction is
+    unknown, or a factor that the mechanism needs."""
+    rows = rows.withColumns({k: F.expr(v) for k, v in EXPOSURES.items()})
+    for k, column in enumerate(TERMS):
+        made = {m.name: _filled(list(m.terms.values())[k], m) for m in MECHANISMS if len(m.terms) > k}
+        rows = rows.withColumn(column, _by_mechanism(made, "CAST(NULL AS DOUBLE)"))
+    known = F.lit(False)
+    for m in MECHANISMS:
+        known = F.when(F.col("mechanism") == m.name, F.expr(" AND ".join(f"{f} IS NOT NULL" for f in m.factors))).otherwise(known)
+    raw = {f"_raw_{s}": _by_mechanism({m.name: _filled(m.effects[s], m) for m in MECHANISMS if s in m.effects}, "0.0e0") for s in STATES}
+    rows = rows.withColumns({**raw, "_known": known & F.col("_sign").isNotNull()})
+    rows = rows.withColumns({names[s]: F.when(F.col("_known"), bounded(F.col(f"_raw_{s}"))) for s in STATES})
+    return rows.drop(*EXPOSURES, *TERMS, *raw, "_known")
 
 
 def labelled(rows: DataFrame) -> DataFrame:
-    """Adds the six state fields and economic_impact to rows with mechanism, direction, magnitude, horizon_days and the
-    factors as columns. A factor that a mechanism needs but that is null makes its effects null."""
-    rows = rows.withColumn("_effects", F.expr(effects_sql())).withColumns({s: clamped(F.col("_effects")[s]) for s in STATES})
-    return rows.drop("_effects").withColumn("economic_impact", F.expr(impact_sql()))
+    """Adds the six state fields and economic_impact. They are null where with_effects() says so."""
+    return with_effects(rows, {s: s for s in STATES}).withColumn("economic_impact", impact())
+
+
+def require_labels(rows: DataFrame) -> DataFrame:
+    """labelled(), but a record whose labels cannot be computed fails the job."""
+    out = labelled(rows)
+    known = F.when(F.col("economic_impact").isNotNull(), True).otherwise(F.raise_error(F.concat(F.lit("no finite label: "), F.col("id"))).cast("boolean"))
+    return out.where(known)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rippleframe.functions.exprs import subject_token, unit_hash
-from rippleframe.operators.catalog import CONCEPT_SUBJECTS, OOD_PAIRS, SPLITS
+from rippleframe.operators.catalog import CONCEPT_SUBJECTS, DIRECTIONS, HORIZON_GRID, MAGNITUDE_GRID, MECHANISMS, OOD_PAIRS, RATIO_GRID, SPLITS
 
 
 @dataclass(frozen=True)
@@ -51,8 +51,12 @@ def family_key() -> Column:
 
 
 def held_out_entities(records: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """entity_id: the first of all entities by hash; a distributed top-k, not a window over all entities."""
-    entities = records.select("entity_id").distinct()
+    """entity_id: the first of all entities by hash; a distributed top-k, not a window over all entities.
+
+    Every family has a base record with the family's entity, so variants need not be made for it.
+    """
+    rows = records.where("base_record_id is null") if "base_record_id" in records.columns else records
+    entities = rows.select("entity_id").distinct()
     n = entities.count()
     if policy.entity_ood == 0 or n == 0:
         return entities.limit(0)
@@ -61,8 +65,8 @@ def held_out_entities(records: DataFrame, policy: Policy = Policy()) -> DataFram
     return entities.orderBy(unit_hash(policy.seed, F.concat(F.lit("entity:"), F.col("entity_id"))), "entity_id").limit(k)
 
 
-def families(records: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """One row per family. Partial aggregation leaves one row a family before the only large shuffle."""
+def families(records: DataFrame, policy: Policy = Policy(), *sums: Column) -> DataFrame:
+    """One row per family. Partial aggregation leaves one row a family before the only large shuffle. sums: more aggregates."""
     base = F.col("base_record_id").isNull()
     return records.groupBy(family_key().alias("family_key")).agg(
         F.min("entity_id").alias("entity_id"),
@@ -72,13 +76,36 @@ def families(records: DataFrame, policy: Policy = Policy()) -> DataFrame:
         F.coalesce(F.bool_or(base & is_parameter_ood()), F.lit(False)).alias("parameter"),
         F.bool_or(is_combination_ood()).alias("combination"),
         F.count(F.lit(1)).alias("n_records"),
+        *sums,
     )
 
 
-def assigned(records: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """families() with its split. A family of two entities, or without one base record, is an error."""
+def families_of_bases(base: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """families(with_families(base)) without making the variants.
+
+    A grid has 1, so a factor that the mechanism needs reaches the bound in one of its variants; the other factor of a pair
+    must have it in the base record. No grid of magnitudes reaches that bound. Subjects and entities do not vary.
+    """
+    both, n = is_combination_ood(), F.lit(0)
+    for m in MECHANISMS:
+        n = F.when(F.col("mechanism") == m.name, 1 + len(m.factors) * len(RATIO_GRID) + len(MAGNITUDE_GRID) + len(DIRECTIONS) + len(HORIZON_GRID)).otherwise(n)
+        for a, b in OOD_PAIRS:
+            for varied, fixed in ((a, b), (b, a)):
+                if varied in m.factors:
+                    both = both | F.coalesce((F.col("mechanism") == m.name) & (F.col(fixed) >= 0.75), F.lit(False))
+    return base.select(
+        F.col("id").alias("family_key"), "entity_id", F.col("entity_id").alias("other_entity_id"), F.lit(1).alias("n_base"), is_concept_ood(policy.concept_subjects).alias("concept"),
+        F.coalesce(is_parameter_ood(), F.lit(False)).alias("parameter"), both.alias("combination"), n.cast("long").alias("n_records"),
+    )
+
+
+def assigned(records: DataFrame, policy: Policy = Policy(), rows: DataFrame | None = None) -> DataFrame:
+    """families() with its split, and what else `rows`, the families, has. A family of two entities, or without one base
+    record, is an error."""
     held = held_out_entities(records, policy).select(F.col("entity_id").alias("held_entity"))
-    rows = families(records, policy).join(held, F.col("entity_id") == F.col("held_entity"), "left")
+    rows = families(records, policy) if rows is None else rows
+    more = [c for c in rows.columns if c not in ("family_key", "entity_id", "other_entity_id", "n_base", "concept", "parameter", "combination", "n_records")]
+    rows = rows.join(held, F.col("entity_id") == F.col("held_entity"), "left")
     draw = unit_hash(policy.seed, F.concat(F.lit("family:"), F.col("family_key")))
     entity, concept = F.col("held_entity").isNotNull(), F.col("concept")
     split = (
@@ -93,7 +120,7 @@ def assigned(records: DataFrame, policy: Policy = Policy()) -> DataFrame:
         .when(draw < policy.validation + policy.iid_test, "test_iid")
         .otherwise("train")
     )
-    return rows.select("family_key", "entity_id", "n_records", split.alias("split"))
+    return rows.select("family_key", "entity_id", "n_records", split.alias("split"), *more)
 
 
 def split_records(records: DataFrame, policy: Policy = Policy()) -> DataFrame:
@@ -116,7 +143,6 @@ def violations(records: DataFrame, policy: Policy = Policy()) -> DataFrame:
         found = records.where(where & ~F.col("split").isin(allowed)).groupBy(key.alias("key")).agg(F.count_distinct("split").alias("n_splits"))
         return found.select(F.lit(kind).alias("kind"), "key", "n_splits")
 
-    base = F.col("base_record_id").isNull()
     early = ["test_entity_ood", "test_concept_ood"]
     parts = [
         records.where(~F.col("split").isin(SPLITS)).groupBy(F.col("split").alias("key")).agg(F.count_distinct("split").alias("n_splits")).select(F.lit("unknown_split").alias("kind"), "key", "n_splits"),
@@ -125,7 +151,7 @@ def violations(records: DataFrame, policy: Policy = Policy()) -> DataFrame:
         entity.where("held and n_splits > 1").select(F.lit("entity_leak").alias("kind"), "key", "n_splits"),
         leak("concept_leak", is_concept_ood(policy.concept_subjects), early),
         leak("combination_leak", is_combination_ood(), [*early, "test_combination_ood", "test_hard_ood"]),
-        leak("parameter_leak", base & is_parameter_ood(), [*early, "test_parameter_ood", "test_hard_ood"]),
+        leak("parameter_leak", is_parameter_ood(), [*early, "test_parameter_ood", "test_hard_ood"]),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -5,55 +5,90 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rippleframe.operators.catalog import BY_NAME, DIRECTIONS, FACTORS, INDEPENDENT_SOURCES, MECHANISMS, STATES
-from rippleframe.operators.labels import clamped, effects_sql, impact_sql
+from rippleframe.operators.catalog import BY_NAME, DIRECTIONS, FACTORS, INDEPENDENT_SOURCES, MECHANISMS, STATES, WEIGHTS
+from rippleframe.operators.labels import impact, with_effects
 
 TOLERANCE = 1e-12
-EXPECTED = "_expected_effects"
+#: Columns of the effects by formula.
+EXPECTED = {s: f"_expected_{s}" for s in STATES}
 
 
 def _true(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def _finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+
+
+def _differ(x: Column, y: Column) -> Column:
+    return ~_true(_finite(x) & _finite(y) & (F.abs(x - y) <= TOLERANCE))
+
+
+def registry_issues(mechanisms: list = MECHANISMS) -> list[tuple[str, str]]:
+    """(code, path) of contradictions in the catalogue itself; they hold for every record."""
+    names = [m.name for m in mechanisms]
+    out = []
+    if names != list(BY_NAME):
+        out.append(("registry_schema_mismatch", "event.mechanism"))
+    if len(set(names)) != len(names) or any(not set(m.factors) <= set(FACTORS) for m in mechanisms):
+        out.append(("registry_definition_mismatch", "event.mechanism"))
+    if any(not m.effects or not set(m.effects) <= set(STATES) for m in mechanisms) or set(WEIGHTS) != set(STATES):
+        out.append(("registry_labeler_mismatch", "event.mechanism"))
+    if any(not set(m.signs) <= set(m.effects) for m in mechanisms):
+        out.append(("registry_sign_rule_mismatch", "state_delta"))
+    return out
+
+
 def rules() -> list[tuple[str, str, Column]]:
-    """(code, path, condition that breaks the rule); the effects by formula are in the column EXPECTED."""
+    """(code, path, condition that breaks the rule); the effects by formula are in the columns EXPECTED."""
+    mechanism = F.col("mechanism")
     d = F.when(F.col("direction") == "increase", 1.0).otherwise(-1.0)
-    known = F.col("mechanism").isin(list(BY_NAME))
-    out = [("mechanism_contract", "event.mechanism", ~_true(known)), ("mechanism_contract", "event.direction", ~_true(F.col("direction").isin(DIRECTIONS)))]
+    out = [(code, path, F.lit(True)) for code, path in registry_issues()]
     out.append(("invalid_horizon", "horizon_days", ~_true(F.col("horizon_days") >= 1)))
-    for name, low in [("magnitude", 0.0), ("confidence", 0.0), *[(f, 0.0) for f in FACTORS], *[(s, -1.0) for s in STATES], ("economic_impact", -1.0)]:
-        x = F.col(name)
-        endless = F.isnan(x) | (F.abs(x) == float("inf"))
-        out.append(("non_finite_number", name, _true(endless)))
-        out.append(("number_out_of_bounds", name, _true(~endless & ((x < low) | (x > 1.0)))))
-    for f in FACTORS:
-        needs = F.col("mechanism").isin([m.name for m in MECHANISMS if f in m.factors])
-        out.append(("mechanism_contract", f"context.{f}", _true(needs & F.col(f).isNull())))
-    own = F.col("source").isin(INDEPENDENT_SOURCES)
+    paths = {"magnitude": "event.magnitude", "economic_impact": "economic_impact", "confidence": "confidence"}
+    paths |= {f: f"context.{f}" for f in FACTORS} | {s: f"state_delta.{s}" for s in STATES}
+    for name, path in paths.items():
+        x, low = F.col(name), -1.0 if name in STATES or name == "economic_impact" else 0.0
+        needed = x.isNotNull() if name in FACTORS else F.lit(True)
+        out.append(("non_finite_number", path, needed & ~_true(_finite(x))))
+        out.append(("number_out_of_bounds", path, _true(_finite(x) & ((x < low) | (x > 1.0)))))
+    fits = F.lit(False)
+    for m in MECHANISMS:
+        complete = F.col("subject_class").isin(m.classes) & F.expr(" AND ".join(f"coalesce({f} BETWEEN 0 AND 1, FALSE)" for f in m.factors))
+        fits = F.when(mechanism == m.name, complete).otherwise(fits)
+    fits = _true(fits & F.col("direction").isin(DIRECTIONS))
+    known = _true(mechanism.isin(list(BY_NAME)))
+    out.append(("mechanism_contract", "event.mechanism", ~fits))
+    recomputed = known & _true(F.col("horizon_days") >= 1) & ~_true(F.lower("source").isin(INDEPENDENT_SOURCES))
+    out.append(("state_labeling_failure", "state_delta", recomputed & ~fits))
     for s in STATES:
-        affected = F.col("mechanism").isin([m.name for m in MECHANISMS if s in m.effects])
-        out.append(("undeclared_state_effect", f"state_delta.{s}", _true(~affected & (F.abs(F.col(s)) > TOLERANCE))))
-        out.append(("state_delta_mismatch", f"state_delta.{s}", _true(~own & (F.abs(F.col(s) - clamped(F.col(EXPECTED)[s])) > TOLERANCE))))
+        affected = mechanism.isin([m.name for m in MECHANISMS if s in m.effects])
+        out.append(("undeclared_state_effect", f"state_delta.{s}", _true(known & ~affected & _finite(F.col(s)) & (F.abs(F.col(s)) > TOLERANCE))))
+        out.append(("state_delta_mismatch", f"state_delta.{s}", recomputed & fits & _differ(F.col(s), F.col(EXPECTED[s]))))
         for sign in (1, -1):
-            bound = F.col("mechanism").isin([m.name for m in MECHANISMS if m.signs.get(s) == sign])
-            out.append(("state_sign_invariant", f"state_delta.{s}", _true(bound & (F.col(s) * d * sign < -TOLERANCE))))
-    out.append(("economic_impact_mismatch", "economic_impact", _true(F.abs(F.col("economic_impact") - F.expr(impact_sql())) > TOLERANCE)))
-    cost = F.col("mechanism") == "input_cost_change"
+            bound = mechanism.isin([m.name for m in MECHANISMS if m.signs.get(s) == sign])
+            out.append(("state_sign_invariant", f"state_delta.{s}", _true(bound & _finite(F.col(s)) & (F.col(s) * d * sign < -TOLERANCE))))
+    summed = F.lit(True)
+    for s in STATES:
+        summed = summed & _finite(F.col(s))
+    out.append(("impact_failure", "economic_impact", ~_true(summed)))
+    out.append(("economic_impact_mismatch", "economic_impact", _true(summed) & _differ(F.col("economic_impact"), impact())))
+    cost = mechanism == "input_cost_change"
     for code, small, large in (
         ("input_cost_margin_invariant", "margin_expectation", "operating_costs"),
         ("input_cost_supply_invariant", "supply_risk", "operating_costs"),
         ("input_cost_competition_invariant", "competitive_position", "margin_expectation"),
     ):
-        out.append((code, f"state_delta.{small}", _true(cost & (F.abs(F.col(small)) > F.abs(F.col(large)) + TOLERANCE))))
+        out.append((code, f"state_delta.{small}", _true(cost & _finite(F.col(small)) & (F.abs(F.col(small)) > F.abs(F.col(large)) + TOLERANCE))))
     return out
 
 
 def verified(records: DataFrame) -> DataFrame:
     """Records with `issues`, an array of (code, path), and `valid`."""
     found = F.array(*[F.when(broken, F.struct(F.lit(code).alias("code"), F.lit(path).alias("path"))) for code, path, broken in rules()])
-    rows = records.withColumn(EXPECTED, F.expr(effects_sql())).withColumn("issues", F.filter(found, lambda x: x.isNotNull()))
-    return rows.drop(EXPECTED).withColumn("valid", F.size("issues") == 0)
+    rows = with_effects(records, EXPECTED).withColumn("issues", F.filter(found, lambda x: x.isNotNull()))
+    return rows.drop(*EXPECTED.values()).withColumn("valid", F.size("issues") == 0)
 
 
 def require_valid(records: DataFrame) -> DataFrame:

@@ -2,8 +2,142 @@
 
 from __future__ import annotations
 
+import re
+
 from rippleframe.operators.catalog import CONCEPT_SUBJECTS, FACTORS, HORIZON_GRID, HORIZONS, MAGNITUDE_GRID, MECHANISMS, OOD_PAIRS, POOLS, RATIO_GRID, STATES
-from rippleframe.operators.labels import impact_sql, state_sql
+
+# The effects, written out for the oracles alone: dm is direction times magnitude, inv, liq and res the exposures.
+EFFECTS = {
+    "revenue_expectation": {
+        "output_price_change": "dm * output_dependency * (0.55 + 0.45 * d * pricing_power)",
+        "demand_change": "dm * demand_exposure * CASE WHEN d > 0 THEN (0.55 + 0.45 * pricing_power) * (1 - 0.6 * capacity_utilization) ELSE 1 - 0.5 * pricing_power END",
+        "supply_change": "0.35 * dm * input_dependency * res",
+        "capacity_change": "0.8 * dm * demand_exposure * (0.25 + 0.75 * capacity_utilization)",
+        "supplier_disruption": "-0.55 * dm * input_dependency * res",
+        "customer_dependency_change": "dm * customer_concentration",
+        "financing_cost_change": "-0.25 * fixed_cost_share * dm * debt_ratio * (1 - hedging) * up_liq",
+        "currency_change": "dm * (1 - hedging) * currency_revenue_exposure",
+        "subsidy_change": "0.35 * dm * subsidy_exposure * down_liq",
+        "competitive_pressure_change": "-dm * competitive_pressure * demand_exposure * (1 - 0.65 * pricing_power) * (0.6 + 0.4 * customer_concentration)",
+        "contract_change": "dm * contract_revenue_share",
+    },
+    "demand": {
+        "output_price_change": "-0.35 * dm * demand_exposure * output_dependency * (1 - pricing_power)",
+        "demand_change": "dm * demand_exposure",
+        "customer_dependency_change": "dm * demand_exposure",
+        "competitive_pressure_change": "-dm * competitive_pressure * demand_exposure * (0.7 + 0.3 * customer_concentration)",
+        "contract_change": "dm * contract_revenue_share * (0.5 + 0.5 * customer_concentration)",
+    },
+    "operating_costs": {
+        "input_cost_change": "dm * input_dependency * (1 - hedging) * (1 - substitutability) * inv",
+        "supply_change": "-0.55 * dm * input_dependency * res",
+        "capacity_change": "0.25 * dm * fixed_cost_share",
+        "supplier_disruption": "0.5 * dm * input_dependency * res",
+        "currency_change": "dm * (1 - hedging) * currency_cost_exposure",
+        "regulatory_cost_change": "dm * regulatory_exposure * up_liq",
+        "subsidy_change": "-0.65 * dm * subsidy_exposure * down_liq",
+        "labor_cost_change": "dm * labor_intensity * (0.7 + 0.3 * fixed_cost_share)",
+    },
+    "margin_expectation": {
+        "input_cost_change": "-dm * input_dependency * (1 - hedging) * (1 - substitutability) * inv * (1 - pricing_power)",
+        "output_price_change": "dm * output_dependency * (0.55 + 0.45 * d * pricing_power) - 0.07 * dm * demand_exposure * output_dependency * (1 - pricing_power)",
+        "demand_change": "dm * demand_exposure * (0.55 + 0.45 * pricing_power) * CASE WHEN d > 0 THEN (0.55 + 0.45 * pricing_power) * (1 - 0.6 * capacity_utilization) ELSE 1 - 0.5 * pricing_power END",
+        "supply_change": "0.65 * dm * input_dependency * res",
+        "capacity_change": "0.65 * dm * demand_exposure * (0.25 + 0.75 * capacity_utilization) - 0.125 * dm * fixed_cost_share",
+        "supplier_disruption": "-0.7 * dm * input_dependency * res",
+        "customer_dependency_change": "dm * customer_concentration * (0.55 + 0.45 * d * pricing_power)",
+        "financing_cost_change": "-dm * debt_ratio * (1 - hedging) * up_liq",
+        "currency_change": "dm * (1 - hedging) * (currency_revenue_exposure - currency_cost_exposure * (1 - 0.65 * d * pricing_power))",
+        "regulatory_cost_change": "-dm * regulatory_exposure * up_liq * (1 - pricing_power)",
+        "tax_change": "-dm * tax_exposure * up_liq * (1 - 0.35 * pricing_power)",
+        "subsidy_change": "dm * subsidy_exposure * down_liq",
+        "competitive_pressure_change": "-dm * competitive_pressure * demand_exposure * (1 - 0.65 * pricing_power) * (0.6 + 0.4 * customer_concentration) * (0.7 + 0.3 * (1 - pricing_power))",
+        "contract_change": "dm * contract_revenue_share * (0.5 + 0.5 * d * pricing_power)",
+        "labor_cost_change": "-dm * labor_intensity * (1 - 0.75 * pricing_power)",
+    },
+    "supply_risk": {
+        "input_cost_change": "0.1 * dm * input_dependency * (1 - hedging) * (1 - substitutability) * inv",
+        "supply_change": "-dm * input_dependency * res",
+        "capacity_change": "-0.5 * dm * demand_exposure * (0.25 + 0.75 * capacity_utilization)",
+        "supplier_disruption": "dm * input_dependency * res",
+        "labor_cost_change": "0.2 * dm * labor_intensity * fixed_cost_share",
+    },
+    "competitive_position": {
+        "input_cost_change": "-0.25 * dm * input_dependency * (1 - hedging) * (1 - substitutability) * inv * (1 - pricing_power)",
+        "output_price_change": "0.2 * dm * output_dependency * (0.55 + 0.45 * d * pricing_power) - 0.07 * dm * demand_exposure * output_dependency * (1 - pricing_power)",
+        "customer_dependency_change": "-0.25 * dm * customer_concentration * (1 - pricing_power)",
+        "financing_cost_change": "-dm * debt_ratio * (1 - hedging) * up_liq * (0.25 + 0.35 * fixed_cost_share)",
+        "currency_change": "0.25 * dm * (1 - hedging) * (currency_revenue_exposure - currency_cost_exposure * (1 - 0.65 * d * pricing_power))",
+        "regulatory_cost_change": "-0.3 * dm * regulatory_exposure * up_liq * (1 - pricing_power)",
+        "tax_change": "-0.25 * dm * tax_exposure * up_liq * (1 - pricing_power)",
+        "subsidy_change": "0.3 * dm * subsidy_exposure * down_liq * (1 - 0.5 * pricing_power)",
+        "competitive_pressure_change": "-dm * competitive_pressure * (1 - 0.4 * pricing_power)",
+        "contract_change": "0.25 * dm * contract_revenue_share * (0.5 + 0.5 * d * pricing_power)",
+        "labor_cost_change": "-0.25 * dm * labor_intensity * (1 - pricing_power)",
+    },
+}
+#: What each mechanism needs, written out for the oracles alone.
+NEEDS = {
+    "input_cost_change": "input_dependency hedging pricing_power substitutability inventory_buffer",
+    "output_price_change": "output_dependency demand_exposure pricing_power",
+    "demand_change": "demand_exposure pricing_power capacity_utilization",
+    "supply_change": "input_dependency inventory_buffer supplier_diversification substitutability",
+    "capacity_change": "capacity_utilization demand_exposure fixed_cost_share",
+    "supplier_disruption": "input_dependency inventory_buffer supplier_diversification substitutability",
+    "customer_dependency_change": "customer_concentration demand_exposure pricing_power",
+    "financing_cost_change": "debt_ratio cash_buffer hedging fixed_cost_share",
+    "currency_change": "currency_revenue_exposure currency_cost_exposure hedging pricing_power",
+    "regulatory_cost_change": "regulatory_exposure pricing_power cash_buffer",
+    "tax_change": "tax_exposure pricing_power cash_buffer",
+    "subsidy_change": "subsidy_exposure cash_buffer pricing_power",
+    "competitive_pressure_change": "competitive_pressure demand_exposure pricing_power customer_concentration",
+    "contract_change": "contract_revenue_share customer_concentration pricing_power",
+    "labor_cost_change": "labor_intensity pricing_power fixed_cost_share",
+}
+#: Signs of effects relative to the direction, by state: those that rise with it, and those that fall.
+RISE = {
+    "revenue_expectation": "output_price_change demand_change supply_change capacity_change customer_dependency_change subsidy_change contract_change",
+    "demand": "demand_change customer_dependency_change contract_change",
+    "operating_costs": "input_cost_change capacity_change supplier_disruption regulatory_cost_change labor_cost_change",
+    "margin_expectation": "demand_change supply_change customer_dependency_change subsidy_change contract_change",
+    "supply_risk": "input_cost_change supplier_disruption labor_cost_change",
+    "competitive_position": "subsidy_change contract_change",
+}
+FALL = {
+    "revenue_expectation": "supplier_disruption financing_cost_change competitive_pressure_change",
+    "demand": "output_price_change competitive_pressure_change",
+    "operating_costs": "supply_change subsidy_change",
+    "margin_expectation": "input_cost_change supplier_disruption financing_cost_change regulatory_cost_change tax_change competitive_pressure_change labor_cost_change",
+    "supply_risk": "supply_change capacity_change",
+    "competitive_position": "input_cost_change customer_dependency_change financing_cost_change regulatory_cost_change tax_change competitive_pressure_change labor_cost_change",
+}
+IMPACT = "(0.75 * revenue_expectation + 0.5 * demand - 0.75 * operating_costs + margin_expectation - 0.5 * supply_risk + 0.25 * competitive_position)"
+
+
+def doubled(text: str) -> str:
+    """Decimal numbers as doubles."""
+    return re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", text)
+
+
+def names(text: str) -> str:
+    return ", ".join(f"'{x}'" for x in text.split())
+
+
+def bound(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} > 1 THEN 1.0e0 WHEN {x} < -1 THEN -1.0e0 ELSE {x} + 0.0e0 END"
+
+
+def expected(source: str, prefix: str) -> str:
+    """Adds the effects, named with the prefix, to a source of records; null where a needed factor is."""
+    complete = "CASE mechanism " + " ".join(f"WHEN '{m}' THEN {' AND '.join(f'{f} IS NOT NULL' for f in need.split())}" for m, need in NEEDS.items()) + " ELSE FALSE END"
+    made = ", ".join(doubled(f"CASE WHEN {complete} THEN CASE mechanism " + " ".join(f"WHEN '{m}' THEN {x}" for m, x in own.items()) + f" ELSE 0.0 END END AS raw_{s}") for s, own in EFFECTS.items())
+    exposed = doubled(
+        """CASE direction WHEN 'increase' THEN 1.0 WHEN 'decrease' THEN -1.0 END AS d, d * magnitude AS dm, 1.0 - inventory_buffer * exp(-horizon_days / 90.0) AS inv,
+1.0 - 0.65 * cash_buffer * exp(-horizon_days / 180.0) AS liq, inv * (1 - supplier_diversification) * (1 - substitutability) AS res, CASE WHEN dm > 0 THEN liq ELSE 1.0 END AS up_liq,
+CASE WHEN dm < 0 THEN liq ELSE 1.0 END AS down_liq"""
+    )
+    scratch = "d, dm, inv, liq, res, up_liq, down_liq, " + ", ".join(f"raw_{s}" for s in STATES)
+    return f"SELECT * EXCLUDE ({scratch}), {', '.join(f'{bound(f"raw_{s}")} AS {prefix}{s}' for s in STATES)} FROM (SELECT *, {made} FROM (SELECT *, {exposed} FROM {source}))"
 
 
 def unit_hash(payload: str) -> str:
@@ -47,8 +181,7 @@ rec AS ({labelled("drawn")})"""
 
 
 def labelled(source: str) -> str:
-    inner = f"SELECT *, {', '.join(f'{state_sql(s)} AS {s}' for s in STATES)} FROM {source}"
-    return f"SELECT *, {impact_sql()} AS economic_impact FROM ({inner})"
+    return f"SELECT *, {bound(doubled(IMPACT))} AS economic_impact FROM ({expected(source, '')})"
 
 
 def variants() -> str:
