@@ -9,6 +9,7 @@ from rippleframe.functions import exprs as X
 from rippleframe.operators import metrics, point_in_time, serialize, splits, tokens, verify
 from rippleframe.operators.catalog import FACTORS, MECHANISMS, STATES, catalogue
 from rippleframe.operators.expand import counterfactuals, with_families
+from rippleframe.operators.labels import labelled
 from rippleframe.operators.records import base_records
 from rippleframe.plans import oracle_parts as O
 
@@ -109,7 +110,8 @@ def entity_ood_rank(spark, sf_dir):
 
 @query(O.with_parts("SELECT family_key, entity_id, n_records, split FROM fam", O.base(), O.variants(), O.families()))
 def split_assignment(spark, sf_dir):
-    return splits.assigned(with_families(base_records(spark, sf_dir)))
+    base = base_records(spark, sf_dir)
+    return splits.assigned(base, rows=splits.families_of_bases(base))
 
 
 @query(O.with_parts(
@@ -119,71 +121,115 @@ def split_assignment(spark, sf_dir):
 def split_counts_rollup(spark, sf_dir):
     """Flagship: events to labelled records, counterfactual families, leakage-free splits; sizes and mean impact.
 
-    Sums are taken per family before the rollup, so that the expanded records are shuffled as one row a family.
+    Flags and sums are taken per family in one aggregation, so the expanded records are made once and shuffled as one
+    row a family.
     """
     records = with_families(base_records(spark, sf_dir))
-    sums = records.groupBy(splits.family_key().alias("family_key")).agg(F.sum(F.abs(F.col("economic_impact"))).alias("total"))
-    rows = splits.assigned(records).join(sums, "family_key").rollup("split")
+    rows = splits.families(records, splits.Policy(), F.sum(F.abs(F.col("economic_impact"))).alias("total"))
+    rows = splits.assigned(records, rows=rows).rollup("split")
     out = rows.agg(F.count(F.lit(1)).alias("n_families"), F.sum("n_records").alias("n_records"), F.round(F.sum("total") / F.sum("n_records"), 9).alias("mean_impact"))
     return out.withColumn("split", F.coalesce("split", F.lit("total")))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS key, CAST(NULL AS BIGINT) AS n_splits WHERE FALSE")
+_SPLIT = "SELECT all_rec.*, coalesce(base_record_id, id) AS k, split FROM all_rec JOIN fam ON family_key = coalesce(base_record_id, id)"
+
+
+@query(O.with_parts(O.violations(), O.base(), O.variants(), O.families(), f"t AS ({_SPLIT})"))
 def split_integrity_violations(spark, sf_dir):
+    """What breaks the rules in a dataset as it is split: nothing."""
     return splits.violations(splits.split_records(with_families(base_records(spark, sf_dir))))
 
 
+_DRAW = O.unit_hash("'7:tamper:' || id")
+
+
 @query(O.with_parts(
-    """SELECT kind, key, n_splits FROM (
-  SELECT 'family_leak' AS kind, k AS key, count(DISTINCT split) AS n_splits FROM t GROUP BY k HAVING count(DISTINCT split) > 1
-  UNION ALL SELECT 'entity_leak', entity_id, count(DISTINCT split) FROM t GROUP BY entity_id HAVING count(DISTINCT split) > 1 AND bool_or(split = 'test_entity_ood'))""",
-    O.base(), O.variants(), O.families(),
-    f"t AS (SELECT all_rec.*, coalesce(base_record_id, id) AS k, CASE WHEN {O.unit_hash("'7:tamper:' || id")} < 0.001e0 AND split IN ('train', 'test_entity_ood') THEN 'validation' ELSE split END AS split FROM all_rec JOIN fam ON family_key = coalesce(base_record_id, id))",
+    O.violations(), O.base(), O.variants(), O.families(), f"s AS ({_SPLIT})",
+    f"""t AS (SELECT * REPLACE (CASE WHEN {_DRAW} < 0.001e0 THEN 'validation' WHEN {_DRAW} < 0.0015e0 THEN 'train' WHEN {_DRAW} < 0.0016e0 THEN 'nowhere' ELSE split END AS split) FROM s
+UNION ALL SELECT * FROM s WHERE {_DRAW} >= 0.002e0 AND {_DRAW} < 0.0025e0)""",
 ))
 def split_tamper_violations(spark, sf_dir):
-    """The same checks over a dataset of which a few records have been moved to another split."""
+    """The same over a dataset of which a few records have moved to other splits, or are there twice."""
     rows = splits.split_records(with_families(base_records(spark, sf_dir)))
-    moved = (X.unit_hash(7, F.concat(F.lit("tamper:"), F.col("id"))) < 0.001) & F.col("split").isin("train", "test_entity_ood")
-    return splits.violations(rows.withColumn("split", F.when(moved, "validation").otherwise(F.col("split")))).where(F.col("kind").isin("family_leak", "entity_leak"))
+    draw = X.unit_hash(7, F.concat(F.lit("tamper:"), F.col("id")))
+    moved = rows.withColumn("split", F.when(draw < 0.001, "validation").when(draw < 0.0015, "train").when(draw < 0.0016, "nowhere").otherwise(F.col("split")))
+    return splits.violations(moved.unionByName(rows.where((draw >= 0.002) & (draw < 0.0025))))
 
 
-_TAMPER = "CAST(substr(id, 6, 6) AS BIGINT)"
+_TURN = "CAST(substr(id, 6) AS BIGINT) % 12"
 
 
 @query(O.with_parts(
-    """SELECT id, 'state_delta_mismatch' AS code, 'state_delta.operating_costs' AS path FROM rec WHERE CAST(substr(id, 6, 6) AS BIGINT) % 5 = 0 AND abs(operating_costs) > 1e-12
-UNION ALL SELECT id, 'economic_impact_mismatch', 'economic_impact' FROM rec WHERE CAST(substr(id, 6, 6) AS BIGINT) % 5 = 1
-UNION ALL SELECT id, 'invalid_horizon', 'horizon_days' FROM rec WHERE CAST(substr(id, 6, 6) AS BIGINT) % 5 = 2
-UNION ALL SELECT id, 'number_out_of_bounds', 'confidence' FROM rec WHERE CAST(substr(id, 6, 6) AS BIGINT) % 5 = 3""", O.base(),
+    O.issues(), O.base(),
+    f"""tam AS (SELECT * REPLACE (
+  CASE WHEN {_TURN} = 0 THEN -operating_costs ELSE operating_costs END AS operating_costs,
+  CASE WHEN {_TURN} = 1 THEN CASE WHEN economic_impact > 0 THEN economic_impact - 0.5e0 ELSE economic_impact + 0.5e0 END ELSE economic_impact END AS economic_impact,
+  CASE WHEN {_TURN} = 2 THEN 0 ELSE horizon_days END AS horizon_days,
+  CASE WHEN {_TURN} = 3 THEN 1.5e0 ELSE confidence END AS confidence,
+  CASE WHEN {_TURN} = 4 THEN NULL ELSE pricing_power END AS pricing_power,
+  CASE WHEN {_TURN} = 5 THEN 0.5e0 ELSE demand END AS demand,
+  CASE WHEN {_TURN} = 6 THEN 1.25e0 ELSE magnitude END AS magnitude,
+  CASE WHEN {_TURN} = 7 THEN 'unheard_of' ELSE mechanism END AS mechanism,
+  CASE WHEN {_TURN} = 8 THEN 0.9e0 ELSE supply_risk END AS supply_risk,
+  CASE WHEN {_TURN} = 8 THEN -0.95e0 WHEN {_TURN} = 9 THEN CAST('NaN' AS DOUBLE) ELSE competitive_position END AS competitive_position,
+  CASE WHEN {_TURN} = 10 THEN 'Teacher' ELSE source END AS source,
+  CASE WHEN {_TURN} = 10 THEN margin_expectation * 2 ELSE margin_expectation END AS margin_expectation,
+  CASE WHEN {_TURN} = 11 THEN 'nothing' ELSE subject_class END AS subject_class) FROM rec)""",
 ))
 def verify_issues(spark, sf_dir):
-    """Issues of a tampered copy of the base records: costs turned, impact moved, no horizon, confidence above 1."""
-    turn = F.pmod(F.substring("id", 6, 6).cast("long"), F.lit(5))
-    rows = base_records(spark, sf_dir).withColumns(
-        {
-            "operating_costs": F.when(turn == 0, -F.col("operating_costs")).otherwise(F.col("operating_costs")),
-            "economic_impact": F.when(turn == 1, F.when(F.col("economic_impact") > 0, F.col("economic_impact") - 0.5).otherwise(F.col("economic_impact") + 0.5)).otherwise(F.col("economic_impact")),
-            "horizon_days": F.when(turn == 2, 0).otherwise(F.col("horizon_days")),
-            "confidence": F.when(turn == 3, 1.5).otherwise(F.col("confidence")),
-            "turn": turn,
-        }
-    )
-    found = verify.verified(rows).select("id", "turn", F.explode_outer("issues").alias("i")).where("i is not null").select("id", "turn", "i.code", "i.path")
-    expected = F.when(F.col("turn") == 0, F.col("code") == "state_delta_mismatch").when(F.col("turn") == 1, F.col("code") == "economic_impact_mismatch").when(F.col("turn") == 2, F.col("code") == "invalid_horizon").otherwise(True)
-    return found.where(expected).select("id", "code", "path")
+    """All issues of a copy of the base records in which every twelfth record is broken in one of eleven ways, or relabelled by a teacher."""
+    turn = F.pmod(F.substring("id", 6, 20).cast("long"), F.lit(12))
+
+    def at(k: int, name: str, value) -> dict:
+        return {name: F.when(turn == k, value).otherwise(F.col(name))}
 
+    impact = F.col("economic_impact")
+    changes = at(0, "operating_costs", -F.col("operating_costs")) | at(1, "economic_impact", F.when(impact > 0, impact - 0.5).otherwise(impact + 0.5)) | at(2, "horizon_days", 0)
+    changes |= at(3, "confidence", 1.5) | at(4, "pricing_power", F.lit(None).cast("double")) | at(5, "demand", 0.5) | at(6, "magnitude", 1.25) | at(7, "mechanism", "unheard_of")
+    changes |= at(8, "supply_risk", 0.9) | at(10, "source", "Teacher") | at(10, "margin_expectation", F.col("margin_expectation") * 2) | at(11, "subject_class", "nothing")
+    changes["competitive_position"] = F.when(turn == 8, -0.95).when(turn == 9, float("nan")).otherwise(F.col("competitive_position"))
+    rows = base_records(spark, sf_dir).withColumns(changes)
+    # explode_outer keeps the filter above the generator, so that no rule is copied into the scan's filter.
+    return verify.verified(rows).select("id", F.explode_outer("issues").alias("i")).where("i is not null").select("id", "i.code", "i.path")
 
-@query(O.with_parts("SELECT id, 0 AS n_issues FROM rec WHERE FALSE", O.base()))
+
+@query(O.with_parts(f"SELECT id, count(*) AS n_issues FROM ({O.issues()}) GROUP BY id", O.base(), O.variants(), "tam AS (SELECT * FROM rec UNION ALL BY NAME SELECT * FROM var)"))
 def verify_sound_records(spark, sf_dir):
     """Records and variants that break a rule: none."""
     rows = verify.verified(with_families(base_records(spark, sf_dir)))
     # A generated column keeps the filter above it, so that the long list of rules is not copied into the scan's filter.
-    return rows.select("id", F.explode_outer(F.array(F.size("issues"))).alias("n_issues")).where("n_issues > 0")
+    return rows.select("id", F.explode_outer(F.array(F.size("issues").cast("long"))).alias("n_issues")).where("n_issues > 0")
+
+
+@query(O.with_parts(
+    f"""SELECT event_id % 15 AS ordinal, mechanism, count(*) AS n, count(economic_impact) AS n_labelled, round(sum(economic_impact), 6) + 0.0 AS total FROM (SELECT CAST(substr(id, 6) AS BIGINT) - 1 AS event_id, *
+FROM ({O.labelled("gap")})) GROUP BY ALL""",
+    O.base(), "gap AS (SELECT * REPLACE (CASE WHEN CAST(substr(id, 6) AS BIGINT) % 4 = 0 THEN NULL ELSE pricing_power END AS pricing_power, CASE WHEN CAST(substr(id, 6) AS BIGINT) % 7 = 0 THEN NULL ELSE cash_buffer END AS cash_buffer) FROM drawn)",
+))
+def labels_unknown_factor(spark, sf_dir):
+    """Labels where some factors are unknown: a needed one leaves the record without a label, any other changes nothing."""
+    number = F.substring("id", 6, 20).cast("long")
+    rows = base_records(spark, sf_dir).drop(*STATES, "economic_impact")
+    rows = rows.withColumn("pricing_power", F.when(number % 4 != 0, F.col("pricing_power"))).withColumn("cash_buffer", F.when(number % 7 != 0, F.col("cash_buffer")))
+    rows = labelled(rows).groupBy(((number - 1) % 15).alias("ordinal"), "mechanism")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count("economic_impact").alias("n_labelled"), (F.round(F.sum("economic_impact"), 6) + F.lit(0.0)).alias("total"))
+
+
+@query(O.with_parts(
+    """SELECT mechanism, count(*) AS n_steps, count(*) FILTER (abs(economic_impact) > abs(before) + 1e-9) AS n_rising FROM (
+SELECT *, lag(economic_impact) OVER (PARTITION BY group_id ORDER BY variant_index) AS before FROM var WHERE varied_field = 'magnitude') WHERE before IS NOT NULL GROUP BY mechanism""",
+    O.base(), O.variants(),
+))
+def monotonic_steps(spark, sf_dir):
+    """Steps from one magnitude to the next in a family, and how many of them raise the impact."""
+    rows = counterfactuals(base_records(spark, sf_dir), ["magnitude"])
+    rows = rows.withColumn("before", F.lag("economic_impact").over(Window.partitionBy("group_id").orderBy("variant_index"))).where("before is not null")
+    return rows.groupBy("mechanism").agg(F.count(F.lit(1)).alias("n_steps"), F.count_if(F.expr("abs(economic_impact) > abs(before) + 1e-9")).alias("n_rising"))
 
 
 def _scored(spark, sf_dir) -> DataFrame:
     base = base_records(spark, sf_dir)
-    decided = splits.assigned(with_families(base)).select(F.col("family_key").alias("id"), "split")
+    decided = splits.assigned(base, rows=splits.families_of_bases(base)).select(F.col("family_key").alias("id"), "split")
     return metrics.with_prediction(base.withColumn("base_record_id", F.lit(None).cast("string"))).join(decided, "id")
 
 
@@ -391,12 +437,11 @@ def run_contract_diff(spark, sf_dir):
     return a.join(b, "key", "full").where(~F.col("before").eqNullSafe(F.col("after"))).select("key", "before", "after")
 
 
-@query("SELECT unnest([]::VARCHAR[]) AS name, '' AS side WHERE FALSE")
+@query("SELECT row_number() OVER () - 1 AS ordinal, mechanism, len(string_split(needs, ' ')) AS n_factors, list_sort(string_split(needs, ' ')) AS factors, affected FROM (VALUES " + ", ".join(
+    f"('{m}', '{need}', {O.texts(sorted(s for s, own in O.EFFECTS.items() if m in own))})" for m, need in O.NEEDS.items()) + ") v(mechanism, needs, affected)")
 def registry_equality(spark, sf_dir):
-    """Names that only the catalogue or only the formulas have: none."""
-    a = catalogue(spark).select(F.col("mechanism").alias("name"))
-    b = spark.createDataFrame([(m.name,) for m in MECHANISMS], "name string")
-    return a.exceptAll(b).withColumn("side", F.lit("catalogue")).unionByName(b.exceptAll(a).withColumn("side", F.lit("formulas")))
+    """The catalogue as a table, held against what the oracles have written out."""
+    return catalogue(spark).select(F.col("ordinal").cast("long").alias("ordinal"), "mechanism", F.size("factors").cast("long").alias("n_factors"), F.array_sort("factors").alias("factors"), F.array_sort("affected").alias("affected"))
 
 
 @query(O.with_parts("SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'error') AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)", O.catalogue()))

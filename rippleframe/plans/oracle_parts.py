@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from rippleframe.operators.catalog import CONCEPT_SUBJECTS, FACTORS, HORIZON_GRID, HORIZONS, MAGNITUDE_GRID, MECHANISMS, OOD_PAIRS, POOLS, RATIO_GRID, STATES
+from rippleframe.operators.catalog import CONCEPT_SUBJECTS, FACTORS, HORIZON_GRID, HORIZONS, MAGNITUDE_GRID, MECHANISMS, OOD_PAIRS, POOLS, RATIO_GRID, SPLITS, STATES
 
 # The effects, written out for the oracles alone: dm is direction times magnitude, inv, liq and res the exposures.
 EFFECTS = {
@@ -234,6 +234,51 @@ fam AS (
 )"""
 
 
+def issues() -> str:
+    """All (id, code, path) of the records in CTE tam, which has effects by formula as x_<state>."""
+    needs = {m: need.split() for m, need in NEEDS.items()}
+    fits = "coalesce(direction IN ('increase', 'decrease') AND CASE mechanism " + " ".join(
+        f"WHEN '{m.name}' THEN subject_class IN ({names(' '.join(m.classes))}) AND {' AND '.join(f'{f} IS NOT NULL AND {f} BETWEEN 0 AND 1' for f in needs[m.name])}" for m in MECHANISMS
+    ) + " ELSE FALSE END, FALSE)"
+    known = f"mechanism IN ({names(' '.join(needs))})"
+    recomputed = f"{known} AND horizon_days >= 1 AND lower(source) NOT IN ('teacher', 'curated', 'real')"
+    paths = {"magnitude": "event.magnitude", "economic_impact": "economic_impact", "confidence": "confidence"} | {f: f"context.{f}" for f in FACTORS} | {s: f"state_delta.{s}" for s in STATES}
+    found = [("invalid_horizon", "horizon_days", "horizon_days < 1"), ("mechanism_contract", "event.mechanism", f"NOT {fits}"), ("state_labeling_failure", "state_delta", f"{recomputed} AND NOT {fits}")]
+    for x, path in paths.items():
+        low = -1 if x in STATES or x == "economic_impact" else 0
+        found.append(("number_out_of_bounds", path, f"{x} IS NOT NULL AND NOT isnan({x}) AND ({x} < {low} OR {x} > 1)"))
+        found.append(("non_finite_number", path, f"isnan({x})" if x in FACTORS else f"({x} IS NULL OR isnan({x}))"))
+    for x in STATES:
+        affects = f"mechanism IN ({names(' '.join(EFFECTS[x]))})"
+        found.append(("undeclared_state_effect", f"state_delta.{x}", f"{known} AND NOT {affects} AND NOT isnan({x}) AND abs({x}) > 1e-12"))
+        found.append(("state_delta_mismatch", f"state_delta.{x}", f"{recomputed} AND {fits} AND ({x} IS NULL OR isnan({x}) OR abs({x} - x_{x}) > 1e-12)"))
+        for sign, rule in (("", RISE), ("-", FALL)):
+            way = f"{sign}{x} * CASE direction WHEN 'increase' THEN 1 ELSE -1 END"
+            found.append(("state_sign_invariant", f"state_delta.{x}", f"mechanism IN ({names(rule[x])}) AND NOT isnan({x}) AND {way} < -1e-12"))
+    unsound = " OR ".join(f"{x} IS NULL OR isnan({x})" for x in STATES)
+    found.append(("impact_failure", "economic_impact", f"({unsound})"))
+    found.append(("economic_impact_mismatch", "economic_impact", f"NOT ({unsound}) AND (economic_impact IS NULL OR isnan(economic_impact) OR abs(economic_impact - ({bound(doubled(IMPACT))})) > 1e-12)"))
+    for code, x, than in (("margin", "margin_expectation", "operating_costs"), ("supply", "supply_risk", "operating_costs"), ("competition", "competitive_position", "margin_expectation")):
+        found.append((f"input_cost_{code}_invariant", f"state_delta.{x}", f"mechanism = 'input_cost_change' AND NOT isnan({x}) AND abs({x}) > abs({than}) + 1e-12"))
+    # NaN is the largest number in both engines, so a NaN state that is compared with is no smaller than any other.
+    rows = ", ".join(f"CASE WHEN {broken} THEN {{'code': '{code}', 'path': '{path}'}} END" for code, path, broken in found)
+    return f"SELECT id, i.code AS code, i.path AS path FROM (SELECT id, unnest([{rows}]) AS i FROM ({expected('tam', 'x_')})) WHERE i IS NOT NULL"
+
+
+def violations() -> str:
+    """All (kind, key, n_splits) of the records in CTE t, which have a split and the family's key k."""
+    early = "'test_entity_ood', 'test_concept_ood'"
+    leak = "SELECT '{}', k, count(DISTINCT split) FROM t WHERE {} AND split NOT IN ({}) GROUP BY k"
+    return f"""SELECT kind, key, n_splits FROM (
+SELECT 'unknown_split' AS kind, split AS key, count(DISTINCT split) AS n_splits FROM t WHERE split NOT IN ({names(' '.join(SPLITS))}) GROUP BY split
+UNION ALL SELECT 'duplicate_id', id, count(DISTINCT split) FROM t GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'family_leak', k, count(DISTINCT split) FROM t GROUP BY k HAVING count(DISTINCT split) > 1
+UNION ALL SELECT 'entity_leak', entity_id, count(DISTINCT split) FROM t GROUP BY entity_id HAVING count(DISTINCT split) > 1 AND bool_or(split = 'test_entity_ood')
+UNION ALL {leak.format('concept_leak', CONCEPT, early)}
+UNION ALL {leak.format('combination_leak', combination(), early + ", 'test_combination_ood', 'test_hard_ood'")}
+UNION ALL {leak.format('parameter_leak', 'magnitude >= 0.98', early + ", 'test_parameter_ood', 'test_hard_ood'")})"""
+
+
 def scored() -> str:
     """CTE sco: base records with target, prediction and split (of families with all variants)."""
     noise = f"({unit_hash("'42:pred:' || id")} - 0.5e0) * 0.4e0"
