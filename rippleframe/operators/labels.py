@@ -33,8 +33,8 @@ def _by_mechanism(made: dict[str, str], other: str) -> Column:
 
 def bounded(x: Column) -> Column:
     """In [-1, 1]. Unknown and non-finite values are null, not a bound."""
-    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-    return F.when(finite, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)) + F.lit(0.0))
+    # x - x is 0, null for an unknown x, and NaN for one without end.
+    return F.nanvl(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)) + (x - x), F.lit(None).cast("double"))
 
 
 def impact(states: dict[str, Column] | None = None) -> Column:
@@ -56,10 +56,11 @@ def with_effects(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     known = F.lit(False)
     for m in MECHANISMS:
         known = F.when(F.col("mechanism") == m.name, F.expr(" AND ".join(f"{f} IS NOT NULL" for f in m.factors))).otherwise(known)
-    raw = {f"_raw_{s}": _by_mechanism({m.name: _filled(m.effects[s], m) for m in MECHANISMS if s in m.effects}, "0.0e0") for s in STATES}
-    rows = rows.withColumns({**raw, "_known": known & F.col("_sign").isNotNull()})
-    rows = rows.withColumns({names[s]: F.when(F.col("_known"), bounded(F.col(f"_raw_{s}"))) for s in STATES})
-    return rows.drop(*EXPOSURES, *TERMS, *raw, "_known")
+    raw = [_by_mechanism({m.name: _filled(m.effects[s], m) for m in MECHANISMS if s in m.effects}, "0.0e0").alias(s) for s in STATES]
+    # The effects come out of a generator: a filter on a label stays above it and does not copy all formulas.
+    effects = F.array(F.when(known & F.col("_sign").isNotNull(), F.struct(*raw)))
+    rows = rows.withColumn("_raw", F.explode_outer(effects)).withColumns({names[s]: bounded(F.col("_raw")[s]) for s in STATES})
+    return rows.drop(*EXPOSURES, *TERMS, "_raw")
 
 
 def labelled(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -10,16 +13,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Special tokens in the order of their ids.
-SPECIALS = "[pad] [unk] [cls] [sep] [mask] [event] [case] [horizon] [context] [historical_event] [case_entity] [no_summary]".split()
+SPECIALS = [
+    "[pad]",
+    "[cls]",
+    "[sep]",
+    "[unk]",
+    "[mask]",
+    "[event]",
+    "[case]",
+    "[context]",
+    "[horizon]",
+    "[historical_event]",
+    "[case_entity]",
+    "[no_summary]",
+]
+# Fixed value: a pre-token is a bracketed capital word, a number, a word, or one character of another kind.
+PATTERN = r"\[[A-Z_]+\]|[-+]?\p{Nd}+(?:[.,]\p{Nd}+)?|[\p{L}\p{N}]+|[^\p{IsWhite_Space}\x1c-\x1f\p{L}\p{N}_]"
+UNKNOWN = SPECIALS.index("[unk]")
 END = "</w>"
+#: Letters whose folded form is not their lower case, by Unicode's rule.
+_FOLDED = {chr(c): chr(c).casefold() for c in range(0x80, 0x20000) if chr(c).casefold() != chr(c).lower()}
 
 
-def words(x: Column, pattern: str = r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]") -> Column:
-    return F.regexp_extract_all(F.lower(x), F.lit(f"({pattern})"), F.lit(1))
+def casefold(x: Column) -> Column:
+    """Unicode case folding: lower case but for a few letters."""
+    rare = "[" + "".join(_FOLDED) + "]"
+    folded = F.create_map(*[F.lit(t) for pair in _FOLDED.items() for t in pair])
+    slow = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(folded[c], F.lower(c))), "")
+    return F.translate(F.when(x.rlike(rare), slow).otherwise(F.lower(x)), "ς", "σ")  # a last sigma is lower-cased by its place
+
+
+def words(x: Column) -> Column:
+    """Pre-tokens in order, folded. Special tokens are there in brackets."""
+    found = F.regexp_extract_all(x, F.lit(f"({PATTERN})"), F.lit(1))
+    return F.transform(found, casefold)
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.select(F.explode(words(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """word, n: folded pre-tokens without the special ones."""
+    raw = F.regexp_extract_all(F.col(text), F.lit(f"({PATTERN})"), F.lit(1))
+    counted = docs.select(F.explode(raw).alias("raw")).groupBy("raw").agg(F.count(F.lit(1)).alias("n"))  # folds each distinct one once
+    counted = counted.select(casefold(F.col("raw")).alias("word"), "n").where(~F.col("word").isin(SPECIALS))
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def characters(counts: DataFrame) -> DataFrame:
@@ -113,10 +148,36 @@ class Bpe:
             if rank == 1 << 60:
                 break
             form[at : at + 2] = [form[at] + form[at + 1]]
-        return [self.vocab.get(s, SPECIALS.index("[unk]")) for s in form]
+        return [self.vocab.get(s, UNKNOWN) for s in form]
 
     def decode(self, ids: list[int]) -> str:
-        return "".join(self.names.get(i, "[unk]").replace(END, " ") for i in ids).strip()
+        """Special tokens stand apart, and the end of a word is a blank."""
+        out = ""
+        for i in ids:
+            token = self.names.get(i, "[unk]")
+            out += token if token in SPECIALS else token.removesuffix(END) + " " * token.endswith(END)
+        return out.strip()
+
+    @property
+    def fingerprint(self) -> str:
+        """SHA-256 of the vocabulary and merges as canonical JSON."""
+        text = json.dumps({"merges": [list(m) for m in self.merges], "vocab": self.vocab}, ensure_ascii=False, allow_nan=False, sort_keys=True, separators=(",", ":"))
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    def check_specials(self, with_no_summary: bool = True) -> None:
+        """An error unless the special tokens have their ids; a vocabulary may be older than the last one."""
+        wrong = {t: self.vocab.get(t) for k, t in enumerate(SPECIALS if with_no_summary else SPECIALS[:-1]) if self.vocab.get(t) != k}
+        if wrong:
+            raise ValueError(f"special tokens with other ids: {wrong}")
+
+    def save(self, path: str) -> None:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(json.dumps({"vocab": self.vocab, "merges": [list(m) for m in self.merges]}, ensure_ascii=False, sort_keys=True), encoding="utf-8")
+
+    @classmethod
+    def load(cls, path: str) -> "Bpe":
+        found = json.loads(Path(path).read_text(encoding="utf-8"))
+        return cls({t: int(i) for t, i in found["vocab"].items()}, [tuple(m) for m in found["merges"]])
 
 
 def train(docs: DataFrame, size: int, text: str = "text") -> Bpe:

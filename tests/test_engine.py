@@ -10,7 +10,7 @@ from rippleframe.functions import exprs
 from rippleframe.operators import metrics, serialize, splits, tokens, verify
 from rippleframe.operators.catalog import BY_NAME, FACTORS, MECHANISMS, STATES
 from rippleframe.operators.expand import counterfactuals, with_families
-from rippleframe.operators.labels import labelled
+from rippleframe.operators.labels import labelled, require_labels
 from rippleframe.operators.records import base_records
 from rippleframe.plans.catalog_of_queries import ORACLES, QUERIES
 
@@ -21,7 +21,7 @@ CHEAP = ["unit_hash_sample", "event_records", "state_delta_tax_change", "state_d
 
 
 def record(spark, mechanism, **values):
-    row = {"id": "case_000001", "mechanism": mechanism, "direction": "increase", "magnitude": 0.4, "horizon_days": 30, "confidence": 0.9, "source": "synthetic", "entity_id": "e", "subject": "steel", "subject_class": "materials"}
+    row = {"id": "case_000001", "mechanism": mechanism, "direction": "increase", "magnitude": 0.4, "horizon_days": 30, "confidence": 0.9, "source": "synthetic", "entity_id": "e", "subject": "steel", "subject_class": BY_NAME[mechanism].classes[0]}
     row |= dict.fromkeys(FACTORS) | {f: 0.5 for f in BY_NAME[mechanism].factors} | values
     kind = lambda k: "int" if k == "horizon_days" else "double" if k in FACTORS or k in ("magnitude", "confidence") else "string"
     return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {kind(k)}" for k in row))
@@ -69,7 +69,32 @@ def test_family_sizes(spark):
 
 
 def test_unknown_factor_is_not_zero(spark):
-    assert labelled(record(spark, "tax_change", tax_exposure=None)).first().margin_expectation is None
+    row = labelled(record(spark, "tax_change", tax_exposure=None)).first()
+    assert row.margin_expectation is None and row.economic_impact is None
+    assert labelled(record(spark, "tax_change", tax_exposure=0.0)).first().economic_impact == 0.0
+    assert labelled(record(spark, "tax_change", tax_exposure=float("nan"))).first().margin_expectation is None
+    assert labelled(record(spark, "tax_change", direction="sideways")).first().economic_impact is None
+    with pytest.raises(Exception, match="no finite label"):
+        require_labels(record(spark, "tax_change", tax_exposure=None)).collect()
+    assert require_labels(record(spark, "tax_change")).where("economic_impact < 0").count() == 1
+
+
+def test_codes_of_what_cannot_be_labelled(spark):
+    def codes(rows):
+        return {i.code for i in verify.verified(rows).first().issues}
+
+    assert codes(labelled(record(spark, "tax_change", tax_exposure=None))) == {"mechanism_contract", "state_labeling_failure", "impact_failure", "non_finite_number"}
+    unheard = record(spark, "tax_change").withColumn("mechanism", F.lit("unheard")).withColumns({s: F.lit(0.0) for s in [*STATES, "economic_impact"]})
+    assert codes(unheard) == {"mechanism_contract"}
+    assert verify.registry_issues() == []
+    assert {c for c, _ in verify.registry_issues(MECHANISMS[1:])} == {"registry_schema_mismatch"}
+
+
+def test_flags_of_families_in_closed_form(spark, sf_dir):
+    base = base_records(spark, sf_dir).limit(300)
+    columns = ["family_key", "entity_id", "concept", "parameter", "combination", "n_records"]
+    whole = splits.families(with_families(base)).select(columns).collect()
+    assert sorted(whole) == sorted(splits.families_of_bases(base).select(columns).collect()) and any(r.combination for r in whole)
 
 
 def test_policy_and_sound_splits(spark, sf_dir):
@@ -98,11 +123,40 @@ def test_masking_and_modes(spark):
         serialize.summary_mode("half")
 
 
-def test_bpe_round_trip():
+def test_special_tokens_have_their_ids():
     bpe = tokens.Bpe.train([("oil", 3), ("prices", 2), ("oily", 1), ("aaa", 2)], 200)
-    assert [bpe.vocab[t] for t in tokens.SPECIALS] == list(range(12))
+    contract = "[pad]=0 [cls]=1 [sep]=2 [unk]=3 [mask]=4 [event]=5 [case]=6 [context]=7 [horizon]=8 [historical_event]=9 [case_entity]=10 [no_summary]=11"
+    assert {t: bpe.vocab[t] for t in tokens.SPECIALS} == {x.split("=")[0]: int(x.split("=")[1]) for x in contract.split()}
     for w in ("oil", "prices", "aaa"):
         assert bpe.decode(bpe.word(w)) == w
+    assert bpe.word("z") == [3, bpe.vocab["</w>"]]
+    bpe.check_specials()
+    with pytest.raises(ValueError, match="special"):
+        tokens.Bpe(bpe.vocab | {"[cls]": 99}, bpe.merges).check_specials()
+
+
+def test_pre_tokens(spark):
+    cases = {
+        "[CLS]\n[EVENT] Oil +3.5% or -2,75; x_y": ["[cls]", "[event]", "oil", "+3.5", "%", "or", "-2,75", ";", "x", "y"],
+        "[cls] [No]": ["[", "cls", "]", "[", "no", "]"],
+        "Straße ΣΊΣΥΦΟΣ Émile 東京 1.2.3": ["strasse", "σίσυφοσ", "émile", "東京", "1.2", ".", "3"],
+        "": [],
+    }
+    rows = spark.createDataFrame([(x,) for x in cases], "text string")
+    assert {r.text: r.w for r in rows.select("text", tokens.words(F.col("text")).alias("w")).collect()} == cases
+    counts = {r.word: r.n for r in tokens.word_counts(rows).collect()}
+    assert "[cls]" not in counts and counts["cls"] == 1
+
+
+def test_tokenizer_files_and_encoding(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "[CLS] oil prices, oil price [NO_SUMMARY]"), (2, "oily"), (3, None)], "doc_id long, text string")
+    bpe = tokens.train(docs, 60)
+    bpe.save(str(tmp_path / "t" / "bpe.json"))
+    again = tokens.Bpe.load(str(tmp_path / "t" / "bpe.json"))
+    assert again.vocab == bpe.vocab and again.merges == bpe.merges and again.fingerprint == bpe.fingerprint and len(bpe.fingerprint) == 64
+    ids = {r.id: list(r.ids) for r in tokens.encoded(docs, again).collect()}
+    assert ids[1][0] == 1 and ids[1][-1] == 11 and ids[3] == []
+    assert again.decode(ids[1]).replace(" ", "") == "[cls]oilprices,oilprice[no_summary]"
 
 
 def test_states_are_complete():
