@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rippleframe.functions import exprs as X
-from rippleframe.operators import metrics, point_in_time, serialize, splits, tokens, verify
+from rippleframe.operators import metrics, point_in_time, scenarios, serialize, splits, tokens, verify
 from rippleframe.operators.catalog import FACTORS, MECHANISMS, STATES, catalogue
 from rippleframe.operators.expand import counterfactuals, with_families
 from rippleframe.operators.labels import labelled
 from rippleframe.operators.records import base_records
 from rippleframe.plans import oracle_parts as O
+from rippleframe.sources import companies, frozen
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -450,3 +453,105 @@ def key_set_difference(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     buyers, failed = e.where("event_type = 'purchase'").select("user_id"), e.where("event_type = 'error'").select("user_id")
     return buyers.intersect(failed).subtract(table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("user_id")))
+
+
+_KINDS = ["input_price_change", "demand_change", "interest_rate_change", "customer_loss", "export_restriction"]
+
+
+def _scenarios(spark, sf_dir) -> DataFrame:
+    """One scenario per order: type and role by its key, magnitude by its price, ratios by its customer."""
+    k = F.col("o_orderkey")
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.pmod(k, F.lit(5)) + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(k.alias("id"), kind.alias("event_type"), (F.floor(F.col("o_totalprice")) % 800 / 10.0).alias("magnitude"), "o_custkey")
+    roles = F.create_map(*[x for t, r in scenarios.ROLES.items() for x in (F.lit(t), F.array(*map(F.lit, r)))])[F.col("event_type")]
+    rows = rows.withColumn("roles", roles).withColumn("role", F.element_at("roles", (F.pmod(F.expr("id div 5"), F.size("roles")) + 1).cast("int")))
+    up = F.expr("id div 7") % 2 == 0
+    direction = F.when(F.col("event_type") == "interest_rate_change", F.when(up, "hike").otherwise("cut")).otherwise(F.when(up, "increase").otherwise("decrease"))
+    return rows.select(
+        "id", "event_type", "role", direction.alias("direction"), "magnitude", (F.lit(5.0) + F.pmod("o_custkey", F.lit(15)) * 5).alias("exposure"), (F.pmod("o_custkey", F.lit(81)) / 100.0).alias("hedging"),
+        (F.pmod("o_custkey", F.lit(101)) / 100.0).alias("pricing_power"), (F.pmod("o_custkey", F.lit(97)) / 100.0).alias("substitution"),
+        F.element_at(F.array(*map(F.lit, [7, 14, 30, 60, 90, 180, 365])), (F.pmod("id", F.lit(7)) + 1).cast("int")).alias("horizon_days"),
+    )
+
+
+_SCENARIO = """sc AS (SELECT *, CASE event_type WHEN 'interest_rate_change' THEN CASE WHEN up THEN 'hike' ELSE 'cut' END ELSE CASE WHEN up THEN 'increase' ELSE 'decrease' END END AS direction, CASE WHEN up THEN 1.0e0 ELSE -1.0e0 END AS s,
+  CASE event_type WHEN 'input_price_change' THEN ['consumer', 'producer', 'neutral'][(id // 5) % 3 + 1] WHEN 'demand_change' THEN ['producer', 'neutral'][(id // 5) % 2 + 1] WHEN 'interest_rate_change' THEN ['bank', 'real_estate'][(id // 5) % 2 + 1]
+    WHEN 'customer_loss' THEN ['supplier_high', 'supplier_low'][(id // 5) % 2 + 1] ELSE ['consumer', 'competitor', 'neutral'][(id // 5) % 3 + 1] END AS role
+  FROM (SELECT o_orderkey AS id, ['input_price_change', 'demand_change', 'interest_rate_change', 'customer_loss', 'export_restriction'][o_orderkey % 5 + 1] AS event_type, (floor(o_totalprice) % 800) / 10.0e0 AS magnitude,
+    (o_orderkey // 7) % 2 = 0 AS up, 5.0e0 + (o_custkey % 15) * 5 AS exposure, (o_custkey % 81) / 100.0e0 AS hedging, (o_custkey % 101) / 100.0e0 AS pricing_power, (o_custkey % 97) / 100.0e0 AS substitution,
+    [7, 14, 30, 60, 90, 180, 365][o_orderkey % 7 + 1] AS horizon_days FROM orders))"""
+_LEGACY = """greatest(-1.0e0, least(1.0e0, (0.4e0 + 0.6e0 * exp(-horizon_days / 365.0e0)) * CASE event_type || '/' || role
+  WHEN 'input_price_change/consumer' THEN -s * least(1, magnitude / 40) * least(1, exposure / 40) * (1 - 0.6e0 * hedging) * (1 - 0.3e0 * pricing_power) * (1 - 0.3e0 * substitution)
+  WHEN 'input_price_change/producer' THEN s * least(1, magnitude / 40) * least(1, exposure / 40) * (1 - 0.6e0 * hedging)
+  WHEN 'demand_change/producer' THEN s * least(1, magnitude / 40) * least(1, exposure / 40) * (1 - 0.3e0 * pricing_power)
+  WHEN 'interest_rate_change/bank' THEN 0.8e0 * s * least(1, magnitude / 40)
+  WHEN 'interest_rate_change/real_estate' THEN -0.9e0 * s * least(1, magnitude / 40) * least(1, exposure / 40)
+  WHEN 'customer_loss/supplier_high' THEN -1.2e0 * least(1, exposure / 40) * (1 - 0.3e0 * substitution)
+  WHEN 'customer_loss/supplier_low' THEN -0.4e0 * least(1, exposure / 40) * (1 - 0.3e0 * substitution)
+  WHEN 'export_restriction/consumer' THEN -least(1, magnitude / 40) * least(1, exposure / 40) * (1 - 0.3e0 * substitution)
+  WHEN 'export_restriction/competitor' THEN 0.7e0 * least(1, magnitude / 40) ELSE 0.0e0 END))"""
+_PERCENT = "CAST(CAST(round({} * 100) AS INT) AS VARCHAR) || '%'"
+
+
+@query(f"""WITH {_SCENARIO} SELECT id, event_type, role, CASE WHEN role IN ('bank', 'real_estate') THEN role ELSE 'company' END AS case_type, round({_LEGACY}, 9) + 0.0 AS score,
+CASE WHEN role = 'neutral' THEN 'role=neutral; input_exposure=0%; the company has no significant input exposure' ELSE 'role=' || role || '; input_exposure=' || CAST(CAST(exposure AS INT) AS VARCHAR) || '%' || CASE event_type || '/' || role
+  WHEN 'input_price_change/consumer' THEN '; hedging_ratio=' || {_PERCENT.format('hedging')} || '; pricing_power=' || {_PERCENT.format('pricing_power')} || '; substitution_ability=' || {_PERCENT.format('substitution')}
+  WHEN 'input_price_change/producer' THEN '; hedging_ratio=' || {_PERCENT.format('hedging')} WHEN 'demand_change/producer' THEN '; pricing_power=' || {_PERCENT.format('pricing_power')}
+  WHEN 'interest_rate_change/bank' THEN '; rate_sensitivity=' || {_PERCENT.format('pricing_power')}
+  WHEN 'interest_rate_change/real_estate' THEN '; debt_ratio=' || printf('%.2f', exposure / 100) || '; rate_sensitivity=' || {_PERCENT.format('pricing_power')}
+  WHEN 'customer_loss/supplier_high' THEN '; replacement_difficulty=' || {_PERCENT.format('substitution')} WHEN 'customer_loss/supplier_low' THEN '; replacement_difficulty=' || {_PERCENT.format('substitution')}
+  WHEN 'export_restriction/consumer' THEN '; substitution_ability=' || {_PERCENT.format('substitution')}
+  WHEN 'export_restriction/competitor' THEN '; market_share_gain_potential=' || {_PERCENT.format('pricing_power')} || '; substitution_barrier=' || {_PERCENT.format('substitution')} ELSE '' END END AS context_text FROM sc""")
+def scenario_scores(spark, sf_dir):
+    """Scores and context sentences of one scenario per order."""
+    rows = scenarios.scored(_scenarios(spark, sf_dir), F.lit("input"))
+    return rounded(rows, ["score"]).select("id", "event_type", "role", "case_type", "score", "context_text")
+
+
+@query(f"""WITH {_SCENARIO}, g AS (SELECT id, event_type, role, s, direction, magnitude, substitution, varied, variant, CASE WHEN varied = 'exposure' THEN v ELSE exposure END AS exposure, CASE WHEN varied = 'hedging' THEN v ELSE hedging END AS hedging,
+  CASE WHEN varied = 'pricing_power' THEN v ELSE pricing_power END AS pricing_power, CASE WHEN varied = 'horizon_days' THEN v ELSE horizon_days END AS horizon_days FROM sc, (VALUES ('exposure', 0, 10.0e0), ('exposure', 1, 30), ('exposure', 2, 50), ('exposure', 3, 70),
+  ('hedging', 0, 0), ('hedging', 1, 0.3e0), ('hedging', 2, 0.6e0), ('pricing_power', 0, 0.1e0), ('pricing_power', 1, 0.5e0), ('pricing_power', 2, 0.9e0), ('horizon_days', 0, 7), ('horizon_days', 1, 30), ('horizon_days', 2, 90), ('horizon_days', 3, 365)) v(varied, variant, v) WHERE role <> 'neutral')
+SELECT event_type, role, varied, variant, count(*) AS n, round(avg({_LEGACY}), 9) + 0.0 AS mean_score FROM g GROUP BY ALL""")
+def scenario_grids(spark, sf_dir):
+    """Mean score by each value of each variable that is changed alone."""
+    rows = scenarios.grids(_scenarios(spark, sf_dir)).withColumn("score", scenarios.score())
+    return rounded(rows.groupBy("event_type", "role", "varied", "variant").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score")), ["mean_score"])
+
+
+@query()
+def company_profiles(spark, sf_dir):
+    """A company for each customer."""
+    return companies.companies(spark, table(spark, sf_dir, "customer").count())
+
+
+@query()
+def json_strict_load(spark, sf_dir):
+    """Base records as JSON lines, some broken in one of five ways, and what the strict reader finds."""
+    rows = base_records(spark, sf_dir).select("id", F.to_json(F.struct(*_shaped())).alias("line"))
+    turn = F.pmod(F.substring("id", 6, 20).cast("long"), F.lit(6))
+    line = F.when(turn == 1, F.concat(F.lit('{"id":"again",'), F.substring("line", 2, 1 << 30))).when(turn == 2, F.regexp_replace("line", '"horizon_days":', '"horizon":'))
+    line = line.when(turn == 3, F.regexp_replace("line", '"horizon_days":(\\d+)', '"horizon_days":"$1"')).when(turn == 4, F.lit("  ")).when(turn == 5, F.concat("line", F.lit(" trailing"))).otherwise(F.col("line"))
+    found = frozen.strict(rows.select("id", line.alias("value")).select("value"))
+    return found.groupBy(F.array_join("problems", "; ").alias("problems")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(O.with_parts("SELECT split, count(*) AS n, round(sum(economic_impact), 6) + 0.0 AS total FROM rec JOIN fam ON family_key = id GROUP BY split", O.base(), O.variants(), O.families()))
+def frozen_roundtrip(spark, sf_dir):
+    """Base records, frozen with their companies and loaded again: rows and impact by split."""
+    base = base_records(spark, sf_dir).withColumn("base_record_id", F.lit(None).cast("string"))
+    decided = splits.assigned(base, rows=splits.families_of_bases(base)).select(F.col("family_key").alias("id"), "split")
+    scratch = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not scratch:
+        raise ValueError("spark.checkpoint.dir names no folder")
+    path = f"{scratch.rstrip('/')}/frozen-{uuid.uuid4().hex}"
+    owners = companies.companies(spark, table(spark, sf_dir, "customer").count())
+    frozen.publish(spark, base.join(decided, "id"), path, "1", companies=owners)
+    rows, _ = frozen.load(spark, path)
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("economic_impact"), 6) + F.lit(0.0)).alias("total"))
+
+
+def _shaped() -> list:
+    return [
+        F.col("id"), F.struct("mechanism", "subject_class", "subject", "direction", "magnitude").alias("event"), F.struct("entity_id").alias("target"), F.struct(*FACTORS).alias("context"), F.col("horizon_days"),
+        F.struct(*STATES).alias("state_delta"), F.col("economic_impact"), F.col("confidence"), F.struct("source", F.lit("events-adapter-v1").alias("generator_version"), F.lit(42).cast("long").alias("seed")).alias("metadata"),
+    ]

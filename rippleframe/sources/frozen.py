@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from rippleframe.operators import splits, verify
 from rippleframe.operators.catalog import FACTORS, SPLITS, STATES
+from rippleframe.operators.records import shaped
+from rippleframe.sources import companies as company_rules
 
 #: Fixed value of the data contract.
 SCHEMA_VERSION = "1.0"
@@ -87,7 +90,23 @@ def _fs(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target, jvm.org.apache.hadoop.fs.Path
 
 
-def freeze(spark: SparkSession, records: DataFrame, path: str, version: str, seed: int = 42) -> dict:
+def require_sound(records: DataFrame) -> None:
+    """An error unless flat records with a split break no rule of records and none of splits."""
+    broken = verify.verified(records).where("not valid").select("id", "issues").first()
+    if broken:
+        raise FrozenDatasetError(f"record {broken['id']}: {broken['issues']}")
+    leak = splits.violations(records).first()
+    if leak:
+        raise FrozenDatasetError(f"{leak['kind']}: {leak['key']}")
+
+
+def publish(spark: SparkSession, records: DataFrame, path: str, version: str, seed: int = 42, companies: DataFrame | None = None) -> dict:
+    """freeze() of flat records (as labelled, with a split and base_record_id) after require_sound()."""
+    require_sound(records)
+    return freeze(spark, shaped(records).join(records.select("id", "split"), "id"), path, version, seed, companies)
+
+
+def freeze(spark: SparkSession, records: DataFrame, path: str, version: str, seed: int = 42, companies: DataFrame | None = None) -> dict:
     """Publishes records (with their split) as one folder of sorted JSON lines per split, and a manifest.
 
     Refuses a target that exists. Everything is written beside it and renamed at the end; a failure leaves nothing. The
@@ -103,7 +122,13 @@ def freeze(spark: SparkSession, records: DataFrame, path: str, version: str, see
         lines = records.select("split", F.to_json(F.struct(*[F.col(f.name) for f in RECORD])).alias("value"), "id")
         lines.repartitionByRange("split", "id").sortWithinPartitions("split", "id").select("split", "value").write.partitionBy("split").text(staging)
         manifest = {"dataset_version": version, "schema_version": SCHEMA_VERSION, "seed": seed, "splits": _summary(spark, staging)}
-        manifest["total_examples"] = sum(s["examples"] for s in manifest["splits"].values())
+        counts = {name: found["examples"] for name, found in manifest["splits"].items()}
+        manifest["totals"] = {"train": counts["train"], "validation": counts["validation"], "test": sum(n for k, n in counts.items() if k.startswith("test_"))}
+        manifest["total_examples"] = sum(counts.values())
+        if companies is not None:
+            lines = companies.select("company_id", F.to_json(F.struct(*companies.columns)).alias("value"))
+            lines.repartitionByRange("company_id").sortWithinPartitions("company_id").select("value").write.text(f"{staging}/companies")
+            manifest["companies"] = _digest(spark.read.text(f"{staging}/companies"))
         out = fs.create(hadoop_path(f"{staging}/manifest.json"))
         out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
         out.close()
@@ -115,12 +140,40 @@ def freeze(spark: SparkSession, records: DataFrame, path: str, version: str, see
     return manifest
 
 
+def _words() -> list[Column]:
+    """A digest of many lines: how many there are, and sums of the four 64-bit words of their SHA-256. It needs no order."""
+    part = [F.sum(F.conv(F.substring(F.sha2("value", 256), 16 * k + 1, 16), 16, 10).cast("decimal(38,0)")).alias(f"w{k}") for k in range(4)]
+    return [F.count(F.lit(1)).alias("n"), *part]
+
+
+def _told(row) -> dict:
+    words = [] if row is None else [str(row[f"w{k}"]) for k in range(4)]
+    return {"examples": 0 if row is None else row["n"], "sha256": hashlib.sha256(":".join(words).encode()).hexdigest()}
+
+
+def _digest(lines: DataFrame) -> dict:
+    return _told(lines.agg(*_words()).first())
+
+
 def _summary(spark: SparkSession, path: str) -> dict:
-    """Examples and digest by split. The digest adds up line digests, so it needs no order and no single task."""
+    """Examples and digest by split."""
     rows = spark.read.schema("value string, split string").option("basePath", path).text(path + "/split=*")
-    part = F.conv(F.substring(F.sha2("value", 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    found = {r["split"]: (r["n"], str(r["s"])) for r in rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum(part).alias("s")).collect()}
-    return {s: {"examples": found.get(s, (0, ""))[0], "sha256": hashlib.sha256(found.get(s, (0, ""))[1].encode()).hexdigest()} for s in SPLITS}
+    found = {r["split"]: r for r in rows.groupBy("split").agg(*_words()).collect()}
+    return {s: _told(found.get(s)) for s in SPLITS}
+
+
+def load_companies(spark: SparkSession, path: str) -> DataFrame:
+    """The companies of a frozen dataset; the first one that breaks a rule is an error."""
+    schema = StructType([StructField(c, StringType() if c == "company_id" else DoubleType()) for c in company_rules.COLUMNS])
+    rows = strict(spark.read.text(f"{path}/companies"), schema)
+    bad = rows.where(F.size("problems") > 0).first()
+    if bad:
+        raise FrozenDatasetError(f"companies: {bad['problems']}")
+    rows = rows.select("record.*")
+    bad = rows.withColumn("p", company_rules.problems()).where(F.size("p") > 0).first()
+    if bad:
+        raise FrozenDatasetError(f"company {bad['company_id']}: {bad['p']}")
+    return rows
 
 
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
@@ -131,6 +184,8 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
         raise FrozenDatasetError("the manifest is of another schema")
     if _summary(spark, path) != manifest["splits"]:
         raise FrozenDatasetError("files differ from the manifest")
+    if "companies" in manifest and _digest(spark.read.text(f"{path}/companies")) != manifest["companies"]:
+        raise FrozenDatasetError("companies differ from the manifest")
     rows = spark.read.schema("value string, split string").option("basePath", path).text(path + "/split=*")
     checked = strict(rows.select("value")).where(F.size("problems") > 0)
     if not checked.isEmpty():
