@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from rippleframe.operators.labels import labelled
 from rippleframe.operators.records import base_records
 from rippleframe.plans import oracle_parts as O
 from rippleframe.sources import companies, frozen
+from rippleframe.sources.scratch import shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -540,10 +539,7 @@ def frozen_roundtrip(spark, sf_dir):
     """Base records, frozen with their companies and loaded again: rows and impact by split."""
     base = base_records(spark, sf_dir).withColumn("base_record_id", F.lit(None).cast("string"))
     decided = splits.assigned(base, rows=splits.families_of_bases(base)).select(F.col("family_key").alias("id"), "split")
-    scratch = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not scratch:
-        raise ValueError("spark.checkpoint.dir names no folder")
-    path = f"{scratch.rstrip('/')}/frozen-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/frozen"
     owners = companies.companies(spark, table(spark, sf_dir, "customer").count())
     frozen.publish(spark, base.join(decided, "id"), path, "1", companies=owners)
     rows, _ = frozen.load(spark, path)
