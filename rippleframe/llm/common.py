@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rippleframe.sources.scratch import shared_dir as shared_dir
+
 #: Rows that a Python worker turns into objects at a time; bounds its memory whatever the batch size is.
 SLICE_ROWS = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir. Where that is unset (tests), a temporary folder is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="rippleframe-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/rippleframe-{uuid.uuid4().hex}"
-
-
 def written(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     """The frame as a table in the shared folder: cuts lineage and outlives lost executors."""
     df.write.mode("errorifexists").parquet(path)

@@ -72,24 +72,26 @@ def op4_quote_links(spark, sf_dir):
 
 
 OP4_SQL = r"""
-WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS body FROM conversations),
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS body FROM conversations),
 q AS (SELECT DISTINCT conv_id, turn, body FROM m WHERE regexp_matches(body, '(?m)^[ \t]*>') AND conv_id IS NOT NULL AND turn IS NOT NULL),
 s AS (SELECT conv_id, turn, body, string_split(body, chr(10)) AS ls FROM q),
 l AS (SELECT conv_id, turn, body, unnest(range(1, len(ls) + 1)) AS ln, unnest(ls) AS line FROM s),
 v AS (SELECT *, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+[ \t]?'), '[^>]', '', 'g')) AS level FROM l),
 n AS (SELECT *, coalesce(CAST(lag(level) OVER w <> level AS INT), 1) AS new FROM v WINDOW w AS (PARTITION BY conv_id, turn, body ORDER BY ln)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn, body ORDER BY ln) AS run FROM n),
-p AS (SELECT conv_id, turn, level, trim(regexp_replace(lower(string_agg(regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', ''), chr(10) ORDER BY ln)), '[ \t-\r]+', ' ', 'g')) AS body
-      FROM r WHERE level > 0 GROUP BY conv_id, turn, r.body, run, level),
+b AS (SELECT *, trim(regexp_replace(lower(regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', '')), '[ \t-\r]+', ' ', 'g')) AS bare FROM r WHERE level > 0),
+p AS (SELECT conv_id, turn, level, count(*) AS many, string_agg(bare, ' ' ORDER BY ln) AS body FROM b WHERE bare <> '' GROUP BY conv_id, turn, b.body, run, level),
 c AS (SELECT *, CASE WHEN regexp_matches(body, '(?m)^[ \t]*>') THEN trim(array_to_string(list_filter(string_split(body, chr(10)),
         lambda x: NOT regexp_matches(x, '^(?:[ \t]*>)+[ \t]?') AND NOT regexp_matches(x, '(?i)^[ \t]*on [^\n]{1,200} wrote:[ \t\r]*$')), chr(10))) ELSE body END AS content FROM m),
-o AS (SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(x), '[ \t-\r]+', ' ', 'g')) AS body
-      FROM (SELECT conv_id, turn, unnest(list_append(string_split(content, chr(10)), content)) AS x FROM c WHERE conv_id IN (SELECT conv_id FROM q))),
-k AS (SELECT p.conv_id, p.turn, p.level, (SELECT max(o.turn) FROM o WHERE o.conv_id = p.conv_id AND o.body = p.body AND o.turn < p.turn) AS origin FROM p WHERE p.body <> ''),
-f AS (SELECT conv_id, turn, max(level) AS depth, count(*) AS n, count(origin) AS linked, arg_min(origin, (level, -origin)) FILTER (origin IS NOT NULL) AS reply_to FROM k GROUP BY 1, 2)
+w AS (SELECT conv_id, turn, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(regexp_replace(lower(x), '[ \t-\r]+', ' ', 'g'))), lambda x: x <> '') AS own FROM c WHERE conv_id IN (SELECT conv_id FROM q)),
+o AS (SELECT DISTINCT conv_id, turn, array_to_string(own[a:z], ' ') AS body, z - a + 1 AS many, len(own) AS n FROM (SELECT *, unnest(range(a, len(own) + 1)) AS z FROM (SELECT *, unnest(range(1, len(own) + 1)) AS a FROM w))),
+k AS (SELECT p.conv_id, p.turn, p.level, (SELECT max(o.turn) FROM o WHERE o.conv_id = p.conv_id AND o.body = p.body AND (o.many = p.many OR o.many = o.n) AND o.turn < p.turn) AS origin FROM p),
+f AS (SELECT conv_id, turn, max(level) AS depth, count(*) AS n, count(origin) AS linked, arg_min(origin, (level, -origin)) FILTER (origin IS NOT NULL) AS reply_to FROM k GROUP BY 1, 2),
+h AS (SELECT conv_id, turn, reply_to AS root FROM f WHERE reply_to IS NOT NULL UNION ALL SELECT h.conv_id, h.turn, f.reply_to FROM h JOIN f ON f.conv_id = h.conv_id AND f.turn = h.root WHERE f.reply_to IS NOT NULL),
+t AS (SELECT conv_id, turn, min(root) AS root FROM h GROUP BY 1, 2)
 SELECT c.conv_id, c.turn, role, content, CAST(coalesce(depth, 0) AS BIGINT) AS quote_depth, CAST(coalesce(n, 0) AS BIGINT) AS n_passages,
-       CAST(coalesce(linked, 0) AS BIGINT) AS n_linked, reply_to, coalesce(reply_to, c.turn) AS order_thread
-FROM c LEFT JOIN f ON f.conv_id = c.conv_id AND f.turn = c.turn
+       CAST(coalesce(linked, 0) AS BIGINT) AS n_linked, reply_to, coalesce(root, c.turn) AS order_thread
+FROM c LEFT JOIN f ON f.conv_id = c.conv_id AND f.turn = c.turn LEFT JOIN t ON t.conv_id = c.conv_id AND t.turn = c.turn
 """
 
 

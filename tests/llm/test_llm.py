@@ -5,7 +5,9 @@ import itertools
 import random
 import zlib
 
+import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -354,6 +356,44 @@ def test_quotes(spark):
     assert got[2, 0].content == "" and got[None, 1].content == "b"
 
 
+def test_quotes_against_sql_and_order(spark, tmp_path):
+    """Whole, wrapped and partial quotes, blank lines, nested ones, long threads, equal lines; the SQL runs on the same table."""
+    rng = random.Random(11)
+    rows = []
+    for conv in range(12):
+        bodies = []
+        for turn in range(14):
+            own = [" ".join(words(rng.randint(1, 6), 1000 * conv + 20 * turn + j)) for j in range(rng.randint(1, 5))]
+            if rng.random() < 0.3:
+                own.insert(rng.randrange(len(own) + 1), "Thanks all")
+            if bodies and rng.random() < 0.7:
+                old = bodies[rng.randrange(len(bodies))].split("\n")
+                a = rng.randrange(len(old))
+                part = old[a : a + rng.randint(1, 4)]
+                if rng.random() < 0.3:
+                    part = " ".join(part).replace(" ", "\n", 2).split("\n")
+                if rng.random() < 0.3:
+                    part.insert(1, "")
+                own = ["On Monday, X wrote:", *[f"> {x.upper()}" for x in part], *own]
+            bodies.append("\n".join(own))
+        rows += [(conv, t, "user", b) for t, b in enumerate(bodies)]
+    rows += [(20, 1, "u", "one"), (20, 2, "u", "two"), (20, 3, "u", "> one\nthree"), (20, 4, "u", "> three\nfour"), (20, 5, "u", "> two\nfive"), (20, 5, "u", "> two\nfive"), (None, 1, "u", "> a"), (21, None, "u", None)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = quote_links.link(table.withColumn("hash", F.lit(1)).withColumn("root", F.lit("x"))).withColumnRenamed("conv", "conv_id")
+    pq.write_table(table.toArrow(), tmp_path / "c.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c.parquet'")
+    columns = sorted(got.columns)
+    found = con.execute(queries.OP4_SQL)
+    names = [d[0] for d in found.description]
+    want = sorted(repr([r[names.index(c)] for c in columns]) for r in found.fetchall())
+    mine = got.collect()
+    assert sorted(repr([r[c] for c in columns]) for r in mine) == want and sum(r.n_linked for r in mine) > 60
+    order = [r.turn for r in sorted((r for r in mine if r.conv_id == 20), key=lambda r: (r.order_thread, r.turn))]
+    assert order == [1, 3, 4, 2, 5, 5]
+    assert quote_links.link(table.limit(0)).count() == 0
+
+
 def test_licenses(spark, docs, empty):
     rows = [(1, "x\nReleased under the MIT License."), (2, "released UNDER the  mit license"), (3, None), (4, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License."), (5, "the MIT alumni")]
     got = {r.id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
