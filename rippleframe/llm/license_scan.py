@@ -1,9 +1,11 @@
 """Licence scans: passages compared with licence templates by the Dice coefficient over word bigrams.
 
-A passage is a line of the text. Normalised, it is its words of ASCII letters, digits and dots within numbers, in lower case. Its bigrams
-are distinct pairs of neighbouring words. Two bounds prune before any bigram is made: with a Dice coefficient of at least
-`at`, the number of a passage's bigrams lies within at / (2 - at) and (2 - at) / at of the template's; and it shares
-enough bigrams that it must hold a word of the template's rarest ones, its marks.
+A passage is a run of consecutive lines, blank ones left out, so that notices count however they are wrapped. Normalised,
+it is its words of ASCII letters, digits and dots within numbers, in lower case. Its bigrams are distinct pairs of
+neighbouring words. With a Dice coefficient of at least `at`, the number of a passage's bigrams lies within at / (2 - at)
+and (2 - at) / at of the template's; so a passage has no more words than the largest template allows. It also shares
+enough bigrams that it must hold one of the template's rarest ones, its marks: only runs about a line with a mark are
+compared. Of passages that match and overlap, one counts that no other beats: by Dice, then fewer lines, then earlier.
 
 All work on executors is DataFrame operations; one pass, no shuffle of texts.
 """
@@ -16,11 +18,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AT = 0.8
-#: Notices by which works name their licence.
+#: Notices by which works name their licence, and opening terms of some. A licence may have several texts.
 TEMPLATES = {
-    "MIT": "Released under the MIT License.",
+    "MIT": [
+        "Released under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    ],
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
@@ -54,43 +62,75 @@ def _lower(x: Column) -> Column:
     return F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, at: float = AT, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+def texts_of(templates: dict[str, str | list[str]]) -> list[tuple[str, set[str]]]:
+    """(name, bigrams) of every text of every template, by name."""
+    return [(name, bigrams_of(t)) for name, own in sorted(templates.items()) for t in ([own] if isinstance(own, str) else own)]
+
+
+def most_words(templates: dict[str, str | list[str]], at: float) -> int:
+    """Words of the longest passage."""
+    return int(max(len(b) for _, b in texts_of(templates)) * (2 - at) / at + 1e-9) + 1
+
+
+def scan(docs: DataFrame, templates: dict[str, str | list[str]] | None = None, at: float = AT, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """One row per document: id, licenses (sorted names), n_passages, best_license, best_dice.
 
-    n_passages counts the lines that match a template; a line's template is the nearest, ties go to the first name. A
-    document without a match, such as an empty or null text, has no names, 0 passages and null for the best. Repeated
-    rows and null ids are scanned row by row; other columns are not read. An empty table gives an empty result.
+    templates: one text or several by name; whole licences may be given. n_passages counts the passages that match and
+    that no overlapping one beats; a passage's template is the nearest, ties go to the first name. A document without a
+    match, such as an empty or null text, has no names, 0 passages and null for the best. Repeated rows and null ids are
+    scanned row by row; other columns are not read. An empty table gives an empty result.
     """
     templates = TEMPLATES if templates is None else templates
-    sets = {name: bigrams_of(t) for name, t in sorted(templates.items())}
-    # A line may match only if it holds a mark, whatever stands between its words.
-    alternatives = sorted({m for b in sets.values() for m in marks(b, at)})
+    sets = texts_of(templates)
+    longest = most_words(templates, at)
+    least = min(len(b) for _, b in sets) * at / (2 - at)
+    # A passage may match only if it holds a mark, whatever stands between its words.
+    alternatives = sorted({m for _, b in sets for m in marks(b, at)})
     anchor = "|".join("[^a-z0-9]+".join(map(re.escape, m.split(" "))) for m in alternatives)
-    least = min(len(b) for b in sets.values()) * at / (2 - at)
-    most = max(len(b) for b in sets.values()) * (2 - at) / at
+    # Nothing that has no mark is split into lines.
     low = _lower(F.coalesce(docs[text], F.lit("")))
-    lines = F.when(low.rlike(anchor), F.filter(F.split(low, "\n"), lambda x: x.rlike(anchor))).otherwise(F.array().cast("array<string>"))
-
-    def bigrams(line: Column) -> Column:
-        w = F.regexp_extract_all(line, F.lit(f"({_WORD})"), F.lit(1))
-        pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-        return F.array_distinct(pairs)
-
-    def near(b: Column) -> Column:
+    rows = docs.select(docs[id_column].alias("id"), F.when(low.rlike(anchor), low).alias("low"))
+    rows = rows.withColumn("lines", F.filter(F.split("low", "\n"), lambda x: x.rlike("[a-z0-9]")))
+    sizes = F.transform("lines", lambda x: F.size(F.regexp_extract_all(x, F.lit(f"({_WORD})"), F.lit(1))))
+    # before[k]: words before the line k, from 1.
+    rows = rows.withColumn("before", F.reduce(sizes, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))))
+    n = F.size("lines")
+    marked = F.filter(F.sequence(F.lit(1), n), lambda k: F.concat_ws("\n", F.element_at("lines", k), F.get("lines", k)).rlike(anchor))
+    rows = rows.withColumn("marked", F.when(n > 0, marked))
+
+    def words_in(i: Column, j: Column) -> Column:
+        return F.element_at("before", j + 1) - F.element_at("before", i)
+
+    def runs_about(k: Column) -> Column:
+        firsts = F.filter(F.sequence(F.greatest(F.lit(1), k - longest), k), lambda i: words_in(i, k) <= longest)
+        lasts = F.filter(F.sequence(k, F.least(n, k + longest)), lambda j: words_in(k, j) <= longest)
+        pairs = F.flatten(F.transform(firsts, lambda i: F.transform(lasts, lambda j: F.struct(i.alias("i"), j.alias("j")))))
+        return F.filter(pairs, lambda r: (words_in(r["i"], r["j"]) <= longest) & (words_in(r["i"], r["j"]) > least - 1e-9))
+
+    rows = rows.withColumn("runs", F.array_distinct(F.flatten(F.transform("marked", runs_about))))
+
+    def bigrams(run: Column) -> Column:
+        w = F.regexp_extract_all(F.array_join(F.slice("lines", run["i"], run["j"] - run["i"] + 1), "\n"), F.lit(f"({_WORD})"), F.lit(1))
+        rest = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.array_distinct(F.zip_with(F.slice(w, 1, rest), F.slice(w, 2, rest), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+    def near(b: Column, run: Column) -> Column:
         found = []
-        for name, own in sets.items():
-            n = F.size(b)
-            inside = (n >= at / (2 - at) * len(own) - 1e-9) & (n <= (2 - at) / at * len(own) + 1e-9)
+        for name, own in sets:
+            m = F.size(b)
+            inside = (m >= at / (2 - at) * len(own) - 1e-9) & (m <= (2 - at) / at * len(own) + 1e-9)
             shared = F.size(F.array_intersect(b, F.array(*[F.lit(x) for x in sorted(own)])))
-            dice = F.when(inside, 2.0 * shared / (n + len(own)))
-            found.append(F.when(dice >= at, F.struct(dice.alias("dice"), F.lit(name).alias("name"))))
-        hits = F.filter(F.array(*found), lambda x: x.isNotNull())
-        return F.reduce(hits, F.lit(None).cast("struct<dice:double,name:string>"), lambda a, x: F.when(a.isNull() | (x["dice"] > a["dice"]), x).otherwise(a))
-
-    sized = F.filter(F.transform(lines, bigrams), lambda b: (F.size(b) >= least - 1e-9) & (F.size(b) <= most + 1e-9))
-    rows = docs.select(docs[id_column].alias("id"), F.filter(F.transform(sized, near), lambda x: x.isNotNull()).alias("hits"))
-    best = F.reduce("hits", F.lit(None).cast("struct<dice:double,name:string>"), lambda a, x: F.when(a.isNull() | (x["dice"] > a["dice"]) | ((x["dice"] == a["dice"]) & (x["name"] < a["name"])), x).otherwise(a))
-    return rows.select("id", "hits", best.alias("best")).select(
-        "id", F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["name"]))).alias("licenses"), F.size("hits").cast("long").alias("n_passages"),
-        F.col("best.name").alias("best_license"), F.col("best.dice").alias("best_dice"),
-    )
+            dice = F.when(inside, 2.0 * shared / (m + len(own)))
+            found.append(F.when(dice >= at, F.struct((-dice).alias("far"), F.lit(name).alias("name"))))
+        best = F.array_min(F.filter(F.array(*found), lambda x: x.isNotNull()))
+        return F.when(best.isNotNull(), F.struct(best["far"].alias("far"), (run["j"] - run["i"]).alias("more"), run["i"].alias("i"), run["j"].alias("j"), best["name"].alias("name")))
+
+    rows = rows.withColumn("sets", F.transform("runs", lambda r: F.struct(r.alias("run"), bigrams(r).alias("own"))))
+    rows = rows.withColumn("all", F.filter(F.transform("sets", lambda x: near(x["own"], x["run"])), lambda x: x.isNotNull()))
+    beats = lambda g, h: (g["i"] <= h["j"]) & (h["i"] <= g["j"]) & (F.struct(g["far"], g["more"], g["i"]) < F.struct(h["far"], h["more"], h["i"]))
+    rows = rows.withColumn("hits", F.filter("all", lambda h: ~F.exists("all", lambda g: beats(g, h))))
+    best = F.array_min(F.transform("hits", lambda h: F.struct(h["far"], h["name"])))
+    names = F.coalesce(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["name"]))), F.array().cast("array<string>"))
+    return rows.select(
+        "id", names.alias("licenses"), F.greatest(F.size("hits"), F.lit(0)).cast("long").alias("n_passages"), best["name"].alias("best_license"), (-best["far"]).alias("best_dice")
+    )

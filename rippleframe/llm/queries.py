@@ -102,20 +102,25 @@ def op5_license_scan(spark, sf_dir):
 
 
 def _op5_sql() -> str:
-    """The same by brute force: every line against every template."""
-    rows = ", ".join("('{}', [{}])".format(k, ", ".join(f"'{b}'" for b in sorted(license_scan.bigrams_of(t)))) for k, t in sorted(license_scan.TEMPLATES.items()))
+    """The same by brute force: every run of lines against every template."""
+    rows = ", ".join("('{}', [{}])".format(k, ", ".join(f"'{b}'" for b in sorted(own))) for k, own in license_scan.texts_of(license_scan.TEMPLATES))
+    longest = license_scan.most_words(license_scan.TEMPLATES, license_scan.AT)
     return f"""
 WITH t(name, own) AS (VALUES {rows}),
-l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
-w AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+(?:\\.[0-9]+)*') AS ws
-      FROM l WHERE regexp_matches(line, '(?i)licen|permi|domain|redistribution')),
-b AS (SELECT doc_id, k, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS bs FROM w WHERE len(ws) > 1),
-d AS (SELECT doc_id, k, name, 2.0 * len(list_intersect(bs, own)) / (len(bs) + len(own)) AS dice FROM b, t),
-m AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY dice DESC, name) AS r FROM d WHERE dice >= {license_scan.AT}),
-g AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(*) AS n,
-             arg_min(name, (-dice, name)) AS best, max(dice) AS top FROM m WHERE r = 1 GROUP BY doc_id)
-SELECT doc_id, coalesce(licenses, '') AS licenses, CAST(coalesce(n, 0) AS BIGINT) AS n_passages, best AS best_license, CAST(round(top, 9) AS DOUBLE) AS best_dice
-FROM documents LEFT JOIN g USING (doc_id)
+x AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+y AS (SELECT r, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS k FROM x),
+w AS (SELECT r, k, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+(?:\\.[0-9]+)*') AS ws FROM y),
+l AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY k) AS i, ws FROM w WHERE len(ws) > 0),
+n AS (SELECT r, i, ws, sum(len(ws)) OVER (PARTITION BY r ORDER BY i) AS upto FROM l),
+u AS (SELECT a.r, a.i, b.i AS j, (SELECT flatten(list(c.ws ORDER BY c.i)) FROM n c WHERE c.r = a.r AND c.i BETWEEN a.i AND b.i) AS ws
+      FROM n a JOIN n b ON b.r = a.r AND b.i >= a.i AND b.i < a.i + {longest} AND b.upto - a.upto + len(a.ws) <= {longest}),
+b AS (SELECT r, i, j, list_distinct(list_transform(range(1, len(ws)), lambda q: ws[q] || ' ' || ws[q + 1])) AS bs FROM u WHERE len(ws) > 1),
+d AS (SELECT r, i, j, name, 2.0 * len(list_intersect(bs, own)) / (len(bs) + len(own)) AS dice FROM b, t),
+m AS (SELECT *, row_number() OVER (PARTITION BY r, i, j ORDER BY dice DESC, name) AS place FROM d WHERE dice >= {license_scan.AT}),
+h AS (SELECT * FROM m WHERE place = 1),
+v AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.r = h.r AND g.i <= h.j AND h.i <= g.j AND (-g.dice, g.j - g.i, g.i) < (-h.dice, h.j - h.i, h.i))),
+s AS (SELECT r, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(*) AS n, arg_min(name, (-dice, name)) AS best, max(dice) AS top FROM v GROUP BY r)
+SELECT doc_id, coalesce(licenses, '') AS licenses, CAST(coalesce(n, 0) AS BIGINT) AS n_passages, best AS best_license, CAST(round(top, 9) AS DOUBLE) AS best_dice FROM x LEFT JOIN s USING (r)
 """
 
 

@@ -394,10 +394,27 @@ def test_quotes_against_sql_and_order(spark, tmp_path):
     assert quote_links.link(table.limit(0)).count() == 0
 
 
-def test_licenses(spark, docs, empty):
-    rows = [(1, "x\nReleased under the MIT License."), (2, "released UNDER the  mit license"), (3, None), (4, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License."), (5, "the MIT alumni")]
-    got = {r.id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1].licenses == got[2].licenses == ["MIT"] and got[3].licenses == got[5].licenses == [] and got[4].licenses == ["CC-BY-NC-4.0", "MIT"]
+def test_licenses(spark, docs, empty, tmp_path):
+    """Notices whole, wrapped, edited, in a row and inside prose, against SQL that compares every run of lines."""
+    rng = random.Random(2)
+    texts = ["x\nReleased under the MIT License.", "released UNDER the  mit license", None, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License.", "the MIT alumni", "", "\n\n", "Released under the MIT"]
+    for _, own in sorted(license_scan.TEMPLATES.items()):
+        for t in [own] if isinstance(own, str) else own:
+            for width in (3, 8, 30):
+                w = t.split()
+                if rng.random() < 0.5 and len(w) > 15:
+                    w[rng.randrange(len(w))] = "changed"
+                wrapped = "\n".join(" ".join(w[k : k + width]) for k in range(0, len(w), width))
+                texts += [wrapped, " ".join(words(30, width)) + "\n" + wrapped.replace("\n", "\n\n") + "\n" + " ".join(words(9, width)), wrapped + "\n" + wrapped]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pq.write_table(rows.toArrow(), tmp_path / "d.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d.parquet'")
+    want = {r[0]: r[1:] for r in con.execute("SELECT doc_id, licenses, n_passages, best_license, best_dice FROM (" + queries.ORACLES["op5_license_scan"] + ")").fetchall()}
+    found = license_scan.scan(rows.withColumn("hits", F.lit(1)).withColumn("lines", F.lit("x"))).collect()
+    got = {r.id: (",".join(r.licenses), r.n_passages, r.best_license, None if r.best_dice is None else round(r.best_dice, 9)) for r in found}
+    assert got == want and got[0][0] == got[1][0] == got[7][0] == "MIT" and got[3][:2] == ("CC-BY-NC-4.0,MIT", 2) and got[4][1] == 0
+    assert all(n >= 1 for k, (_, n, _, _) in got.items() if k > 7)
     assert license_scan.scan(empty).count() == 0 and license_scan.scan(docs).count() == docs.count()
 
 
