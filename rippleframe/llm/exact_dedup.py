@@ -1,8 +1,8 @@
 """Exact deduplication as a stateful stream: RocksDB keyed state, without expiry, holds digest, stable id and locator.
 
-A digest log (id, SHA-256, file of the row) is written in one pass over the texts. A Structured Streaming aggregation
+A digest log (id, SHA-256, locator: file and row) is written in one pass over the texts. A Structured Streaming aggregation
 reads it in micro-batches and keeps, for each digest, the row that stays, where its content lies, and how many rows
-have it. The state lives in RocksDB and in the query's checkpoint, so a later run over new files goes on from there.
+have it; contents() fetches texts by locator from the files named alone. The state lives in RocksDB and in the query's checkpoint, so a later run over new files goes on from there.
 Then every hit is checked on its full bytes; rows whose digests meet but whose bytes differ are grouped by their bytes.
 
 All work on executors is DataFrame operations.
@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,30 @@ def _settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def locator_of(docs: DataFrame) -> Column:
+    """file and row of each row of a frame read from Parquet files; null for what other frames don't have."""
+    for file, row in (("_metadata.file_path", "_metadata.row_index"), ("_metadata.file_path", None)):
+        found = F.struct(F.col(file).alias("file"), (F.col(row) if row else F.lit(None).cast("long")).alias("row"))
+        try:
+            docs.select(found.alias("locator")).schema  # noqa: B018
+            return found
+        except AnalysisException:
+            continue
+    return F.struct(F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("row"))
+
+
+def contents(spark: SparkSession, located: DataFrame, text: str = "text") -> DataFrame:
+    """located (locator, ...) with `content`, the text that lies there. Only the files that locators name are read.
+
+    The list of files comes to the driver. A null locator, as of a frame that isn't read from Parquet files, has no content.
+    """
+    files = [r[0] for r in located.where("locator.file is not null and locator.row is not null").select("locator.file").distinct().collect()]
+    if not files:
+        return located.withColumn("content", F.lit(None).cast("string"))
+    rows = spark.read.parquet(*files).select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_at"), F.coalesce(text, F.lit("")).alias("content"))
+    return located.join(rows, located["locator"] == rows["_at"], "left").drop("_at")
+
+
 def digest_state(digests: DataFrame) -> DataFrame:
     """Streaming (or batch) aggregation from (id, digest, seq, locator) to the keeper of each digest.
 
@@ -91,7 +116,8 @@ def decisions(
     id_column: str = "doc_id",
     digest: Callable[[Column], Column] = sha256,
 ) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, digest.
+    """One row per input row: id, keep_id, group_size, kept, digest, keep_locator (of the row that stays; null for a text
+    that no other row has).
 
     A null text counts as empty; so all null and empty texts are one group. A null id is smaller than any other.
     Rows that repeat both id and text count each, and one of them is kept. Other columns, whatever their names, are
@@ -103,19 +129,19 @@ def decisions(
         docs[id_column].alias("id"),
         digest(body).alias("digest"),
         F.monotonically_increasing_id().alias("seq"),
-        F.input_file_name().alias("locator"),
+        locator_of(docs).alias("locator"),
     )
     log = written(spark, log, f"{scratch}/log")
     n_rows = log.count()
     if not n_rows:
         return log.select(
-            "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest"
+            "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest", F.col("locator").alias("keep_locator")
         )
     state = run_stream(spark, f"{scratch}/log", log.schema, f"{scratch}/state", max(LEAST_STORES, -(-n_rows // STORE_ROWS)))
     groups = written(
         spark,
         state.where("group_size > 1").select(
-            "digest", F.col("keeper.id").alias("keep_id"), F.col("keeper.seq").alias("keep_seq"), "group_size"
+            "digest", F.col("keeper.id").alias("keep_id"), F.col("keeper.seq").alias("keep_seq"), "group_size", F.col("keeper.locator").alias("keep_locator")
         ),
         f"{scratch}/groups",
     )
@@ -128,6 +154,7 @@ def decisions(
             F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
             (alone | (F.col("seq") == F.col("keep_seq"))).alias("kept"),
             "digest",
+            "keep_locator",
         )
 
     differ = written(spark, _differing(docs, body, digest, groups), f"{scratch}/differ")
@@ -135,12 +162,12 @@ def decisions(
         return outcome(log.select("id", "digest", "seq"), groups, ["digest"])
     # Digests that meet although the bytes differ: their rows are grouped by the bytes themselves.
     same = log.join(differ, "digest", "left_anti").select("id", "digest", "seq")
-    rows = docs.select(docs[id_column].alias("id"), digest(body).alias("digest"), body.alias("bytes")).join(differ, "digest", "left_semi")
+    rows = docs.select(docs[id_column].alias("id"), digest(body).alias("digest"), body.alias("bytes"), locator_of(docs).alias("locator")).join(differ, "digest", "left_semi")
     rows = written(spark, rows.select("*", F.monotonically_increasing_id().alias("seq")), f"{scratch}/met")
     by_bytes = (
         rows.groupBy("digest", "bytes")
-        .agg(F.max(F.struct("id", "seq")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
-        .select("digest", "bytes", F.col("keeper.id").alias("keep_id"), F.col("keeper.seq").alias("keep_seq"), "group_size")
+        .agg(F.max(F.struct("id", "seq", "locator")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
+        .select("digest", "bytes", F.col("keeper.id").alias("keep_id"), F.col("keeper.seq").alias("keep_seq"), "group_size", F.col("keeper.locator").alias("keep_locator"))
     )
     return outcome(same, groups, ["digest"]).unionByName(outcome(rows, by_bytes, ["digest", "bytes"]))
 

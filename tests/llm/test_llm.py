@@ -26,7 +26,7 @@ def words(n, seed):
 def docs(spark):
     a = words(120, 1)
     near = [*a[:60], "changed", *a[61:]]
-    texts = [" ".join(a), " ".join(near), " ".join(a), None, "", "   ", "Solo", "solo", " ".join(words(80, 2)), " ".join(words(3000, 3)), "same", "same"]
+    texts = [" ".join(a), " ".join(near), " ".join(a), None, "", "   ", "Solo", "solo", " ".join(words(80, 2)), " ".join(words(20_000, 3)), "same", "same"]
     rows = [(k, t, "en", "s", 1, "x", "y") for k, t in enumerate(texts)]
     rows += [(11, "same", "en", "s", 1, "x", "y"), (None, "no id", None, None, None, None, None)]
     return spark.createDataFrame(rows, DOCS)
@@ -426,3 +426,158 @@ def test_urls(spark, sf_dir):
     assert (got[4].host, got[5].path, got[6].rule, got[7].rule) == ("", "", None, "com/")
     judged = queries.op7_url_filter(spark, sf_dir)
     assert judged.count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count() and judged.where("verdict not in ('allow', 'block')").count() == 0
+
+
+def brute_ratio(urls, tables_of, order=url_filter.ORDER):
+    """Witten and Bell's models by dictionaries: {accepted: {url: weight}} to a function from url to score."""
+    models = {}
+    for accepted, own in tables_of.items():
+        counts = [{} for _ in range(order + 1)]
+        for url, weight in own.items():
+            text = "\u0001" * (order - 1) + url.lower() + "\u0002"
+            for at in range(order - 1, len(text)):
+                for k in range(1, order + 1):
+                    gram = text[at - k + 1 : at + 1]
+                    counts[k][gram] = counts[k].get(gram, 0) + weight
+        models[accepted] = counts
+
+    def p(counts, gram):
+        if not gram:
+            return 1 / 256
+        k = len(gram)
+        own = [n for g, n in counts[k].items() if g[:-1] == gram[:-1]] if k > 1 else list(counts[1].values())
+        lower = p(counts, gram[1:])
+        return (counts[k].get(gram, 0) + len(own) * lower) / (sum(own) + len(own)) if own else lower
+
+    def score(url):
+        text, total = "\u0001" * (order - 1) + url.lower() + "\u0002", 0.0
+        for at in range(order - 1, len(text)):
+            for k in range(order, 0, -1):
+                gram = text[at - k + 1 : at + 1]
+                if any(gram in m[k] for m in models.values()):
+                    total += np.log(p(models[True], gram)) - np.log(p(models[False], gram))
+                    break
+        return total / (len(text) - order + 1)
+
+    return [score(u) for u in urls]
+
+
+def test_url_models_by_brute_force(spark, empty):
+    rng = random.Random(4)
+    good = [f"https://site{k}.com/news/{rng.choice('abcdef')}{k}" for k in range(40)]
+    bad = [f"http://spam{k}.net/es/win-{rng.randrange(99)}" for k in range(40)]
+    open_ = ["https://site5.org/news/a1", "http://spam7.org/win-3", "", "no scheme", "HTTPS://Other.ORG/News"]
+    urls = [*good, *bad, *good[:3], *open_, None, open_[0]]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    pages = pages.withColumn("gram", F.lit("x")).withColumn("score", F.lit("y")).withColumn("host", F.lit(1))
+    got = {r.id: r for r in url_filter.judge(spark, pages).collect()}
+    assert len(got) == len(urls)
+    learned = {True: {}, False: {}}
+    for u in [*good, *bad, *good[:3]]:
+        if zlib.crc32(u.encode()) % url_filter.FOLDS != url_filter.HELD:
+            learned[u in good][u] = learned[u in good].get(u, 0) + 1
+    want = brute_ratio([u or "" for u in urls], learned)
+    assert all(abs(got[k].score - w) < 1e-5 for k, w in enumerate(want))
+    held = [(got[k].score, u in good, 1 + (u in good[:3])) for k, u in enumerate([*good, *bad]) if zlib.crc32(u.encode()) % url_filter.FOLDS == url_filter.HELD]
+    good_bad = [sum(w for _, g, w in held if g), sum(w for _, g, w in held if not g)]
+    bins = {k: sum(w / good_bad[not g] * (-1 if g else 1) for s, g, w in held if s < k * 0.01) for k in range(-600, 600)}
+    best = [k for k, gain in bins.items() if gain > max(bins.values()) - 1e-9]  # lost less of the good, caught more of the bad
+    for k, r in got.items():
+        if r.rule is None:
+            assert r.verdict == "allow" if r.score > best[-1] * 0.01 else r.verdict == "block" if r.score < best[0] * 0.01 else True
+    assert {r.rule for r in got.values()} == {"com/", "net/es/", None} and got[len(good)].verdict == "block" and got[0].verdict == "allow"
+    assert url_filter.judge(spark, pages.limit(0)).count() == 0
+
+
+def test_quality_classifier_end_to_end(spark):
+    """Scores equal the model's on the driver; held out, most good documents stay and most of the others go."""
+    table = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{table}/documents.parquet"), spark.read.parquet(f"{table}/labels.parquet")
+    ratings = ordinal_quality.grades_of(labels)
+    held = F.crc32(F.col("id").cast("string")) % 3 == 0
+    rated = docs.join(ratings.where(held).where("grade is not null"), docs["doc_id"] == F.col("id")).select("doc_id", "text", "grade")
+    model = ordinal_quality.fit(docs, ratings.where(~held), 3, "text", "doc_id")
+    scored = ordinal_quality.classify(spark, docs, ratings.where(~held), 3).select("doc.doc_id", "doc.text", "expected_grade", "tail_probability", "kept")
+    scored = {r.doc_id: r for r in scored.join(rated.select("doc_id"), "doc_id", "left_semi").collect()}
+    grades = {r.doc_id: r.grade for r in rated.collect()}
+    for r in list(scored.values())[:200]:
+        below = model.at_most(ordinal_quality.features(r.text or ""))
+        assert abs(r.expected_grade - (2 - below.sum())) < 1e-6 and abs(r.tail_probability - (1 - below[-1])) < 1e-6
+    stay = {g: np.mean([scored[i].kept for i, x in grades.items() if x == g]) for g in (0, 1, 2)}
+    assert stay[2] > 0.95 and stay[0] < 0.4 and stay[1] < 0.4
+
+
+def test_ratings_with_ties_and_nulls(spark, docs):
+    ratings = spark.createDataFrame([(0, 2), (0, 0), (None, 1), (3, None), (4, 1), (9, 2)], "id long, grade int")
+    got = ordinal_quality.classify(spark, docs, ratings, 3)
+    assert got.count() == docs.count() and got.select("doc.*").columns == docs.columns
+    assert got.where("tail_probability is null or expected_grade not between 0 and 2").count() == 0
+
+
+def test_language_of_repeated_rows_and_clashing_columns(spark, docs):
+    rows = docs.withColumn("body", F.lit(1)).withColumn("lang_pred", F.lit("x")).withColumn("score", F.lit("y"))
+    got = language_id.identify(spark, rows, language_id.learn(rows)).collect()
+    assert len(got) == docs.count() and len({(r.lang_pred, r.score) for r in got if r.id == 11}) == 1
+
+
+def test_pieces_of_repeated_rows(spark):
+    rows = spark.createDataFrame([(11, "same"), (11, "same"), (None, "same")], "doc_id long, text string")
+    got = packing.pack(spark, rows, WORD_BPE).collect()
+    assert len(got) == 3 and len({(r.sequence_id, r.offset) for r in got}) == 3 and len({r.ids_crc32 for r in got}) == 1
+
+
+def test_pipeline(spark, sf_dir):
+    """Every stage on what the one before kept, against brute force where there is one."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
+    kept = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        kept.append(stage(spark, kept[-1], sf_dir).cache())
+        if name != "packing":
+            assert kept[-1].columns == docs.columns and kept[-1].exceptAll(kept[-2]).count() == 0
+    rules, graded, single, apart, packed = kept[1:]
+    base = {r.doc_id for r in docs.collect() if len((r.text or "").encode().split()) >= 50}
+    assert {r.doc_id for r in rules.collect()} <= base
+    texts = {}
+    for r in graded.collect():
+        texts.setdefault(r.text or "", []).append(r.doc_id)
+    assert {r.doc_id for r in single.collect()} == {max(x) for x in texts.values()}
+    rows = [(r.doc_id, r.text) for r in single.collect()]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows if (w := (t or "").encode().translate(near_dedup._UPPER).split())}
+    up = {i: i for i, _ in rows}
+    top = lambda i: i if up[i] == i else top(up[i])
+    for a, b in itertools.combinations(sets, 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((top(a), top(b)))
+            up[y] = x
+    assert {r.doc_id for r in apart.collect()} == {i for i in up if top(i) == i}
+    total = {}
+    for r in packed.collect():
+        total[r.doc_id] = total.get(r.doc_id, 0) + r.length
+        assert 0 < r.length and r.offset + r.length <= 2048
+    ids = packing.WordIds(WORD_BPE)
+    assert total == {r.doc_id: len(ids.packed([r.text or ""])[0]) // 4 + 1 for r in apart.collect()}
+    assert corpus_pipeline.run(spark, sf_dir).count() == packed.count()
+
+
+def test_locators_lead_to_the_texts(spark, tmp_path):
+    rows = [(k, t) for k, t in enumerate(["twin", "alone", "twin", None, "", "twin"])]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    found = exact_dedup.decisions(spark, docs).where("group_size > 1")
+    got = exact_dedup.contents(spark, found.select("id", "digest", F.col("keep_locator").alias("locator")).distinct()).collect()
+    assert {(r.id, r.content) for r in got} == {(0, "twin"), (2, "twin"), (5, "twin"), (3, ""), (4, "")}
+    assert all(hashlib.sha256(r.content.encode()).hexdigest() == r.digest for r in got)
+    other = exact_dedup.decisions(spark, docs.join(docs.select("doc_id").distinct(), "doc_id"))  # not read from one source
+    assert {r.id for r in other.collect() if r.kept} == {1, 4, 5}
+
+
+def test_columns_of_the_streaming_state(spark, tmp_path):
+    """The names by which run_stream() reads the state are Spark's own."""
+    log = spark.createDataFrame([(1, "a", 0, ("f", 0)), (2, "a", 1, ("f", 1))], "id long, digest string, seq long, locator struct<file:string,row:long>")
+    log.write.parquet(f"{tmp_path}/log")
+    state = exact_dedup.run_stream(spark, f"{tmp_path}/log", log.schema, f"{tmp_path}/state").collect()
+    assert [(r.digest, r.keeper.id, r.keeper.locator.row, r.group_size) for r in state] == [("a", 2, 1, 2)]
+    log.withColumn("id", F.lit(9).cast("long")).write.mode("append").parquet(f"{tmp_path}/log")  # a later run goes on from there
+    state = exact_dedup.run_stream(spark, f"{tmp_path}/log", log.schema, f"{tmp_path}/state").collect()
+    assert [(r.digest, r.keeper.id, r.group_size) for r in state] == [("a", 9, 4)]
