@@ -31,6 +31,8 @@ REMEMBERED = 900_000
 #: A full stop or comma between an ASCII letter and white space: a pre-token of its own, so it can stand alone.
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \t-\r]|\Z)")
 _MARK = regex.compile(r"\p{M}")
+#: By the format, the tokens that end a word end so.
+WORD_END = "</w>"
 #: Chunks of more bytes are not remembered.
 LONGEST_REMEMBERED = 64
 #: Pieces in one task when they are ranked.
@@ -52,6 +54,9 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.seen: dict[bytes, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
 
     @staticmethod
     def chunks(text: str) -> list[bytes]:
@@ -60,6 +65,28 @@ class WordIds:
             return data.split()
         return _STOP.sub(rb" \1", data.lower()).split()
 
+    def _learn(self, new: list[bytes]) -> None:
+        """Encodes chunks. A chunk of letters is one word, whose last id alone ends one; so many are encoded as one text."""
+        single, groups, letters = [], [], []
+        for c in new:
+            x = c.decode()
+            (letters if x.isalpha() else single).append((c, x))
+        for start in range(0, len(letters), 256):
+            groups.append(letters[start : start + 256])
+        found = self.tokenizer.encode_batch_fast([" ".join(x for _, x in g) for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, found, strict=True):
+            ids = np.array(e.ids, "<u4")
+            edges = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(edges) != len(group):  # some letter falls apart when it is lower-cased
+                single += group
+                continue
+            raw = ids.tobytes()
+            self.seen.update((c, raw[a:b]) for (c, _), a, b in zip(group, [0, *edges], edges, strict=False))
+        for start in range(0, len(single), 4096):
+            part = single[start : start + 4096]
+            found = self.tokenizer.encode_batch_fast([x for _, x in part], add_special_tokens=False)
+            self.seen.update((c, np.array(e.ids, "<u4").tobytes()) for (c, _), e in zip(part, found, strict=True))
+
     def packed(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         chunks = [self.chunks(x) for x in texts]
@@ -67,10 +94,7 @@ class WordIds:
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
         new = list(new.difference(self.seen))
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
-            found = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
-            self.seen.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, found, strict=True))
+        self._learn(new)
         get = self.seen.__getitem__
         out = [b"".join(map(get, c)) for c in chunks]
         for c in new:
