@@ -1,4 +1,4 @@
-"""State labels and economic impact as Column expressions in layers: exposures, terms, effects; no user functions."""
+"""State labels and economic impact as Column expressions in layers: exposures, effects, bounds; no user functions."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from rippleframe.operators.catalog import MECHANISMS, STATES, WEIGHTS, Mechanism
 
-#: Terms are computed once, in columns of their own: the k-th term of every mechanism is in the k-th of them.
-TERMS = [f"_term{k}" for k in range(max(len(m.terms) for m in MECHANISMS))]
 EXPOSURES = {
     "_sign": "CASE direction WHEN 'increase' THEN 1.0e0 WHEN 'decrease' THEN -1.0e0 END",
     "_inventory": "1 - inventory_buffer * exp(-horizon_days / 90.0e0)",
@@ -20,15 +18,18 @@ EXPOSURES = {
 _NAMES = {"sign": "_sign", "inventory_exposure": "_inventory", "liquidity_exposure": "_liquidity", "residual_exposure": "_residual"}
 
 
-def _filled(text: str, m: Mechanism) -> str:
-    names = _NAMES | dict(zip(m.terms, TERMS, strict=False))
+def _filled(text: str, names: dict[str, str]) -> str:
     text = re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", text)  # doubles, not decimals
     return re.sub(r"\b[a-z_]+\b", lambda x: names.get(x[0], x[0]), text)
 
 
-def _by_mechanism(made: dict[str, str], other: str) -> Column:
-    cases = " ".join(f"WHEN '{name}' THEN CAST({text} AS DOUBLE)" for name, text in made.items())
-    return F.expr(f"CASE mechanism {cases} ELSE {other} END") if made else F.expr(other)
+def effects_sql(m: Mechanism) -> str:
+    """A struct of the effects of one mechanism on all states, before they are bounded; null if a needed factor is."""
+    names = dict(_NAMES)
+    for term, text in m.terms.items():
+        names[term] = f"({_filled(text, names)})"
+    made = ", ".join(f"'{s}', CAST({_filled(m.effects[s], names) if s in m.effects else '0.0e0'} AS DOUBLE)" for s in STATES)
+    return f"CASE WHEN {' AND '.join(f'{f} IS NOT NULL' for f in m.factors)} THEN named_struct({made}) END"
 
 
 def bounded(x: Column) -> Column:
@@ -50,17 +51,11 @@ def with_effects(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     and the factors. It is 0 for a state that the mechanism does not affect. All are null if the mechanism or direction is
     unknown, or a factor that the mechanism needs."""
     rows = rows.withColumns({k: F.expr(v) for k, v in EXPOSURES.items()})
-    for k, column in enumerate(TERMS):
-        made = {m.name: _filled(list(m.terms.values())[k], m) for m in MECHANISMS if len(m.terms) > k}
-        rows = rows.withColumn(column, _by_mechanism(made, "CAST(NULL AS DOUBLE)"))
-    known = F.lit(False)
-    for m in MECHANISMS:
-        known = F.when(F.col("mechanism") == m.name, F.expr(" AND ".join(f"{f} IS NOT NULL" for f in m.factors))).otherwise(known)
-    raw = [_by_mechanism({m.name: _filled(m.effects[s], m) for m in MECHANISMS if s in m.effects}, "0.0e0").alias(s) for s in STATES]
+    raw = F.expr("CASE mechanism " + " ".join(f"WHEN '{m.name}' THEN {effects_sql(m)}" for m in MECHANISMS) + " END")
     # The effects come out of a generator: a filter on a label stays above it and does not copy all formulas.
-    effects = F.array(F.when(known & F.col("_sign").isNotNull(), F.struct(*raw)))
-    rows = rows.withColumn("_raw", F.explode_outer(effects)).withColumns({names[s]: bounded(F.col("_raw")[s]) for s in STATES})
-    return rows.drop(*EXPOSURES, *TERMS, "_raw")
+    # A row evaluates the formulas of its own mechanism only.
+    rows = rows.withColumn("_raw", F.explode_outer(F.array(F.when(F.col("_sign").isNotNull(), raw)))).withColumns({names[s]: bounded(F.col("_raw")[s]) for s in STATES})
+    return rows.drop(*EXPOSURES, "_raw")
 
 
 def labelled(rows: DataFrame) -> DataFrame:
