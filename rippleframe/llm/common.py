@@ -64,3 +64,23 @@ def by_slice(work: Callable[[pa.RecordBatch], pa.RecordBatch], keeps: tuple | No
             yield work(part)
 
     return run
+
+
+#: Rows of one key from which its partner is broadcast, and how many such keys there are at most.
+HOT_ROWS, HOT_KEYS = 20_000, 50_000
+
+
+def split_join(spark: SparkSession, many: DataFrame, one: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Inner or left join of a frame that is cheap to read again with one that has a row per key, where some keys may have a
+    large part of the rows.
+
+    Keys of over max(HOT_ROWS, rows / HOT_KEYS) rows, less than HOT_KEYS by that, have their partners broadcast; all others
+    meet in a shuffle, where no key has more rows than that."""
+    counts = many.groupBy(*on).agg(F.count(F.lit(1)).alias("rows_of_key"))
+    most = max(HOT_ROWS, (many.count() // HOT_KEYS) + 1)
+    hot = counts.where(F.col("rows_of_key") > most).select(*on)
+    if hot.isEmpty():
+        return many.join(one, on, how)
+    hot = F.broadcast(hot)
+    found = many.join(hot, on, "left_semi").join(F.broadcast(one.join(hot, on, "left_semi")), on, how)
+    return found.unionByName(many.join(hot, on, "left_anti").join(one, on, how))

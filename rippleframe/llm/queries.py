@@ -6,7 +6,7 @@ import importlib.util
 
 from pyspark.sql import functions as F
 
-from rippleframe.llm import bpe, exact_dedup, language_id, license_scan, near_dedup, ordinal_quality, packing, quality_rules, quote_links, url_filter
+from rippleframe.llm import bpe, collocations, exact_dedup, language_id, license_scan, near_dedup, ordinal_quality, packing, quality_rules, quote_links, repair, token_counts, url_filter
 from rippleframe.llm.common import table
 
 #: Folder of public tokenizer files; the package public_tokenizers names it where it is installed.
@@ -164,6 +164,83 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM d
 """
 
+
+def op11_token_counts(spark, sf_dir):
+    """Tokens of all documents, from the pieces of their distinct pre-tokens."""
+    found = token_counts.count(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op12_collocations(spark, sf_dir):
+    """The first 2000 phrases of two or three words of each language, over all documents."""
+    return collocations.mine(spark, table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 4) r(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
+u AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT u.lang, u.phrase, a, cut, x.f AS l, y.f AS r, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+      FROM u JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(ws[1:cut], ' ') JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(ws[cut + 1:], ' ')),
+b AS (SELECT lang, phrase, a, arg_min(l, (score, cut)) AS l, arg_min(r, (score, cut)) AS r, min(score) AS score FROM s GROUP BY ALL),
+i AS (SELECT lang, array_to_string(ws[j:j + 1], ' ') AS phrase, max(a) AS longer FROM c, range(1, 3) r(j) WHERE k = 3 GROUP BY ALL),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE 100 * coalesce(longer, 0) < 50 * a)
+SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+"""
+
+
+def _op13(spark, conversations):
+    found = repair.repair(spark, repair.damage(conversations))
+    told = found.conversations.join(repair.digests(found.messages), "key")
+    ids = conversations.select("conv_id").distinct().withColumn("key", repair.key_of(F.col("conv_id"))).join(told, "key", "left")
+    zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return ids.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_structure_repair(spark, sf_dir):
+    """Damaged copies of all conversations, repaired by their cheapest edits."""
+    return _op13(spark, table(spark, sf_dir, "conversations"))
+
+
+#: A dynamic program over rows and states; the crc is taken bit by bit.
+OP13_SQL = r"""
+WITH RECURSIVE k AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS id FROM conversations),
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(CAST(4294967295 AS BIGINT), list_reduce(
+        list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(id) + 1), lambda i: CAST(ascii(substr(id, i, 1)) AS BIGINT))),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, j: xor(x >> 1, CASE WHEN x & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE CAST(0 AS BIGINT) END)))) % 20 AS kind FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(CAST(octet_length(encode(role)) AS VARCHAR) || ':' || role || text)) AS i FROM d),
+q AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+        NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS open, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair FROM o),
+r AS (SELECT *, blank OR again AS must, CASE WHEN open THEN 5 ELSE 0 END AS extra FROM q),
+e(s, t, ins, added) AS (VALUES (0, 0, '', CAST([] AS VARCHAR[])), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []), (0, 2, 'I', ['user:']), (1, 2, 'I', ['user:']), (3, 2, 'I', ['user:']),
+        (2, 3, 'I', ['assistant:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 3, 'II', ['user:', 'assistant:'])),
+x(t, letter, initial, z, cost, role) AS (VALUES (0, 'D', '', 0, 2, ''), (1, 'D', '', 1, 2, ''), (2, 'D', '', 2, 2, ''), (3, 'D', '', 3, 2, ''),
+        (0, 'K', 's', 1, 0, ''), (0, 'K', 'u', 2, 0, ''), (1, 'K', 'u', 2, 0, ''), (2, 'K', 'a', 3, 0, ''), (3, 'K', 'u', 2, 0, ''),
+        (0, 'R', 'u', 2, 1, 'user'), (1, 'R', 'u', 2, 1, 'user'), (2, 'R', 'a', 3, 1, 'assistant'), (3, 'R', 'u', 2, 1, 'user')),
+v AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS s, CAST(0 AS BIGINT) AS c, '' AS a, CAST([] AS VARCHAR[]) AS lines FROM conversations
+  UNION ALL
+  SELECT conv_id, i, s, min(c), arg_min(a, (c, a)), arg_min(lines, (c, a)) FROM (
+    SELECT v.conv_id, r.i, x.z AS s, v.c + 5 * length(ins) + x.cost + CASE WHEN letter = 'D' THEN 0 ELSE extra END AS c, a || ins || letter AS a,
+      list_concat(list_concat(lines, added), CASE letter WHEN 'D' THEN [] WHEN 'K' THEN [r.role || ':' || text] ELSE [x.role || ':' || text] END) AS lines
+    FROM v JOIN e ON e.s = v.s JOIN r ON r.conv_id IS NOT DISTINCT FROM v.conv_id AND r.i = v.i + 1
+    JOIN x ON x.t = e.t AND (letter = 'D' OR NOT must AND (letter = 'R' OR initial = substr(r.role, 1, 1)))) GROUP BY conv_id, i, s),
+z AS (SELECT v.conv_id, v.i, v.c + 5 * length(ins) AS c, a || ins AS a, list_concat(lines, added) AS lines FROM v JOIN e ON e.s = v.s AND e.t IN (0, 3)),
+f AS (SELECT conv_id, max(i) AS i FROM v GROUP BY conv_id),
+b AS (SELECT z.conv_id, min(c) AS cost, arg_min(a, (c, a)) AS audit, arg_min(lines, (c, a)) AS lines FROM z JOIN f ON f.conv_id IS NOT DISTINCT FROM z.conv_id AND f.i = z.i GROUP BY z.conv_id),
+n AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+        count(*) FILTER (open AND NOT must) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       cost, audit, sha256(array_to_string(lines, chr(10))) AS repaired_sha256 FROM b LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
 def pipeline(spark, sf_dir):
     """The whole corpus pipeline."""
     import corpus_pipeline
@@ -182,7 +259,10 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_token_counts": op11_token_counts,
+    "op12_collocations": op12_collocations,
+    "op13_structure_repair": op13_structure_repair,
 }
 if importlib.util.find_spec("corpus_pipeline"):
     QUERIES["pipeline"] = pipeline
-ORACLES = {"op1_minhash_dedup": OP1_SQL, "op4_quote_links": OP4_SQL, "op5_license_scan": _op5_sql(), "op10_exact_dedup": OP10_SQL}
+ORACLES = {"op1_minhash_dedup": OP1_SQL, "op4_quote_links": OP4_SQL, "op5_license_scan": _op5_sql(), "op10_exact_dedup": OP10_SQL, "op12_collocations": OP12_SQL, "op13_structure_repair": OP13_SQL}
