@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,58 +32,77 @@ def mask(x: Column, identity: Column, marker: str = "[CASE_ENTITY]") -> Column:
     return F.when(identity.isNull() | (identity == ""), x).otherwise(F.regexp_replace(x, pattern, F.lit(marker)))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """An expression that uses a value many times and computes it once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _mantissa(digits: Column) -> Column:
     """Digits with a point after the first, without trailing zeros."""
     return F.regexp_replace(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 20)), r"\.?0*$", "")
 
 
+def _exponent(power: Column) -> Column:
+    digits = F.abs(power).cast("string")
+    return F.concat(F.when(power < 0, "e-").otherwise("e+"), F.when(F.abs(power) < 10, F.concat(F.lit("0"), digits)).otherwise(digits))
+
+
 def _sign(x: Column) -> Column:
     return F.when(F.startswith(x.cast("string"), F.lit("-")), "-").otherwise("")
 
 
 def general(x: Column) -> Column:
     """Six significant digits without trailing zeros, with an exponent of two digits below 0.0001 and from a million on."""
-    a = F.abs(x)
-    scientific = F.format_string("%.5e", a)
-    power = F.substring_index(scientific, "e", -1).cast("int")
-    exponent = F.concat(F.when(power < 0, "e-").otherwise("e+"), _two_digits(power))
-    scale = F.pow(F.lit(10.0), F.lit(5) - power)
-    plain = F.regexp_replace((F.rint(a * scale) / scale).cast("decimal(38,12)").cast("string"), r"\.?0*$", "")
-    text = F.when(a == 0, "0").when((power < -4) | (power >= 6), F.concat(_mantissa(F.regexp_replace(F.substring_index(scientific, "e", 1), r"\.", "")), exponent)).otherwise(plain)
-    short = x.cast("string")  # of up to six digits
+    a, short = F.abs(x), x.cast("string")
+
+    def written(scientific: Column) -> Column:
+        power = F.substring_index(scientific, "e", -1).cast("int")
+        scale = F.pow(F.lit(10.0), F.lit(5) - power)
+        plain = F.regexp_replace((F.rint(a * scale) / scale).cast("decimal(38,12)").cast("string"), r"\.?0*$", "")
+        return F.when((power < -4) | (power >= 6), F.concat(_mantissa(F.regexp_replace(F.substring_index(scientific, "e", 1), r"\.", "")), _exponent(power))).otherwise(plain)
+
+    text = F.when(a == 0, "0").otherwise(let(F.format_string("%.5e", a), written))
+    # Most numbers have up to six digits as they are.
     return F.when((a >= 1e-3) & (a < 1e6) & (F.length(short) <= 7), F.regexp_replace(short, r"\.0$", "")).otherwise(F.concat(_sign(x), text))
 
 
-def _two_digits(power: Column) -> Column:
-    return F.when(F.abs(power) < 10, F.concat(F.lit("0"), F.abs(power).cast("string"))).otherwise(F.abs(power).cast("string"))
+def _shortest(a: Column, text: Column) -> Column:
+    """The runtime has two digits at least and may have more than it needs; the shortest form that is the same number counts."""
+
+    def same(n: int) -> Column:
+        def form(tried: Column) -> Column:
+            digits = _mantissa(F.regexp_replace(F.substring_index(tried, "e", 1), r"\.", ""))
+            scientific = F.concat(digits, F.lit("E"), F.substring_index(tried, "e", -1).cast("int").cast("string"))
+            return F.when(tried.cast("double") == a, F.when(F.contains(text, F.lit("E")), scientific).otherwise(text))
 
+        return let(F.format_string(f"%.{n}e", a), form)
 
-def _exponent_form(tried: Column, text: Column) -> Column:
-    """A number in scientific form as the runtime writes it; plain numbers stay as they are."""
-    digits = _mantissa(F.regexp_replace(F.substring_index(tried, "e", 1), r"\.", ""))
-    return F.when(F.contains(text, F.lit("E")), F.concat(digits, F.lit("E"), F.substring_index(tried, "e", -1).cast("int").cast("string"))).otherwise(text)
+    return F.coalesce(*map(same, (0, 14, 15, 16)), text)
 
 
 def python_float(x: Column) -> Column:
-    """A finite double as Python's str() has it: its shortest digits, with an exponent from 1e16 on and below 0.0001."""
-    a = F.abs(x)
-    text = a.cast("string")
-    # The runtime has two digits at least and may have more than it needs; the shortest form that is the same number counts.
-    shorter = F.lit(None).cast("string")
-    for n in (16, 15, 14, 0):
-        tried = F.format_string(f"%.{n}e", a)
-        shorter = F.when(tried.cast("double") == a, _exponent_form(tried, text)).otherwise(shorter)
-    text = F.coalesce(shorter, text)
-    digits = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
-    power = F.substring_index(text, "E", -1).cast("int")
-    exponent = F.concat(F.when(power < 0, "e-").otherwise("e+"), _two_digits(power))
-    places = F.regexp_replace(digits, r"\.", "")
-    shift = power + 1 - F.length(places)  # zeros behind the digits
-    large = F.when(shift >= 0, F.concat(places, F.repeat(F.lit("0"), shift), F.lit(".0"))).otherwise(F.concat(F.substring(places, F.lit(1), power + 1), F.lit("."), F.substring(places, power + 2, F.lit(30))))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), places)
-    moved = F.when((power >= 16) | (power < -4), F.concat(digits, exponent)).when(power >= 0, large).otherwise(small)
-    short = x.cast("string")
-    return F.when((F.length(short) < 16) & ~F.contains(short, F.lit("E")), short).otherwise(F.concat(_sign(x), F.when(F.contains(text, F.lit("E")), moved).otherwise(text)))
+    """A finite double as Python's str() has it: its shortest digits, with an exponent from 1e16 on and below 0.0001. Of two
+    shortest forms above 1e17 it may not be the nearer one."""
+
+    def moved(parts: Column) -> Column:
+        digits, power = parts["digits"], parts["power"]
+        places = F.regexp_replace(digits, r"\.", "")
+        shift = power + 1 - F.length(places)  # zeros behind the digits
+        large = F.when(shift >= 0, F.concat(places, F.repeat(F.lit("0"), shift), F.lit(".0")))
+        large = large.otherwise(F.concat(F.substring(places, F.lit(1), power + 1), F.lit("."), F.substring(places, power + 2, F.lit(30))))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), places)
+        return F.when((power >= 16) | (power < -4), F.concat(digits, _exponent(power))).when(power >= 0, large).otherwise(small)
+
+    def written(text: Column) -> Column:
+        digits = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+        parts = F.struct(digits.alias("digits"), F.substring_index(text, "E", -1).cast("int").alias("power"))
+        return F.when(F.contains(text, F.lit("E")), let(parts, moved)).otherwise(text)
+
+    def any_form(short: Column) -> Column:
+        full = let(_shortest(F.abs(x), F.abs(x).cast("string")), written)
+        return F.when((F.length(short) < 16) & ~F.contains(short, F.lit("E")), short).otherwise(F.concat(F.when(F.startswith(short, F.lit("-")), "-").otherwise(""), full))
+
+    return let(x.cast("string"), any_form)
 
 
 def ordinal_id(prefix: str, width: int, x: Column) -> Column:

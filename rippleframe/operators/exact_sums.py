@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -49,10 +49,10 @@ def rounded_sum(limbs: list[tuple[int, int]], nans: int, ups: int, downs: int) -
         return math.copysign(math.inf, total)
 
 
-@F.pandas_udf(DoubleType())
-def _rounded(limbs: pd.Series, nans: pd.Series, ups: pd.Series, downs: pd.Series) -> pd.Series:
-    rows = zip(limbs, nans, ups, downs, strict=True)
-    return pd.Series([rounded_sum([(x["limb"], x["part"]) for x in own], *rest) for own, *rest in rows], dtype="float64")
+@F.arrow_udf(DoubleType())
+def _rounded(limbs: pa.Array, nans: pa.Array, ups: pa.Array, downs: pa.Array) -> pa.Array:
+    rows = zip(*(c.to_pylist() for c in (limbs, nans, ups, downs)), strict=True)
+    return pa.array([rounded_sum([(x["limb"], x["part"]) for x in own], *rest) for own, *rest in rows], pa.float64())
 
 
 def exact_sums(rows: DataFrame, keys: list[str], **columns: Column) -> DataFrame:

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rippleframe.operators import bundles, exact_sums, ordered_digest
+from rippleframe.operators.catalog import FACTORS
+from rippleframe.operators.records import base_records, shaped
 from rippleframe.plans import oracle_parts as O
 from rippleframe.plans.catalog_of_queries import query, table
+from rippleframe.sources import canonical, lines
+from rippleframe.sources.scratch import shared_dir
 
 _PRICE = "CASE WHEN l_linenumber % 2 = 0 THEN -1.0e0 ELSE 1.0e0 END * (l_extendedprice * (1.0e0 - l_discount))"
 
@@ -124,3 +128,75 @@ def bundle_violations(spark, sf_dir):
         .when(kind == 11, e.withField("subject_ids", F.array().cast("array<string>"))).when(kind == 12, e.withField("subject_ids", F.array(F.lit("shop:a"), F.lit("Shop:A"))))
         .when(kind == 16, e.withField("observed_at", e["observed_at"] - F.expr("INTERVAL 1 SECOND"))).when(kind == 17, evidence(e, published_at=e["observed_at"] + F.expr("INTERVAL 90 DAYS"))).otherwise(e),
     }))
+
+
+_SPLIT = ["train", "train", "validation", "test_iid", "test_hard_ood"]
+_CONTEXT = " || ".join(f"CASE WHEN {f} IS NULL THEN '' ELSE ',\"{f}\":' || CAST(round({f}, 6) AS VARCHAR) END" for f in sorted(FACTORS))
+_CANONICAL = f"""l AS (SELECT id, {_SPLIT}[(CAST(substr(id, 6) AS BIGINT) - 1) % 5 + 1] AS split, '{{"confidence":0.9,"context":{{' || substr({_CONTEXT}, 2) || '}},"event":{{"direction":"' || direction || '","magnitude":' || CAST(magnitude AS VARCHAR)
+  || ',"mechanism":"' || mechanism || '","subject":"' || subject || '","subject_class":"' || subject_class || '"}},"horizon_days":' || horizon_days || ',"id":"' || id
+  || '","metadata":{{"generator_version":"events-adapter-v1","seed":42,"source":"synthetic"}},"target":{{"entity_id":"' || entity_id || '"}}}}' AS line FROM rec)"""
+
+
+def _canonical(spark, sf_dir) -> DataFrame:
+    """id, split and canonical line of base records without labels; the factors have six decimals, which both engines have."""
+    rows = base_records(spark, sf_dir).withColumns({f: F.round(f, 6) for f in FACTORS})
+    rows = shaped(rows).select("id", "event", "target", "context", "horizon_days", "confidence", "metadata")
+    turn = (F.pmod(F.substring("id", 6, 20).cast("long") - 1, F.lit(5)) + 1).cast("int")
+    return rows.select("id", F.element_at(F.array(*map(F.lit, _SPLIT)), turn).alias("split"), canonical.canonical_lines(rows).alias("line"))
+
+
+@query(O.with_parts("SELECT id, split, line FROM l", O.base(), _CANONICAL))
+def canonical_records(spark, sf_dir):
+    """Canonical JSON of every base record."""
+    return _canonical(spark, sf_dir)
+
+
+@query(O.with_parts("SELECT split, count(*) AS examples, CAST(sum(octet_length(encode(line)) + 1) AS BIGINT) AS bytes, min(id) AS first_id, max(id) AS last_id FROM l GROUP BY split", O.base(), _CANONICAL))
+def canonical_files(spark, sf_dir):
+    """Published canonical files, read again: examples, bytes on disk and ids by split."""
+    rows, path = _canonical(spark, sf_dir), f"{shared_dir(spark)}/canonical"
+    canonical.publish(spark, rows, path, seed=42)
+    kept, _ = canonical.load(spark, path, shaped(base_records(spark, sf_dir)).select("id").schema)
+    ids = kept.groupBy("split").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return canonical.listed(spark, path).groupBy("split").agg(F.sum("examples").alias("examples"), F.sum("bytes").alias("bytes")).join(ids, "split")
+
+
+@query(O.with_parts(
+    """SELECT split, CASE split WHEN 'train' THEN 'short' WHEN 'validation' THEN 'extra' WHEN 'test_iid' THEN 'altered' ELSE 'long' END AS problem,
+CAST(sum(CASE split WHEN 'train' THEN 2 WHEN 'test_iid' THEN 1 ELSE 0 END) AS BIGINT) AS expected, count(*) AS present FROM l GROUP BY split
+UNION ALL SELECT 'test_concept_ood', 'missing', count(*), 0 FROM l WHERE split = 'train'""",
+    O.base(), _CANONICAL,
+))
+def manifest_disagreements(spark, sf_dir):
+    """Published files against a list that tells every file otherwise: examples by split and kind of disagreement."""
+    path = f"{shared_dir(spark)}/canonical"
+    canonical.publish(spark, _canonical(spark, sf_dir), path, seed=42)
+    told, split = canonical.listed(spark, path), F.col("split")
+    changed = told.where(split != "validation").withColumn("examples", F.when(split == "train", F.col("examples") * 2).when(split == "test_hard_ood", 0).otherwise(F.col("examples")))
+    changed = changed.withColumn("sha256", F.when(split == "test_iid", F.reverse("sha256")).otherwise(F.col("sha256")))
+    gone = told.where(split == "train").withColumns({"split": F.lit("test_concept_ood")})
+    rows = canonical.disagreements(changed.unionByName(gone), canonical.found(spark, path))
+    return rows.groupBy("split", "problem").agg(F.sum("expected").alias("expected"), F.sum("present").alias("present"))
+
+
+#: What a line of each kind is found to be; kinds go by the record's number modulo 40.
+_FAULTS = {1: "not a JSON object", 2: "record: unknown keys; record: missing keys; wrong type", 3: "wrong type", 4: "blank line; not a JSON object; record: not an object; event.: not an object; target.: not an object; context.: not an object; state_delta.: not an object; metadata.: not an object; wrong type", 5: "not a JSON object"}
+
+
+@query(f"""SELECT event_id // 5000 AS part, event_id % 5000 + 1 AS line, CASE event_id % 40 {' '.join(f"WHEN {k} THEN '{v}'" for k, v in _FAULTS.items())} ELSE 'economic_impact_mismatch' END AS problems
+FROM events WHERE event_id % 40 BETWEEN 1 AND 6""")
+def jsonl_bad_lines(spark, sf_dir):
+    """Files of 5,000 records in order, some of which are broken in one of six ways: the bad lines by file and number."""
+    number = F.substring("id", 6, 20).cast("long") - 1
+    rows = base_records(spark, sf_dir)
+    impact = F.col("economic_impact")
+    rows = rows.withColumn("economic_impact", F.when(F.pmod(number, F.lit(40)) == 6, F.when(impact > 0, impact - 0.5).otherwise(impact + 0.5)).otherwise(impact))
+    rows = shaped(rows).select("id", F.to_json(F.struct(*shaped(rows).columns)).alias("line"))
+    turn, line = F.pmod(number, F.lit(40)), F.col("line")
+    line = F.when(turn == 1, F.concat(F.lit('{"id":"again",'), F.substring("line", 2, 1 << 30))).when(turn == 2, F.regexp_replace("line", '"horizon_days":', '"horizon":'))
+    line = line.when(turn == 3, F.regexp_replace("line", '"horizon_days":(\\d+)', '"horizon_days":"$1"')).when(turn == 4, F.lit("  ")).when(turn == 5, F.concat("line", F.lit(" trailing"))).otherwise(F.col("line"))
+    path = f"{shared_dir(spark)}/lines"
+    files = rows.select(number.alias("k"), F.expr("(CAST(substring(id, 6, 20) AS BIGINT) - 1) div 5000").alias("part"), line.alias("value")).repartition("part").sortWithinPartitions("part", "k")
+    files.select("value", "part").write.partitionBy("part").text(path)
+    bad = lines.bad_lines(spark, f"{path}/part=*")
+    return bad.select(F.regexp_extract("file", "/part=(\\d+)/", 1).cast("long").alias("part"), "line", F.array_join("problems", "; ").alias("problems"))

@@ -60,7 +60,7 @@ def _problems(schema: StructType, source: Column, prefix: str = "") -> list[Colu
 
 
 def strict(lines: DataFrame, schema: StructType = RECORD) -> DataFrame:
-    """lines (value) to value, record, problems. Rejects blank lines, what is no JSON (duplicate keys, NaN, text after the
+    """lines (value, others) to those, record and problems. Rejects blank lines, what is no JSON (duplicate keys, NaN, text after the
     object), unknown and missing keys, and values of another type. Row by row."""
     text = F.col("value")
     parsed = F.try_parse_json(text)
@@ -73,7 +73,7 @@ def strict(lines: DataFrame, schema: StructType = RECORD) -> DataFrame:
         *_problems(schema, text),
         F.when(~F.coalesce(same_type, F.lit(False)), F.lit("wrong type")),
     ]
-    return lines.select("value", record.alias("record"), F.filter(F.array(*found), lambda x: x.isNotNull()).alias("problems"))
+    return lines.select("*", record.alias("record"), F.filter(F.array(*found), lambda x: x.isNotNull()).alias("problems"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType = RECORD) -> DataFrame:
