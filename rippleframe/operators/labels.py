@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rippleframe.functions.exprs import let
 from rippleframe.operators.catalog import MECHANISMS, STATES, WEIGHTS, Mechanism
 
 EXPOSURES = {
@@ -46,25 +47,29 @@ def impact(states: dict[str, Column] | None = None) -> Column:
     return bounded(total)
 
 
-def with_effects(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+def with_effects(rows: DataFrame, names: dict[str, str], barrier: bool = False) -> DataFrame:
     """Adds the bounded effect on each state, named by `names`, to rows with mechanism, direction, magnitude, horizon_days
     and the factors. It is 0 for a state that the mechanism does not affect. All are null if the mechanism or direction is
-    unknown, or a factor that the mechanism needs."""
+    unknown, or a factor that the mechanism needs.
+
+    barrier: the effects come out of a generator, so that a filter on them stays above and does not copy all formulas. A
+    generator can't be pruned, though; without one, a reader of other columns evaluates no formula."""
     rows = rows.withColumns({k: F.expr(v) for k, v in EXPOSURES.items()})
     raw = F.expr("CASE mechanism " + " ".join(f"WHEN '{m.name}' THEN {effects_sql(m)}" for m in MECHANISMS) + " END")
-    # The effects come out of a generator: a filter on a label stays above it and does not copy all formulas.
-    # A row evaluates the formulas of its own mechanism only.
-    rows = rows.withColumn("_raw", F.explode_outer(F.array(F.when(F.col("_sign").isNotNull(), raw)))).withColumns({names[s]: bounded(F.col("_raw")[s]) for s in STATES})
+    raw = F.when(F.col("_sign").isNotNull(), raw)  # a row evaluates the formulas of its own mechanism only
+    # The formulas of all mechanisms in one generated method would be too long to be compiled. Inside of let() they are
+    # evaluated as a tree, a branch of it for each row, and the stage's method stays short.
+    rows = rows.withColumn("_raw", F.explode_outer(F.array(raw)) if barrier else let(F.lit(0), lambda _: raw)).withColumns({names[s]: bounded(F.col("_raw")[s]) for s in STATES})
     return rows.drop(*EXPOSURES, "_raw")
 
 
-def labelled(rows: DataFrame) -> DataFrame:
+def labelled(rows: DataFrame, barrier: bool = False) -> DataFrame:
     """Adds the six state fields and economic_impact. They are null where with_effects() says so."""
-    return with_effects(rows, {s: s for s in STATES}).withColumn("economic_impact", impact())
+    return with_effects(rows, {s: s for s in STATES}, barrier).withColumn("economic_impact", impact())
 
 
 def require_labels(rows: DataFrame) -> DataFrame:
     """labelled(), but a record whose labels cannot be computed fails the job."""
-    out = labelled(rows)
+    out = labelled(rows, barrier=True)
     known = F.when(F.col("economic_impact").isNotNull(), True).otherwise(F.raise_error(F.concat(F.lit("no finite label: "), F.col("id"))).cast("boolean"))
     return out.where(known)

@@ -90,7 +90,7 @@ def verified(records: DataFrame) -> DataFrame:
     The issues come out of a generator, so that a filter on them stays above and does not copy the rules.
     """
     found = F.array(*[F.when(broken, F.struct(F.lit(code).alias("code"), F.lit(path).alias("path"))) for code, path, broken in rules()])
-    rows = with_effects(records, EXPECTED).withColumn("issues", F.explode_outer(F.array(F.filter(found, lambda x: x.isNotNull()))))
+    rows = with_effects(records, EXPECTED, barrier=True).withColumn("issues", F.explode_outer(F.array(F.filter(found, lambda x: x.isNotNull()))))
     return rows.drop(*EXPECTED.values()).withColumn("valid", F.size("issues") == 0)
 
 

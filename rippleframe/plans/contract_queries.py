@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippleframe.operators import bundles, exact_sums, ordered_digest
+from rippleframe.operators import bundles, exact_sums, masking, ordered_digest, semantic_key
+from rippleframe.operators import early_stopping as stopping
 from rippleframe.operators.catalog import FACTORS
 from rippleframe.operators.records import base_records, shaped
 from rippleframe.plans import oracle_parts as O
@@ -200,3 +201,58 @@ def jsonl_bad_lines(spark, sf_dir):
     files.select("value", "part").write.partitionBy("part").text(path)
     bad = lines.bad_lines(spark, f"{path}/part=*")
     return bad.select(F.regexp_extract("file", "/part=(\\d+)/", 1).cast("long").alias("part"), "line", F.array_join("problems", "; ").alias("problems"))
+
+
+@query("""SELECT min(event_id) AS event_id, CAST(sum(CASE WHEN event_id % 7 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS n FROM events GROUP BY event_type, user_id, value, ts, event_id % 3 = 0""")
+def semantic_duplicates(spark, sf_dir):
+    """Events of which every seventh is there again, written otherwise and observed later: distinct events by their keys."""
+    rows = _bundles(spark, sf_dir).select("event")
+    e = F.col("event")
+    again = e.withField("summary", F.concat(F.lit("  "), F.upper(e["summary"]))).withField("event_type", F.initcap(e["event_type"])).withField("subject_ids", F.transform(e["subject_ids"], F.upper))
+    again = again.withField("observed_at", e["observed_at"] + F.expr("INTERVAL 1 HOUR")).withField("event_id", F.concat(e["event_id"], F.lit("/again")))
+    number = F.substring("event.event_id", 7, 20).cast("long")
+    rows = rows.unionByName(rows.where(F.pmod(number, F.lit(7)) == 0).select(again.alias("event")))
+    found = semantic_key.distinct_events(rows)
+    return found.select(F.substring_index(F.substring_index("event.event_id", "/", 1), ":", -1).cast("long").alias("event_id"), "n")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST('Infinity' AS DOUBLE) AS best, CAST(0 AS BIGINT) AS best_at, CAST(0 AS BIGINT) AS waited FROM events
+  UNION ALL SELECT f.user_id, r, CASE WHEN value < best - 0.5e0 THEN value ELSE best END, CASE WHEN value < best - 0.5e0 THEN r ELSE best_at END, CASE WHEN value < best - 0.5e0 THEN 0 ELSE waited + 1 END
+  FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.n + 1 WHERE waited < 3)
+SELECT user_id, max(n) AS n, arg_max(best, n) AS best, arg_max(best_at, n) AS best_at, arg_max(waited, n) AS waited, arg_max(waited, n) >= 3 AS stopped FROM f GROUP BY user_id""")
+def early_stopping(spark, sf_dir):
+    """Each user's values as a series of errors: where it would have been stopped, and its best."""
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    return stopping.stopped(rows, "user_id", ["ts", "event_id"], "value", min_delta=0.5, patience=3)
+
+
+_IDS = "list_transform(list_filter(string_split(lower(text), ' '), lambda x: x <> ''), lambda x: CAST('0x' || sha256(x)[1:4] AS BIGINT) % 4000 + 12)"
+
+
+def _drawn(k: int) -> str:
+    return f"CAST('0x' || d[{8 * k + 1}:{8 * k + 8}] AS BIGINT) / 4294967296.0e0"
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, (row_number() OVER (ORDER BY conv_id, turn) - 1) // 16 AS batch, [1] || {_IDS} || [2] AS ids FROM conversations),
+s AS (SELECT batch, max(len(ids)) AS width, max(list_max(ids)) AS top FROM r GROUP BY batch),
+p AS (SELECT conv_id, turn, batch, unnest(ids) AS id, unnest(range(len(ids))) AS i FROM r),
+u AS (SELECT *, CASE WHEN id > 11 THEN sha256('42:' || conv_id || ':' || turn || ':' || i) END AS d FROM p),
+w AS (SELECT conv_id, turn, batch, id, i, {_drawn(0)} AS u0, {_drawn(1)} AS u1, {_drawn(2)} AS u2, {_drawn(3)} AS u3 FROM u),
+b AS (SELECT batch, coalesce(bool_or(u0 < 0.02e0), false) AS found FROM w GROUP BY batch),
+x AS (SELECT w.*, found, width, top, coalesce(CASE WHEN found THEN u0 < 0.02e0 ELSE u3 = max(u3) OVER (PARTITION BY conv_id, turn) END, false) AS pick FROM w JOIN b USING (batch) JOIN s USING (batch)),
+y AS (SELECT *, CASE WHEN NOT pick THEN id WHEN u1 < 1 - 0.1e0 - 0.1e0 THEN 4 WHEN u1 < 1 - 0.1e0 THEN CAST(floor(u2 * (top + 1)) AS BIGINT) ELSE id END AS made FROM x)
+SELECT conv_id, turn, batch, CAST(max(width) AS BIGINT) AS width, count(*) FILTER (pick) AS n_chosen, count(*) FILTER (pick AND made = 4) AS n_masked,
+  sha256(string_agg(CAST(made AS VARCHAR), ',' ORDER BY i) || repeat(',0', CAST(max(width) - count(*) AS INT))) AS masked FROM y GROUP BY conv_id, turn, batch""")
+def masked_batches(spark, sf_dir):
+    """Messages as ids in padded batches of 16, with 2 % of their positions masked: what is chosen, and the rows' digests."""
+    words = F.filter(F.split(F.lower("text"), " "), lambda x: x != "")
+    ids = F.transform(words, lambda x: (F.conv(F.substring(F.sha2(x, 256), 1, 4), 16, 10).cast("int") % 4000 + 12).cast("int"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.array(F.lit(masking.CLS)), ids, F.array(F.lit(masking.SEP))).alias("ids"))
+    rows = masking.batched(spark, rows, ["conv_id", "turn"], "ids", 16)
+    rows = masking.masked(rows, "ids", F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")), share=0.02)
+    chosen = F.filter(F.arrays_zip("labels", "masked"), lambda p: p["labels"] != masking.IGNORED)
+    n = F.size(chosen).cast("long")
+    texts = F.array_join(F.transform("masked", lambda x: x.cast("string")), ",")
+    n_masked = F.size(F.filter(chosen, lambda p: p["masked"] == masking.MASK)).cast("long")
+    return rows.select("conv_id", "turn", F.col("batch").cast("long").alias("batch"), F.col("width").cast("long").alias("width"), n.alias("n_chosen"), n_masked.alias("n_masked"), F.sha2(texts, 256).alias("masked"))
