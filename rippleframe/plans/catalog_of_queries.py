@@ -406,44 +406,43 @@ def conversation_digest(spark, sf_dir):
     return rows.select("conv_id", "n_turns", F.sha2(F.array_join(F.transform("parts", lambda p: p["t"]), ""), 256).alias("digest"))
 
 
-@query("SELECT i AS step, round(CASE WHEN i < 100 THEN (i + 1) / 100.0e0 ELSE 0.5e0 * (1 + cos(pi() * least(1.0e0, (i - 100) / 900.0e0))) END, 9) AS factor FROM range(0, 1000) r(i)")
+@query("SELECT event_id AS step, round(CASE WHEN event_id < 100 THEN event_id / 100.0e0 ELSE 0.5e0 * (1 + cos(pi() * least(1.0e0, (event_id - 100) / CAST(greatest(1, n - 100) AS DOUBLE)))) END, 9) AS factor FROM events, (SELECT count(*) AS n FROM events)")
 def lr_schedule(spark, sf_dir):
-    """Learning-rate factor by step: linear warm-up over 100 steps, then a cosine over 900."""
-    i = F.col("step")
-    cosine = 0.5 * (1 + F.cos(F.pi() * F.least(F.lit(1.0), (i - 100) / 900.0)))
-    return spark.range(0, 1000).withColumnRenamed("id", "step").select("step", F.round(F.when(i < 100, (i + 1) / 100.0).otherwise(cosine), 9).alias("factor"))
+    """Learning-rate factor of each event as a step: a linear warm-up over 100 steps, then a cosine over the others."""
+    events, i = table(spark, sf_dir, "events"), F.col("step")
+    steps = events.select(F.col("event_id").alias("step")).crossJoin(F.broadcast(events.agg(F.count(F.lit(1)).alias("n"))))  # one row
+    cosine = 0.5 * (1 + F.cos(F.pi() * F.least(F.lit(1.0), (i - 100) / F.greatest(F.lit(1), F.col("n") - 100).cast("double"))))
+    return steps.select("step", F.round(F.when(i < 100, i / 100.0).otherwise(cosine), 9).alias("factor"))
 
 
-_CHECKPOINTS = [(p, e) for p in ("mlm", "score") for e in range(1, 6)]
-
-
-@query("WITH c(phase, epoch) AS (VALUES " + ", ".join(f"('{p}', {e})" for p, e in _CHECKPOINTS) + ") SELECT phase, epoch, phase || '_epoch_' || lpad(CAST(epoch AS VARCHAR), 3, '0') || '.pt' AS name FROM (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY epoch DESC) AS r FROM c) WHERE r > 2")
+@query("SELECT phase, epoch, phase || '_epoch_' || lpad(CAST(epoch AS VARCHAR), CAST(greatest(3, length(CAST(epoch AS VARCHAR))) AS INT), '0') || '.pt' AS name FROM (SELECT o_orderpriority || '/' || o_custkey AS phase, o_orderkey AS epoch, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r > 2")
 def checkpoint_retention(spark, sf_dir):
-    """Periodic checkpoints to remove when the newest two of each phase stay."""
-    rows = spark.createDataFrame(_CHECKPOINTS, "phase string, epoch int")
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("phase").orderBy(F.desc("epoch")))).where("r > 2")
-    return rows.select("phase", "epoch", F.concat("phase", F.lit("_epoch_"), F.lpad(F.col("epoch").cast("string"), 3, "0"), F.lit(".pt")).alias("name"))
-
+    """Of checkpoints, one per order, by phase (priority and customer), those to remove when the newest two of each stay."""
+    newest = F.row_number().over(Window.partitionBy("o_orderpriority", "o_custkey").orderBy(F.desc("o_orderkey")))
+    rows = table(spark, sf_dir, "orders").withColumn("r", newest).where("r > 2")
+    rows = rows.select(F.concat("o_orderpriority", F.lit("/"), F.col("o_custkey").cast("string")).alias("phase"), F.col("o_orderkey").alias("epoch"))
+    return rows.select("phase", "epoch", F.concat("phase", F.lit("_"), X.ordinal_id("epoch_", 3, F.col("epoch")), F.lit(".pt")).alias("name"))
 
-_OLD = [("seed", "42"), ("batch", "32"), ("lr", None), ("mode", "full")]
-_NEW = [("seed", "42"), ("batch", "64"), ("lr", None), ("patience", "3")]
 
+@query("""SELECT n_name AS key, a.v AS before, b.v AS after FROM (SELECT c_nationkey AS k, CAST(count(*) AS VARCHAR) AS v FROM customer GROUP BY ALL) a FULL JOIN (SELECT s_nationkey AS k, CAST(count(*) AS VARCHAR) AS v FROM supplier GROUP BY ALL) b USING (k)
+JOIN nation ON n_nationkey = k WHERE a.v IS DISTINCT FROM b.v""")
+def run_contract_diff(spark, sf_dir):
+    """Two tables of settings against each other, over the keys of both: here what customers and suppliers number by nation."""
 
-def _values(rows) -> str:
-    return "(VALUES " + ", ".join("('{}', {})".format(k, "NULL" if v is None else f"'{v}'") for k, v in rows) + ")"
-
+    def counted(name: str, key: str, value: str) -> DataFrame:
+        return table(spark, sf_dir, name).groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).cast("string").alias(value))
 
-@query(f"SELECT key, a.v AS before, b.v AS after FROM {_values(_OLD)} a(key, v) FULL JOIN {_values(_NEW)} b(key, v) USING (key) WHERE a.v IS DISTINCT FROM b.v")
-def run_contract_diff(spark, sf_dir):
-    a, b = spark.createDataFrame(_OLD, "key string, before string"), spark.createDataFrame(_NEW, "key string, after string")
-    return a.join(b, "key", "full").where(~F.col("before").eqNullSafe(F.col("after"))).select("key", "before", "after")
+    both = counted("customer", "c_nationkey", "before").join(counted("supplier", "s_nationkey", "after"), "k", "full").where(~F.col("before").eqNullSafe(F.col("after")))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("key"))
+    return both.join(nations, "k").select("key", "before", "after")
 
 
-@query("SELECT row_number() OVER () - 1 AS ordinal, mechanism, len(string_split(needs, ' ')) AS n_factors, list_sort(string_split(needs, ' ')) AS factors, affected FROM (VALUES " + ", ".join(
-    f"('{m}', '{need}', {O.texts(sorted(s for s, own in O.EFFECTS.items() if m in own))})" for m, need in O.NEEDS.items()) + ") v(mechanism, needs, affected)")
+@query("SELECT v.*, coalesce(n, 0) AS n FROM (SELECT row_number() OVER () - 1 AS ordinal, mechanism, len(string_split(needs, ' ')) AS n_factors, list_sort(string_split(needs, ' ')) AS factors, affected FROM (VALUES " + ", ".join(
+    f"('{m}', '{need}', {O.texts(sorted(s for s, own in O.EFFECTS.items() if m in own))})" for m, need in O.NEEDS.items()) + ") v(mechanism, needs, affected)) v LEFT JOIN (SELECT event_id % 15 AS o, count(*) AS n FROM events GROUP BY ALL) e ON e.o = v.ordinal")
 def registry_equality(spark, sf_dir):
-    """The catalogue as a table, held against what the oracles have written out."""
-    return catalogue(spark).select(F.col("ordinal").cast("long").alias("ordinal"), "mechanism", F.size("factors").cast("long").alias("n_factors"), F.array_sort("factors").alias("factors"), F.array_sort("affected").alias("affected"))
+    """The catalogue against what the oracles have written out and the mechanisms that events have."""
+    used = table(spark, sf_dir, "events").groupBy(F.pmod("event_id", F.lit(15)).cast("int").alias("ordinal")).agg(F.count(F.lit(1)).alias("n"))
+    return catalogue(spark).join(used, "ordinal", "left").withColumn("n", F.coalesce("n", F.lit(0))).select("n", F.col("ordinal").cast("long").alias("ordinal"), "mechanism", F.size("factors").cast("long").alias("n_factors"), F.array_sort("factors").alias("factors"), F.array_sort("affected").alias("affected"))
 
 
 @query(O.with_parts("SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'error') AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)", O.catalogue()))

@@ -12,12 +12,15 @@ from rippleframe.operators.catalog import BY_NAME, FACTORS, MECHANISMS, STATES
 from rippleframe.operators.expand import counterfactuals, with_families
 from rippleframe.operators.labels import labelled, require_labels
 from rippleframe.operators.records import base_records
+from rippleframe.plans import contract_queries  # noqa: F401  adds its queries to the registry
 from rippleframe.plans.catalog_of_queries import ORACLES, QUERIES
 
-TABLES = "events documents conversations customer".split()
+TABLES = "events documents conversations customer supplier nation orders lineitem".split()
 CHEAP = ["unit_hash_sample", "event_records", "state_delta_tax_change", "state_delta_demand_change", "economic_impact", "counterfactual_group_counts",
          "split_assignment", "context_facts_unpivot", "serialize_records_none", "runtime_views", "asof_latest_fact", "valid_at_event", "historical_events",
-         "pair_counts", "conversation_digest", "lr_schedule", "checkpoint_retention", "run_contract_diff", "key_set_difference"]
+         "pair_counts", "conversation_digest", "lr_schedule", "checkpoint_retention", "run_contract_diff", "registry_equality", "key_set_difference",
+         "exact_price_sums", "documents_stream_digest", "context_bundles", "bundle_texts", "bundle_violations", "canonical_records", "canonical_files",
+         "manifest_disagreements", "jsonl_bad_lines", "semantic_duplicates", "early_stopping", "masked_batches"]
 
 
 def record(spark, mechanism, **values):
