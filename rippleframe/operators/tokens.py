@@ -84,7 +84,8 @@ class Bpe:
     def train(cls, counts: list[tuple[str, int]], size: int) -> "Bpe":
         """Greedy merges of the most frequent pair, of ties the largest, until the size or no pair occurs twice.
 
-        All words are one array of symbols; a merge counts anew only the pairs beside the places it joins.
+        For a list of words that fits in memory; `vocabulary.learn` does the same for a table. All words are one array of
+        symbols; a merge counts anew only the pairs beside the places it joins.
         """
         text = "".join(f"{w}\n" for w, _ in counts)  # no word holds white space
         points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
@@ -182,12 +183,6 @@ class Bpe:
         return cls({t: int(i) for t, i in found["vocab"].items()}, [tuple(m) for m in found["merges"]])
 
 
-def train(docs: DataFrame, size: int, text: str = "text") -> Bpe:
-    """Words are counted by Spark; the merge loop runs on the driver over the distinct words."""
-    rows = word_counts(docs, text).toArrow()
-    return Bpe.train(list(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist(), strict=True)), size)
-
-
 def encoded(docs: DataFrame, bpe: Bpe, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """id, ids: by an Arrow function that remembers words."""
     shared = docs.sparkSession.sparkContext.broadcast(bpe)

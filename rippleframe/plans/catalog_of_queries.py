@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rippleframe.functions import exprs as X
-from rippleframe.operators import metrics, point_in_time, scenarios, serialize, splits, tokens, verify
+from rippleframe.operators import metrics, point_in_time, scenarios, serialize, splits, tokens, verify, vocabulary
 from rippleframe.operators.catalog import FACTORS, MECHANISMS, STATES, catalogue
 from rippleframe.operators.expand import counterfactuals, with_families
 from rippleframe.operators.labels import labelled
@@ -387,13 +387,13 @@ def pair_counts(spark, sf_dir):
 @query()
 def bpe_vocab(spark, sf_dir):
     """Tokens and ids of a vocabulary of 600 learned from all documents."""
-    bpe = tokens.train(table(spark, sf_dir, "documents"), 600)
+    bpe = vocabulary.train(table(spark, sf_dir, "documents"), 600)
     return spark.createDataFrame(sorted((i, t) for t, i in bpe.vocab.items()), "token_id int, token string")
 
 
 @query()
 def bpe_encode_lengths(spark, sf_dir):
-    bpe = tokens.train(table(spark, sf_dir, "documents"), 600)
+    bpe = vocabulary.train(table(spark, sf_dir, "documents"), 600)
     rows = tokens.encoded(table(spark, sf_dir, "documents"), bpe)
     return rows.select("id", F.size("ids").cast("long").alias("n_tokens"), F.size(F.filter("ids", lambda x: x == tokens.UNKNOWN)).cast("long").alias("n_unknown"))
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rippleframe.functions import exprs
-from rippleframe.operators import metrics, serialize, splits, tokens, verify
+from rippleframe.operators import metrics, serialize, splits, tokens, verify, vocabulary
 from rippleframe.operators.catalog import BY_NAME, FACTORS, MECHANISMS, STATES
 from rippleframe.operators.expand import counterfactuals, with_families
 from rippleframe.operators.labels import labelled, require_labels
@@ -153,7 +153,7 @@ def test_pre_tokens(spark):
 
 def test_tokenizer_files_and_encoding(spark, tmp_path):
     docs = spark.createDataFrame([(1, "[CLS] oil prices, oil price [NO_SUMMARY]"), (2, "oily"), (3, None)], "doc_id long, text string")
-    bpe = tokens.train(docs, 60)
+    bpe = vocabulary.train(docs, 60)
     bpe.save(str(tmp_path / "t" / "bpe.json"))
     again = tokens.Bpe.load(str(tmp_path / "t" / "bpe.json"))
     assert again.vocab == bpe.vocab and again.merges == bpe.merges and again.fingerprint == bpe.fingerprint and len(bpe.fingerprint) == 64
