@@ -7,12 +7,14 @@ and (2 - at) / at of the template's; so a passage has no more words than the lar
 enough bigrams that it must hold one of the template's rarest ones, its marks: only runs about a line with a mark are
 compared. Of passages that match and overlap, one counts that no other beats: by Dice, then fewer lines, then earlier.
 
-All work on executors is DataFrame operations; one pass, no shuffle of texts.
+All work on executors is DataFrame operations; one pass, no shuffle of texts. Work is linear in the lines of a text: a line
+looks at the passages that start within `longest` lines of it.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +60,11 @@ def marks(bigrams: set[str], at: float) -> list[str]:
     return sorted(bigrams, key=lambda b: (-len(b), b))[: len(bigrams) - need + 1]
 
 
+def _let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x), with x evaluated once a row: a column that is read in a lambda may be put in there and made for each element."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
 def _lower(x: Column) -> Column:
     return F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -91,30 +98,36 @@ def scan(docs: DataFrame, templates: dict[str, str | list[str]] | None = None, a
     low = _lower(F.coalesce(docs[text], F.lit("")))
     rows = docs.select(docs[id_column].alias("id"), F.when(low.rlike(anchor), low).alias("low"))
     rows = rows.withColumn("lines", F.filter(F.split("low", "\n"), lambda x: x.rlike("[a-z0-9]")))
-    sizes = F.transform("lines", lambda x: F.size(F.regexp_extract_all(x, F.lit(f"({_WORD})"), F.lit(1))))
-    # before[k]: words before the line k, from 1.
-    rows = rows.withColumn("before", F.reduce(sizes, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))))
     n = F.size("lines")
-    marked = F.filter(F.sequence(F.lit(1), n), lambda k: F.concat_ws("\n", F.element_at("lines", k), F.get("lines", k)).rlike(anchor))
-    rows = rows.withColumn("marked", F.when(n > 0, marked))
+    marked = _let(F.col("lines"), lambda lines: F.filter(F.sequence(F.lit(1), n), lambda k: F.concat_ws("\n", F.element_at(lines, k), F.get(lines, k)).rlike(anchor)))
+    # A line of more than `longest` words is in no passage; one word more tells so.
+    own_words = F.transform("lines", lambda x: F.slice(F.regexp_extract_all(x, F.lit(f"({_WORD})"), F.lit(1)), 1, longest + 1))
+    rows = rows.withColumn("marked", F.when(n > 0, marked)).withColumn("words", F.when(F.size("marked") > 0, own_words)).drop("low", "lines")
+
+    # Each line that may start a passage, in order, once: with the first marked line from there on.
+    def starts_before(k: Column, before: Column) -> Column:
+        first = F.greatest(k - longest + 1, before + 1)
+        return F.transform(F.sequence(first, k), lambda i: F.struct(i.alias("i"), k.alias("k")))
 
-    def words_in(i: Column, j: Column) -> Column:
-        return F.element_at("before", j + 1) - F.element_at("before", i)
+    starts = _let(F.col("marked"), lambda m: F.flatten(F.transform(m, lambda k, at: starts_before(k, F.coalesce(F.get(m, at - 1), F.lit(0))))))
 
-    def runs_about(k: Column) -> Column:
-        firsts = F.filter(F.sequence(F.greatest(F.lit(1), k - longest), k), lambda i: words_in(i, k) <= longest)
-        lasts = F.filter(F.sequence(k, F.least(n, k + longest)), lambda j: words_in(k, j) <= longest)
-        pairs = F.flatten(F.transform(firsts, lambda i: F.transform(lasts, lambda j: F.struct(i.alias("i"), j.alias("j")))))
-        return F.filter(pairs, lambda r: (words_in(r["i"], r["j"]) <= longest) & (words_in(r["i"], r["j"]) > least - 1e-9))
+    def upto(lines: Column) -> Column:
+        """Words up to each line, as long as they are no more than `longest`."""
+        none = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("upto"))
 
-    rows = rows.withColumn("runs", F.array_distinct(F.flatten(F.transform("marked", runs_about))))
+        def add(a: Column, line: Column) -> Column:
+            total = a["sum"] + F.size(line)
+            return F.struct(total.alias("sum"), F.when(total <= longest, F.concat(a["upto"], F.array(total))).otherwise(a["upto"]).alias("upto"))
 
-    def bigrams(run: Column) -> Column:
-        w = F.regexp_extract_all(F.array_join(F.slice("lines", run["i"], run["j"] - run["i"] + 1), "\n"), F.lit(f"({_WORD})"), F.lit(1))
-        rest = F.greatest(F.size(w) - 1, F.lit(0))
-        return F.array_distinct(F.zip_with(F.slice(w, 1, rest), F.slice(w, 2, rest), lambda a, b: F.concat(a, F.lit(" "), b)))
+        return F.reduce(lines, none, add)["upto"]
 
-    def near(b: Column, run: Column) -> Column:
+    ahead = _let(F.col("words"), lambda words: F.transform(starts, lambda s: F.struct(s["i"].alias("i"), s["k"].alias("k"), F.slice(words, s["i"], longest).alias("lines"))))
+    ahead = F.transform(ahead, lambda s: F.struct(s["i"].alias("i"), s["k"].alias("k"), F.flatten(s["lines"]).alias("w"), upto(s["lines"]).alias("upto")))
+    ahead = F.filter(ahead, lambda s: F.size(s["upto"]) > s["k"] - s["i"])
+    pairs = lambda w: F.zip_with(F.slice(w, 1, longest - 1), F.slice(w, 2, longest - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    ahead = F.transform(ahead, lambda s: F.struct(s["i"].alias("i"), s["k"].alias("k"), pairs(s["w"]).alias("pairs"), s["upto"].alias("upto")))
+
+    def near(b: Column, i: Column, j: Column) -> Column:
         found = []
         for name, own in sets:
             m = F.size(b)
@@ -122,13 +135,26 @@ def scan(docs: DataFrame, templates: dict[str, str | list[str]] | None = None, a
             shared = F.size(F.array_intersect(b, F.array(*[F.lit(x) for x in sorted(own)])))
             dice = F.when(inside, 2.0 * shared / (m + len(own)))
             found.append(F.when(dice >= at, F.struct((-dice).alias("far"), F.lit(name).alias("name"))))
-        best = F.array_min(F.filter(F.array(*found), lambda x: x.isNotNull()))
-        return F.when(best.isNotNull(), F.struct(best["far"].alias("far"), (run["j"] - run["i"]).alias("more"), run["i"].alias("i"), run["j"].alias("j"), best["name"].alias("name")))
-
-    rows = rows.withColumn("sets", F.transform("runs", lambda r: F.struct(r.alias("run"), bigrams(r).alias("own"))))
-    rows = rows.withColumn("all", F.filter(F.transform("sets", lambda x: near(x["own"], x["run"])), lambda x: x.isNotNull()))
-    beats = lambda g, h: (g["i"] <= h["j"]) & (h["i"] <= g["j"]) & (F.struct(g["far"], g["more"], g["i"]) < F.struct(h["far"], h["more"], h["i"]))
-    rows = rows.withColumn("hits", F.filter("all", lambda h: ~F.exists("all", lambda g: beats(g, h))))
+        # Sorted as passages beat each other: by Dice, then fewer lines, then earlier.
+        return F.transform(F.array_sort(F.filter(F.array(*found), lambda x: x.isNotNull())), lambda x: F.struct(x["far"].alias("far"), (j - i).alias("more"), i.alias("i"), j.alias("j"), x["name"].alias("name")))
+
+    def hits_from(s: Column) -> Column:
+        ends = F.filter(F.sequence(s["k"] - s["i"] + 1, F.size(s["upto"])), lambda x: F.element_at(s["upto"], x) > least - 1e-9)
+        runs = F.transform(ends, lambda x: F.struct((s["i"] + x - 1).alias("j"), F.array_distinct(F.slice(s["pairs"], 1, F.element_at(s["upto"], x) - 1)).alias("own")))
+        return F.flatten(F.transform(runs, lambda r: F.slice(near(r["own"], s["i"], r["j"]), 1, 1)))
+
+    found = F.transform(ahead, lambda s: F.struct(s["i"].alias("i"), hits_from(s).alias("hits")))
+    found = F.filter(found, lambda s: F.size(s["hits"]) > 0)
+    rows = rows.withColumn("starts", F.transform(found, lambda s: F.struct(s["i"].alias("i"), s["hits"].alias("hits"), F.array_min(s["hits"]).alias("best"))))
+
+    # Passages from one line overlap, so only the best of each can win. It meets the bests of the lines within it, and what
+    # reaches it from earlier lines: at most `longest` lines on either side.
+    def wins(starts: Column, s: Column, at: Column) -> Column:
+        earlier = F.slice(starts, F.greatest(F.lit(1), at + 1 - longest), F.least(at, F.lit(longest)))
+        later = F.slice(starts, at + 2, longest)
+        return ~F.exists(earlier, lambda b: F.exists(b["hits"], lambda g: (g["j"] >= s["i"]) & (g < s["best"]))) & ~F.exists(later, lambda b: (b["i"] <= s["best"]["j"]) & (b["best"] < s["best"]))
+
+    rows = rows.withColumn("hits", _let(F.col("starts"), lambda starts: F.transform(F.filter(starts, lambda s, at: wins(starts, s, at)), lambda s: s["best"])))
     best = F.array_min(F.transform("hits", lambda h: F.struct(h["far"], h["name"])))
     names = F.coalesce(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["name"]))), F.array().cast("array<string>"))
     return rows.select(

@@ -418,6 +418,14 @@ def test_licenses(spark, docs, empty, tmp_path):
     assert license_scan.scan(empty).count() == 0 and license_scan.scan(docs).count() == docs.count()
 
 
+def test_licenses_many_in_a_text(spark):
+    """A passage costs the same however many others its text holds: quadratic work wouldn't end."""
+    notice, n = "Released under the MIT License.", 30_000
+    own = {1: "\n".join([notice] * n), 2: "\n".join(f"{notice}\n{' '.join(words(90, 1))}" for _ in range(2_000)), 3: " ".join([notice] * n), 4: "x y\n" * 50_000 + notice}
+    got = {r.id: (r.licenses, r.n_passages) for r in license_scan.scan(spark.createDataFrame(list(own.items()), "doc_id long, text string")).collect()}
+    assert got == {1: (["MIT"], n), 2: (["MIT"], 2_000), 3: ([], 0), 4: (["MIT"], 1)}
+
+
 def test_urls(spark, sf_dir):
     rows = [(1, "https://A.Example.com/en/x?q#f"), (2, "http://www.example.com/en/"), (3, "http://a.net/fr/1"), (4, None), (5, "nothing"), (6, "http://b.com"), (7, "http://xexample.com/en/")]
     got = {r.id: r for r in url_filter.judge(spark, spark.createDataFrame(rows, "page_id long, url string")).collect()}
