@@ -53,8 +53,9 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """word, n: folded pre-tokens without the special ones."""
     raw = F.regexp_extract_all(F.col(text), F.lit(f"({PATTERN})"), F.lit(1))
     # Special tokens are told by their raw form, capitals in brackets: a filter on the folded word would be pushed below the
-    # first aggregate and fold every occurrence, not each distinct one.
-    counted = docs.select(F.explode(raw).alias("raw")).where(~F.col("raw").isin([t.upper() for t in SPECIALS])).groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
+    # first aggregate and fold every occurrence, not each distinct one. It drops the null of a text without pre-tokens, too;
+    # an inner explode would search every text again for a filter on the size of what it finds.
+    counted = docs.select(F.explode_outer(raw).alias("raw")).where(~F.col("raw").isin([t.upper() for t in SPECIALS])).groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
     counted = counted.select(casefold(F.col("raw")).alias("word"), "n")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
