@@ -50,6 +50,19 @@ class Forms:
         other.form, other.word, other.weight = self.form, self.word, self.weight  # merges make new arrays
         return other
 
+    def touched(self, merges: list[tuple[int, int, int]]) -> Forms:
+        """The words that these merges change: each has a pair of symbols that none of the merges makes."""
+        old = np.array([m for m in merges if max(m[:2]) < merges[0][2]], dtype=np.int64)
+        sides = np.zeros((2, max(int(self.form.max(initial=0)), int(old.max())) + 1), dtype=bool)
+        sides[0, old[:, 0]] = sides[1, old[:, 1]] = True
+        at = np.flatnonzero(sides[0][self.form[:-1]] & sides[1][self.form[1:]])
+        at = at[self.word[at] == self.word[at + 1]]
+        at = at[np.isin(_key(self.form[at], self.form[at + 1]), _key(old[:, 0], old[:, 1]))]
+        kept = np.zeros(len(self.weight), dtype=bool)
+        kept[self.word[at]] = True
+        symbols = kept[self.word]
+        return Forms(self.form[symbols], np.bincount(self.word, minlength=len(kept))[kept], self.weight[kept])
+
     def pairs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs at these places within words, and their weights."""
         at = at[(at >= 0) & (at < len(self.form) - 1)]
@@ -134,6 +147,7 @@ def _changes(merges: list[tuple[int, int, int]], draft: list[tuple[int, int, int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _chunks(batches):
+            own = own.touched([*merges, *draft])
             for m in merges:
                 own.merge(*m)
             for step, m in enumerate(draft):
@@ -150,7 +164,7 @@ def _name(symbol: int, made: list[str]) -> str:
     return tokens.END if symbol == STOP else chr(symbol) if symbol < MADE else made[symbol - MADE]
 
 
-def learn(counts: DataFrame, size: int, tracked: int = 4_096, ahead: int = 64, pending: int = 192, head: int = 20_000) -> tokens.Bpe:
+def learn(counts: DataFrame, size: int, tracked: int = 4_096, ahead: int = 96, pending: int = 96, head: int = 50_000) -> tokens.Bpe:
     """Merges of the most frequent pair, of ties the largest, until the vocabulary has `size` tokens or no pair occurs twice.
 
     counts: word, n; words without white space, each once. Null and empty words are left out, other columns are not read.
