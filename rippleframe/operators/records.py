@@ -18,12 +18,19 @@ def visible_factor(name: str, value: Column) -> Column:
     return F.when(F.col("mechanism").isin(needs), value)
 
 
+def spread(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
+    """The rows in as many partitions as there are cores to work on, at least."""
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(n, key)
+
+
 def base_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One labelled base record per event: flat columns, with the 21 factors as columns of their own.
 
-    The catalogue has 15 rows and is broadcast; nothing is shuffled.
+    The catalogue has 15 rows and is broadcast. Only the four columns read are shuffled: a file is read by as few tasks as
+    it has row groups, and all that follows, up to 60 variants a record, would be made by those alone.
     """
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "value")
+    events = spread(spark, spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "value"), "event_id")
     rows = events.withColumn("ordinal", F.pmod("event_id", F.lit(len(MECHANISMS))).cast("int")).join(F.broadcast(catalogue(spark)), "ordinal")
     rows = rows.withColumn("chosen", F.element_at("classes", (F.pmod(F.expr("event_id div 30"), F.size("classes")) + 1).cast("int")))
     pooled = F.element_at("chosen.pool", (F.pmod("event_id", F.size("chosen.pool")) + 1).cast("int"))

@@ -10,7 +10,7 @@ from rippleframe.functions import exprs
 from rippleframe.operators import metrics, serialize, splits, tokens, verify, vocabulary
 from rippleframe.operators.catalog import BY_NAME, FACTORS, MECHANISMS, STATES
 from rippleframe.operators.expand import counterfactuals, with_families
-from rippleframe.operators.labels import labelled, require_labels
+from rippleframe.operators.labels import labelled, require_labels, with_effects
 from rippleframe.operators.records import base_records
 from rippleframe.plans import contract_queries  # noqa: F401  adds its queries to the registry
 from rippleframe.plans.catalog_of_queries import ORACLES, QUERIES
@@ -66,6 +66,24 @@ def test_tampering_is_found(spark):
         verify.require_valid(row).collect()
 
 
+def test_sound_records_are_those_that_break_no_rule(spark, sf_dir):
+    """The short test of whole records against each rule, on records with one field changed; and as many tasks as cores."""
+    base = base_records(spark, sf_dir)
+    assert base.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    rows = with_families(base.limit(15)).localCheckpoint()
+    fields = ["magnitude", "confidence", *FACTORS, *STATES, "economic_impact"]
+    values = F.array(*map(F.lit, [float("nan"), 1.5, -0.5, None, 0.0, float("inf"), -1.0, 1.0]))
+    drawn = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(len(fields) + 8))
+    value = F.element_at(values, (F.pmod(F.xxhash64("id"), F.lit(8)) + 1).cast("int"))
+    changes = {f: F.when(drawn == k, value).otherwise(F.col(f)) for k, f in enumerate(fields)}
+    for k, (f, v) in enumerate([("horizon_days", 0), ("direction", "up"), ("mechanism", "unheard"), ("mechanism", "input_cost_change"), ("subject_class", "nothing")]):
+        changes[f] = F.when(drawn == len(fields) + k, v).otherwise(changes.get(f, F.col(f)))
+    rows = with_effects(rows.withColumns(changes).localCheckpoint(), verify.EXPECTED, barrier=True).localCheckpoint()
+    codes = F.filter(F.array(*[F.when(rule, code) for code, _, rule in verify.rules()]), lambda x: x.isNotNull())
+    pairs = rows.select(F.coalesce(verify.sound(), F.lit(False)).alias("s"), (F.size(codes) > 0).alias("b")).collect()
+    assert {tuple(r) for r in pairs} == {(True, False), (False, True)}
+
+
 def test_family_sizes(spark):
     for m in MECHANISMS:
         assert counterfactuals(record(spark, m.name)).count() == 5 * len(m.factors) + 12
