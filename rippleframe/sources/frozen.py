@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from rippleframe.functions.exprs import let
 from rippleframe.operators import splits, verify
 from rippleframe.operators.catalog import FACTORS, SPLITS, STATES
 from rippleframe.operators.records import shaped
@@ -42,38 +43,65 @@ class FrozenDatasetError(ValueError):
     pass
 
 
-def _problems(schema: StructType, source: Column, prefix: str = "") -> list[Column]:
-    """Unknown and missing keys, at every level, of a JSON object in text."""
-    keys = F.json_object_keys(source)
+def _objects(schema: StructType, source: Column, prefix: str = "") -> list[tuple[StructType, str, Column]]:
+    """(schema, prefix, keys) of a JSON object in text and of all objects in it."""
+    out = [(schema, prefix, F.json_object_keys(source))]
+    for f in schema:
+        if isinstance(f.dataType, StructType):
+            out += _objects(f.dataType, F.get_json_object(source, f"$.{f.name}"), f"{prefix}{f.name}.")
+    return out
+
+
+def _problems(schema: StructType, prefix: str, keys: Column) -> list[Column]:
+    """Unknown and missing keys of one object."""
     names = [f.name for f in schema]
     needed = [n for n in names if prefix + n not in OPTIONAL]
-    out = [
+    return [
         F.when(keys.isNull(), F.lit(f"{prefix or 'record'}: not an object")),
         F.when(F.size(F.array_except(keys, F.array(*map(F.lit, names)))) > 0, F.lit(f"{prefix or 'record'}: unknown keys")),
         F.when(F.size(F.array_except(F.array(*map(F.lit, needed)), keys)) > 0, F.lit(f"{prefix or 'record'}: missing keys")) if needed else F.lit(None).cast("string"),
     ]
+
+
+def _complete(schema: StructType, record: Column, prefix: str = "") -> Column:
+    """Whether a record has a value for every key that it needs."""
+    out = F.lit(True)
     for f in schema:
-        inner = F.get_json_object(source, f"$.{f.name}")
+        if prefix + f.name not in OPTIONAL:
+            out = out & record[f.name].isNotNull()
         if isinstance(f.dataType, StructType):
-            out += _problems(f.dataType, inner, f"{prefix}{f.name}.")
+            out = out & _complete(f.dataType, record[f.name], f"{prefix}{f.name}.")
     return out
 
 
 def strict(lines: DataFrame, schema: StructType = RECORD) -> DataFrame:
     """lines (value, others) to those, record and problems. Rejects blank lines, what is no JSON (duplicate keys, NaN, text after the
-    object), unknown and missing keys, and values of another type. Row by row."""
+    object), unknown and missing keys, and values of another type. Row by row.
+
+    A line that is the record written again, with all keys that are needed, breaks none of these and is parsed once; any other
+    is held against each. Both come out of a generator, so that a filter on them stays above and parses nothing again."""
     text = F.col("value")
     parsed = F.try_parse_json(text)
-    record = F.from_json(text, schema)
-    kept = F.to_json(record)
+    record = F.col("_read.record")
+    kept = F.col("_read.kept")
     same_type = F.size(F.array_except(F.json_object_keys(text), F.json_object_keys(kept))) == 0
-    found = [
-        F.when(F.trim(text) == "", F.lit("blank line")),
-        F.when(parsed.isNull() | ~text.rlike(r"(?s)^\s*\{.*\}\s*$"), F.lit("not a JSON object")),
-        *_problems(schema, text),
-        F.when(~F.coalesce(same_type, F.lit(False)), F.lit("wrong type")),
-    ]
-    return lines.select("*", record.alias("record"), F.filter(F.array(*found), lambda x: x.isNotNull()).alias("problems"))
+    objects = _objects(schema, text)
+
+    def found(keys: Column) -> Column:
+        out = [
+            F.when(F.trim(text) == "", F.lit("blank line")),
+            F.when(parsed.isNull() | ~text.rlike(r"(?s)^\s*\{.*\}\s*$"), F.lit("not a JSON object")),
+            *[x for k, (own, prefix, _) in enumerate(objects) for x in _problems(own, prefix, keys[k])],
+            F.when(~F.coalesce(same_type, F.lit(False)), F.lit("wrong type")),
+        ]
+        return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+    once = let(F.from_json(text, schema), lambda r: F.struct(r.alias("record"), F.to_json(r).alias("kept")))
+    rows = lines.withColumn("_read", F.explode_outer(F.array(once)))
+    whole = (text == kept) & _complete(schema, record)
+    problems = F.when(whole, F.array().cast("array<string>")).otherwise(let(F.array(*[k for _, _, k in objects]), found))
+    rows = rows.withColumn("problems", F.explode_outer(F.array(problems)))
+    return rows.select(*lines.columns, record.alias("record"), "problems")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType = RECORD) -> DataFrame:
@@ -187,7 +215,7 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     if "companies" in manifest and _digest(spark.read.text(f"{path}/companies")) != manifest["companies"]:
         raise FrozenDatasetError("companies differ from the manifest")
     rows = spark.read.schema("value string, split string").option("basePath", path).text(path + "/split=*")
-    checked = strict(rows.select("value")).where(F.size("problems") > 0)
-    if not checked.isEmpty():
-        raise FrozenDatasetError(f"{checked.first()['problems']}")
+    bad = strict(rows.select("value")).where(F.size("problems") > 0).first()
+    if bad:
+        raise FrozenDatasetError(f"{bad['problems']}")
     return rows.select(F.from_json("value", RECORD).alias("r"), "split").select("r.*", "split"), manifest

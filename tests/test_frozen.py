@@ -40,3 +40,12 @@ def test_strictness(spark, records):
     lines = [text, *map(json.dumps, bad), "", text + " x", text.replace('"confidence": 0.9', '"confidence": NaN'), text[:-1] + ', "id": "twice"}']
     found = [len(r.problems) > 0 for r in frozen.strict(spark.createDataFrame([(x,) for x in lines], "value string")).collect()]
     assert found == [False] + [True] * (len(lines) - 1)
+
+
+def test_lines_are_parsed_once(spark, records):
+    """A filter on the problems stays above what finds them, and lines that are not written as they would be again are sound, too."""
+    text = records.select(F.to_json(F.struct(*[f.name for f in frozen.RECORD])).alias("value"))
+    spaced = text.select(F.regexp_replace("value", '"event":', ' "event" : ').alias("value"))
+    assert frozen.strict(text.unionByName(spaced)).where(F.size("problems") > 0).isEmpty()
+    plan = frozen.strict(text).where(F.size("problems") > 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_parse_json") <= 1 and plan.count("Generate explode") >= 2, plan
