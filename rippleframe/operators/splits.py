@@ -80,8 +80,8 @@ def families(records: DataFrame, policy: Policy = Policy(), *sums: Column) -> Da
     )
 
 
-def families_of_bases(base: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """families(with_families(base)) without making the variants.
+def families_of_bases(base: DataFrame, policy: Policy = Policy(), more: list[str] | None = None) -> DataFrame:
+    """families(with_families(base)) without making the variants. more: other columns of the base record.
 
     A grid has 1, so a factor that the mechanism needs reaches the bound in one of its variants; the other factor of a pair
     must have it in the base record. No grid of magnitudes reaches that bound. Subjects and entities do not vary.
@@ -93,9 +93,10 @@ def families_of_bases(base: DataFrame, policy: Policy = Policy()) -> DataFrame:
             for varied, fixed in ((a, b), (b, a)):
                 if varied in m.factors:
                     both = both | F.coalesce((F.col("mechanism") == m.name) & (F.col(fixed) >= 0.75), F.lit(False))
+    more = [] if more is None else more
     return base.select(
         F.col("id").alias("family_key"), "entity_id", F.col("entity_id").alias("other_entity_id"), F.lit(1).alias("n_base"), is_concept_ood(policy.concept_subjects).alias("concept"),
-        F.coalesce(is_parameter_ood(), F.lit(False)).alias("parameter"), both.alias("combination"), n.cast("long").alias("n_records"),
+        F.coalesce(is_parameter_ood(), F.lit(False)).alias("parameter"), both.alias("combination"), n.cast("long").alias("n_records"), *more,
     )
 
 
@@ -128,32 +129,43 @@ def split_records(records: DataFrame, policy: Policy = Policy()) -> DataFrame:
     return records.withColumn("family_key", family_key()).join(assigned(records, policy).select("family_key", "split"), "family_key")
 
 
+def split_bases(base: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """Base records with the family_key and split of their family. With_families() of them equals split_records() of all
+    records, but only base records, and no variant, are joined to a split."""
+    rows = families_of_bases(base, policy, [c for c in base.columns if c != "entity_id"])
+    return assigned(base, policy, rows).drop("n_records")
+
+
 def violations(records: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """kind, key, n_splits: what breaks the rules of splits; records have a split. A sound dataset gives no row."""
-    key = family_key()
-
-    def several(kind: str, what: Column) -> DataFrame:
-        found = records.groupBy(what.alias("key")).agg(F.count_distinct("split").alias("n_splits"))
-        return found.where("n_splits > 1").select(F.lit(kind).alias("kind"), "key", "n_splits")
-
-    duplicate = records.groupBy(F.col("id").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("split").alias("n_splits")).where("n > 1")
-    entity = records.groupBy(F.col("entity_id").alias("key")).agg(F.count_distinct("split").alias("n_splits"), F.bool_or(F.col("split") == "test_entity_ood").alias("held"))
-
-    def leak(kind: str, where: Column, allowed: list[str]) -> DataFrame:
-        found = records.where(where & ~F.col("split").isin(allowed)).groupBy(key.alias("key")).agg(F.count_distinct("split").alias("n_splits"))
-        return found.select(F.lit(kind).alias("kind"), "key", "n_splits")
-
-    early = ["test_entity_ood", "test_concept_ood"]
-    parts = [
-        records.where(~F.col("split").isin(SPLITS)).groupBy(F.col("split").alias("key")).agg(F.count_distinct("split").alias("n_splits")).select(F.lit("unknown_split").alias("kind"), "key", "n_splits"),
-        duplicate.select(F.lit("duplicate_id").alias("kind"), "key", "n_splits"),
-        several("family_leak", key),
-        entity.where("held and n_splits > 1").select(F.lit("entity_leak").alias("kind"), "key", "n_splits"),
-        leak("concept_leak", is_concept_ood(policy.concept_subjects), early),
-        leak("combination_leak", is_combination_ood(), [*early, "test_combination_ood", "test_hard_ood"]),
-        leak("parameter_leak", is_parameter_ood(), [*early, "test_parameter_ood", "test_hard_ood"]),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    early, split = ["test_entity_ood", "test_concept_ood"], F.col("split")
+
+    def leak(where: Column, allowed: list[str]) -> Column:
+        return F.coalesce(F.bool_or(where & ~split.isin(allowed)), F.lit(False))
+
+    # A row for each family, entity and split, which holds all that the rules ask for but repeated ids.
+    groups = records.groupBy(family_key().alias("family"), "entity_id", "split").agg(
+        leak(is_concept_ood(policy.concept_subjects), early).alias("concept_leak"),
+        leak(is_combination_ood(), [*early, "test_combination_ood", "test_hard_ood"]).alias("combination_leak"),
+        leak(is_parameter_ood(), [*early, "test_parameter_ood", "test_hard_ood"]).alias("parameter_leak"),
+    )
+
+    def asked(kind: str, what: str, where: Column | None = None) -> Column:
+        found = F.struct(F.lit(kind).alias("kind"), F.col(what).alias("key"))
+        return found if where is None else F.when(where, found)
+
+    kinds = [asked("family_leak", "family"), asked("entity_leak", "entity_id"), asked("unknown_split", "split", ~split.isin(SPLITS))]
+    kinds += [asked(k, "family", F.col(k)) for k in ("concept_leak", "combination_leak", "parameter_leak")]
+    rows = groups.select("split", F.explode(F.filter(F.array(*kinds), lambda x: x.isNotNull())).alias("a")).select("a.*", "split")
+    rows = rows.groupBy("kind", "key").agg(F.count_distinct("split").alias("n_splits"), F.bool_or(split == "test_entity_ood").alias("held"))
+    several = F.when(F.col("kind") == "family_leak", F.col("n_splits") > 1).when(F.col("kind") == "entity_leak", F.col("held") & (F.col("n_splits") > 1)).otherwise(True)
+    return rows.where(several).select("kind", "key", "n_splits").unionByName(_duplicates(records))
+
+
+def _duplicates(records: DataFrame) -> DataFrame:
+    """kind, key, n_splits of ids that are there more than once. Ids are shuffled as 64 bits; only those whose bits are
+    there again are compared as they are."""
+    ids = records.select("id", "split", F.xxhash64("id").alias("h"))
+    again = ids.select("h").repartition("h").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    found = ids.join(again, "h", "left_semi").groupBy(F.col("id").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("split").alias("n_splits"))
+    return found.where("n > 1").select(F.lit("duplicate_id").alias("kind"), "key", "n_splits")

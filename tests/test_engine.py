@@ -127,6 +127,20 @@ def test_policy_and_sound_splits(spark, sf_dir):
     assert "unknown_split" in {r.kind for r in splits.violations(moved).collect()}
 
 
+def test_split_bases_and_one_pass_of_violations(spark, sf_dir):
+    """Families of split bases have the splits of split_records(); every kind of violation is found; the records are shuffled for two passes."""
+    base = base_records(spark, sf_dir).limit(40).localCheckpoint()
+    rows = with_families(splits.split_bases(base))
+    want = {(r["id"], r["split"]) for r in splits.split_records(with_families(base)).select("id", "split").collect()}
+    assert {(r["id"], r["split"]) for r in rows.select("id", "split").collect()} == want
+    plan = splits.violations(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union false") < 7, plan.count("Union false")  # the records are made for families, hashes of ids and ids, not for each kind
+    a = spark.createDataFrame([("a", None, "e", "train"), ("a__1", "a", "e", "test_iid"), ("b", None, "e", "test_entity_ood"), ("b", None, "e", "test_entity_ood"), ("c", None, "f", "nowhere"), ("c", None, "f", None)], "id string, base_record_id string, entity_id string, split string")
+    factors = {f: F.when(F.col("id") == "a", 1.0) for f in FACTORS} | {"magnitude": F.when(F.col("id") == "a", 0.99), "subject": F.lit("steel")}
+    found = {tuple(r) for r in splits.violations(a.withColumns(factors)).collect()}
+    assert found == {("family_leak", "a", 2), ("entity_leak", "e", 3), ("duplicate_id", "b", 1), ("duplicate_id", "c", 1), ("unknown_split", "nowhere", 1), ("combination_leak", "a", 1), ("parameter_leak", "a", 1)}
+
+
 def test_metric_vector(spark):
     rows = spark.createDataFrame([(-0.8, -0.5), (-0.02, 0.01), (0.6, -0.1), (0.2, 0.1)], "target double, prediction double")
     m = rows.agg(*metrics.metrics()).first()
