@@ -1,6 +1,6 @@
 """Byte-pair vocabularies learned from a table of words that stays distributed.
 
-A round takes one pass over the words: the driver drafts the next merges from the most frequent words, tasks apply the
+A round takes one pass over the words: the driver drafts the next merges from frequent words and a spread of the others, tasks apply the
 draft and tell by how much each merge changes the counts of pairs, and the driver takes as many merges of the draft as the
 exact counts confirm, at least the first. So the result is that of one merge at a time over all words, whatever the draft.
 
@@ -164,7 +164,17 @@ def _name(symbol: int, made: list[str]) -> str:
     return tokens.END if symbol == STOP else chr(symbol) if symbol < MADE else made[symbol - MADE]
 
 
-def learn(counts: DataFrame, size: int, tracked: int = 4_096, ahead: int = 96, pending: int = 96, head: int = 50_000) -> tokens.Bpe:
+def _draft_words(counts: DataFrame, head: int) -> list:
+    """word, n: the most frequent words, half of `head`, and about as many spread over all others, which stand for these
+    with their weight. Exact counts decide on every merge that is drafted from them."""
+    top = counts.orderBy(F.desc("n"), "word").limit(head // 2).collect()
+    rest = counts.where((F.col("n") < top[-1].n) | ((F.col("n") == top[-1].n) & (F.col("word") > top[-1].word))) if top else counts
+    every = max(1, rest.count() // max(1, head - len(top)))
+    spread = rest.where(F.pmod(F.xxhash64("word"), F.lit(every)) == 0).limit(head - len(top))
+    return top + spread.select("word", (F.col("n") * every).alias("n")).collect()
+
+
+def learn(counts: DataFrame, size: int, tracked: int = 4_096, ahead: int = 96, pending: int = 64, head: int = 120_000) -> tokens.Bpe:
     """Merges of the most frequent pair, of ties the largest, until the vocabulary has `size` tokens or no pair occurs twice.
 
     counts: word, n; words without white space, each once. Null and empty words are left out, other columns are not read.
@@ -178,7 +188,7 @@ def learn(counts: DataFrame, size: int, tracked: int = 4_096, ahead: int = 96, p
     made: list[str] = []
     ids = {r.ch: ord(r.ch) for r in tokens.characters(counts).collect()} | {tokens.END: STOP}  # at most Unicode's letters
     vocab = {t: i for i, t in enumerate([*tokens.SPECIALS, *sorted(ids)])}
-    rows = counts.orderBy(F.desc("n"), "word").limit(head).collect()
+    rows = _draft_words(counts, head)
     top = Forms.spelled([r.word for r in rows], np.fromiter((r.n for r in rows), dtype=np.int64, count=len(rows)))
     counts.mapInArrow(_spell, _FORMS).write.parquet(f"{folder}/forms-0")
     merges: list[tuple[str, str]] = []
