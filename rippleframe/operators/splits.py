@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rippleframe.functions.exprs import subject_token, unit_hash
 from rippleframe.operators.catalog import CONCEPT_SUBJECTS, DIRECTIONS, HORIZON_GRID, MAGNITUDE_GRID, MECHANISMS, OOD_PAIRS, RATIO_GRID, SPLITS
+from rippleframe.operators.expand import inputs_of_families, with_families
 
 
 @dataclass(frozen=True)
@@ -86,13 +87,13 @@ def families_of_bases(base: DataFrame, policy: Policy = Policy(), more: list[str
     A grid has 1, so a factor that the mechanism needs reaches the bound in one of its variants; the other factor of a pair
     must have it in the base record. No grid of magnitudes reaches that bound. Subjects and entities do not vary.
     """
-    both, n = is_combination_ood(), F.lit(0)
-    for m in MECHANISMS:
-        n = F.when(F.col("mechanism") == m.name, 1 + len(m.factors) * len(RATIO_GRID) + len(MAGNITUDE_GRID) + len(DIRECTIONS) + len(HORIZON_GRID)).otherwise(n)
-        for a, b in OOD_PAIRS:
-            for varied, fixed in ((a, b), (b, a)):
-                if varied in m.factors:
-                    both = both | F.coalesce((F.col("mechanism") == m.name) & (F.col(fixed) >= 0.75), F.lit(False))
+    mechanism, both, n = F.col("mechanism"), is_combination_ood(), F.lit(0)
+    for x, y in OOD_PAIRS:  # one term for all mechanisms: a method with one for each would be too long to be compiled
+        for varied, fixed in ((x, y), (y, x)):
+            both = both | F.coalesce(mechanism.isin([m.name for m in MECHANISMS if varied in m.factors]) & (F.col(fixed) >= 0.75), F.lit(False))
+    for k in sorted({len(m.factors) for m in MECHANISMS}):
+        size = 1 + k * len(RATIO_GRID) + len(MAGNITUDE_GRID) + len(DIRECTIONS) + len(HORIZON_GRID)
+        n = F.when(mechanism.isin([m.name for m in MECHANISMS if len(m.factors) == k]), size).otherwise(n)
     more = [] if more is None else more
     return base.select(
         F.col("id").alias("family_key"), "entity_id", F.col("entity_id").alias("other_entity_id"), F.lit(1).alias("n_base"), is_concept_ood(policy.concept_subjects).alias("concept"),
@@ -129,25 +130,37 @@ def split_records(records: DataFrame, policy: Policy = Policy()) -> DataFrame:
     return records.withColumn("family_key", family_key()).join(assigned(records, policy).select("family_key", "split"), "family_key")
 
 
-def split_bases(base: DataFrame, policy: Policy = Policy()) -> DataFrame:
+def split_bases(base: DataFrame, policy: Policy = Policy(), flags: bool = False) -> DataFrame:
     """Base records with the family_key and split of their family. With_families() of them equals split_records() of all
-    records, but only base records, and no variant, are joined to a split."""
+    records, but only base records, and no variant, are joined to a split. flags: also n_records of the family, and whether
+    one of them is out of distribution, as family_concept, family_parameter and family_combination."""
     rows = families_of_bases(base, policy, [c for c in base.columns if c != "entity_id"])
+    if flags:
+        rows = rows.withColumns({f"family_{c}": F.col(c) for c in ("concept", "parameter", "combination")})
+        return assigned(base, policy, rows)
     return assigned(base, policy, rows).drop("n_records")
 
 
+_EARLY = ["test_entity_ood", "test_concept_ood"]
+_ALLOWED = {
+    "concept_leak": _EARLY,
+    "combination_leak": [*_EARLY, "test_combination_ood", "test_hard_ood"],
+    "parameter_leak": [*_EARLY, "test_parameter_ood", "test_hard_ood"],
+}
+
+
 def violations(records: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """kind, key, n_splits: what breaks the rules of splits; records have a split. A sound dataset gives no row."""
-    early, split = ["test_entity_ood", "test_concept_ood"], F.col("split")
+    split = F.col("split")
 
-    def leak(where: Column, allowed: list[str]) -> Column:
-        return F.coalesce(F.bool_or(where & ~split.isin(allowed)), F.lit(False))
+    def leak(kind: str, where: Column) -> Column:
+        return F.coalesce(F.bool_or(where & ~split.isin(_ALLOWED[kind])), F.lit(False)).alias(kind)
 
     # A row for each family, entity and split, which holds all that the rules ask for but repeated ids.
     groups = records.groupBy(family_key().alias("family"), "entity_id", "split").agg(
-        leak(is_concept_ood(policy.concept_subjects), early).alias("concept_leak"),
-        leak(is_combination_ood(), [*early, "test_combination_ood", "test_hard_ood"]).alias("combination_leak"),
-        leak(is_parameter_ood(), [*early, "test_parameter_ood", "test_hard_ood"]).alias("parameter_leak"),
+        leak("concept_leak", is_concept_ood(policy.concept_subjects)),
+        leak("combination_leak", is_combination_ood()),
+        leak("parameter_leak", is_parameter_ood()),
     )
 
     def asked(kind: str, what: str, where: Column | None = None) -> Column:
@@ -169,3 +182,51 @@ def _duplicates(records: DataFrame) -> DataFrame:
     again = ids.select("h").repartition("h").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     found = ids.join(again, "h", "left_semi").groupBy(F.col("id").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("split").alias("n_splits"))
     return found.where("n > 1").select(F.lit("duplicate_id").alias("kind"), "key", "n_splits")
+
+
+def violations_after(base: DataFrame, touched: Column, after: Column, policy: Policy = Policy(), bases: DataFrame | None = None) -> DataFrame:
+    """violations() of the split records with_families(split_bases(base)), of which those that `touched` (a condition on id)
+    holds for are in the splits of the array `after` (of id and split) instead of their own: one, several or none.
+    bases: base as it is split otherwise, with the columns that split_bases() has with flags.
+
+    Every record's id is made and asked, but no other column of those that nothing happens to. They count by their family: its
+    base record has their number and, in closed form, whether one of them may break a rule. A family with such a one is looked
+    at record by record. Records are added to and taken from the (entity, split) and (family, split) they are in; those that
+    still have one exist. An id that is there again in base, or looks like a variant's, needs violations() itself.
+    """
+    ids = base.select(F.xxhash64("id").alias("h"), F.contains("id", F.lit("__cf_")).alias("odd"))
+    ids = ids.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.bool_or("odd").alias("odd"))
+    split, touched = F.col("split"), F.coalesce(touched, F.lit(False))
+    now = F.when(touched, after).otherwise(F.array("split"))
+    bases = split_bases(base, policy, flags=True) if bases is None else bases
+    if not ids.where("n > 1 or odd or odd is null").isEmpty():
+        return violations(with_families(bases).withColumn("split", F.explode(now)), policy)
+
+    plain = F.coalesce(split.isin(SPLITS), F.lit(True))
+    for kind, allowed in _ALLOWED.items():
+        plain = plain & ~F.coalesce(F.col(f"family_{kind.removesuffix('_leak')}") & ~split.isin(allowed), F.lit(False))
+    bases = bases.withColumns({"plain": plain, "n_records": F.greatest("n_records", F.lit(1).cast("long"))})
+    is_base = F.col("base_record_id").isNull()
+    rows = inputs_of_families(bases).where(is_base | touched | ~F.col("plain"))
+
+    def asked(kind: str, what: str | Column, split: Column, n: int | str, size: Column | None = None, where: Column | None = None) -> Column:
+        key, n = F.col(what) if isinstance(what, str) else what, F.lit(n) if isinstance(n, int) else F.col(n)
+        size = F.lit(0) if size is None else size
+        found = F.struct(F.lit(kind).alias("kind"), key.alias("key"), split.alias("split"), n.cast("long").alias("n"), size.cast("long").alias("size"))
+        return found if where is None else F.when(where, found)
+
+    def placed(x: Column) -> Column:
+        out = [asked("family_leak", "family_key", x, 1), asked("entity_leak", "entity_id", x, 1), asked("duplicate_id", "id", x, 1), asked("unknown_split", x, x, 1, where=~x.isin(SPLITS))]
+        for kind, flag in (("concept_leak", is_concept_ood(policy.concept_subjects)), ("combination_leak", is_combination_ood()), ("parameter_leak", is_parameter_ood())):
+            out.append(asked(kind, "family_key", x, 1, where=flag & ~x.isin(_ALLOWED[kind])))
+        return F.array(*out)
+
+    whole = asked("entity_leak", "entity_id", split, "n_records", where=is_base & F.col("plain"))
+    taken = [asked("entity_leak", "entity_id", split, -1, where=F.col("plain")), asked("family_leak", "family_key", split, -1, F.col("n_records"), F.col("plain"))]
+    each = F.concat(F.array(whole, *taken), F.flatten(F.transform(now, placed)))
+    rows = rows.select(F.explode(F.when(touched | ~F.col("plain"), F.filter(each, lambda x: x.isNotNull())).otherwise(F.array(whole))).alias("a")).select("a.*")
+    # A row for each split that still has a record, or a leak, of the key.
+    rows = rows.groupBy("kind", "key", "split").agg(F.sum("n").alias("n"), F.max("size").alias("size")).where("n + size > 0")
+    rows = rows.groupBy("kind", "key").agg(F.count("split").alias("n_splits"), F.bool_or(split == "test_entity_ood").alias("held"), F.sum("n").alias("n"))
+    several = F.when(F.col("kind") == "family_leak", F.col("n_splits") > 1).when(F.col("kind") == "entity_leak", F.col("held") & (F.col("n_splits") > 1))
+    return rows.where(several.when(F.col("kind") == "duplicate_id", F.col("n") > 1).otherwise(True)).select("kind", "key", "n_splits")
